@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaframe.llm.anomaly import judged
+from vistaframe.llm.anomaly import judged as judged_rules
 from vistaframe.llm.common import table
 from vistaframe.llm.decontaminate import contamination
+from vistaframe.llm.html_extract import main_texts
 from vistaframe.llm.quality import held_out, quality_scores
 from vistaframe.llm.shingle_join import shingle_components
 from vistaframe.llm.substring_dedup import without_repeats
+from vistaframe.llm.url_filter import BLOCKED_HOSTS, RULES, filtered
+from vistaframe.llm.warc import read_archives, write_archives
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = [(p, v, True) for p, v in RULES] + [(f"{h}/", "block", False) for h in BLOCKED_HOSTS]
+    judged = filtered(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(entries, "prefix string, verdict string, is_rule boolean"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,18 +40,39 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = judged_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomalous", "score")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents"), 50)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_quality_classifier, op6_ngram_jaccard_join, op7_quality_rules, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_benchmark_decontamination,
+        op3_quality_classifier,
+        op5_warc,
+        op6_ngram_jaccard_join,
+        op7_quality_rules,
+        op9_html_extraction,
+        op10_substring_dedup,
+    )
+}
