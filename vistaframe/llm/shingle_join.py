@@ -8,6 +8,7 @@ and each cluster is joined by trees whose nodes hold OR-combined bitmaps and siz
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vistaframe.llm.common import U, WordHash, blocks, components, listed, lower_spaced_words, mix, written
 
-#: Bits of a token bitmap.
+#: Bits of the shortest token bitmap.
 BITS = 1024
 #: Documents that share a prefix shingle and are paired at once; more are clustered as a whole.
 RUN = 32
@@ -29,26 +30,52 @@ FREQUENT = 1 << 18
 FANOUT = 8
 
 
-def shingles(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words count as one shingle."""
-    if not words:
-        return np.empty(0, U)
-    if len(words) < k:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], U)
+BASE = U(0x9E3779B97F4A7C15)
+
+
+def shingles(texts: list, k: int, hashes: WordHash) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its k-word shingles; fewer words count as one."""
+    words = [lower_spaced_words(t) for t in texts]
+    h = rolled([w for x in words for w in x], k, hashes)
+    out, at = [], 0
+    for w in words:
+        if len(w) >= k:
+            x = np.sort(h[at : at + len(w) - k + 1])
+            out.append(x[np.r_[True, x[1:] != x[:-1]]])
+        elif w:
+            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=len(w))], U))
+        else:
+            out.append(np.empty(0, U))
+        at += len(w)
+    return out
+
+
+def rolled(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
+    """Hashes of every k consecutive words."""
     a = hashes.of(words)
-    n = len(a) - k + 1
+    n = max(0, len(a) - k + 1)
     h = a[:n].copy()
     for i in range(1, k):
-        h = mix(h) + a[i : i + n]
-    return np.unique(mix(h))
+        h *= BASE
+        h += a[i : i + n]
+    return mix(h)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(tokens >> U(7)) % U(BITS)] = True
+    """BITS bits or two to four for each token, as 64-bit words."""
+    n = max(BITS, 2 << (len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    bits = np.zeros(n, bool)
+    bits[(tokens >> U(7)) % U(n)] = True
     return np.packbits(bits).view(U)
 
 
+def folded(maps) -> np.ndarray:
+    """The bitmaps, each made as short as the shortest."""
+    maps = [np.frombuffer(m, U) if isinstance(m, bytes) else m for m in maps]
+    least = min(map(len, maps))
+    return np.stack([m if len(m) == least else np.bitwise_or.reduce(m.reshape(-1, least)) for m in maps])
+
+
 def alike(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
@@ -72,26 +99,49 @@ class Tree:
         least = lo[a] + lo[b]
         return (top >= least) | (100 * top >= percent * (least - top))
 
-    def candidates(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Leaf pairs left by a dual traversal from the root; pairs of few nodes at a time."""
+    def candidates(self, percent: int, joined: Joined) -> Iterator[tuple[int, int]]:
+        """Leaf pairs left by a dual traversal from the root, but for those already joined."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        grid = np.arange(FANOUT)
         while stack:
             level, a, b = stack.pop()
+            if level == 0:
+                top = joined.tops()
+                apart = top[a] != top[b]
+                a, b = a[apart], b[apart]
             keep = self.possible(level, a, b, percent)
             a, b = a[keep], b[keep]
-            if not len(a):
-                continue
             if level == 0:
-                yield a, b
-                continue
-            below = len(self.levels[level - 1][1])
-            grid = np.arange(FANOUT)
-            x = (a[:, None, None] * FANOUT + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
-            y = (b[:, None, None] * FANOUT + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
-            ok = (x < below) & (y < below) & (x < y if level == 1 else x <= y)
-            x, y = x[ok], y[ok]
-            for s in range(0, len(x), 4096):
-                stack.append((level - 1, x[s : s + 4096], y[s : s + 4096]))
+                yield from zip(a.tolist(), b.tolist())
+            elif len(a):
+                below = len(self.levels[level - 1][1])
+                x, y = np.broadcast_arrays(a[:, None, None] * FANOUT + grid[:, None], b[:, None, None] * FANOUT + grid)
+                x, y = x.ravel(), y.ravel()
+                ok = (x < below) & (y < below) & (x < y if level == 1 else x <= y)
+                x, y = x[ok], y[ok]
+                for s in range(0, len(x), 1024):
+                    stack.append((level - 1, x[s : s + 1024], y[s : s + 1024]))
+
+
+class Joined:
+    """Disjoint sets of 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def top(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def tops(self) -> np.ndarray:
+        return np.array([self.top(i) for i in range(len(self.parent))], np.int64)
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.top(i), self.top(j)
+        self.parent[i] = j
+        return i != j
 
 
 def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -100,32 +150,20 @@ def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarr
     Only pairs with an `asked` document are compared. Documents with one label start out joined.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    parent = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    order = np.argsort(sizes, kind="stable").tolist()
+    joined = Joined(len(ids))
     seen: dict = {}
-    for i, x in enumerate(labels):
-        parent[find(i)] = find(seen.setdefault(x, i))
-    for i, x in enumerate(ids):
-        parent[find(i)] = find(seen.setdefault(("id", x), i))
+    for at, i in enumerate(order):
+        for x in (("label", labels[i]), ("id", ids[i])):
+            joined.join(at, seen.setdefault(x, at))
     out = []
-    tree = Tree(sizes[order], np.stack([bitmap(sets[i]) for i in order]))
-    for a, b in tree.candidates(percent):
-        for i, j in zip(order[a].tolist(), order[b].tolist()):
-            if not (asked[i] or asked[j]):
-                continue
-            ri, rj = find(i), find(j)
-            if ri == rj:
-                continue
+    tree = Tree(sizes[order], folded([bitmap(sets[i]) for i in order]))
+    for x, y in tree.candidates(percent, joined):
+        i, j = order[x], order[y]
+        if (asked[i] or asked[j]) and joined.top(x) != joined.top(y):
             overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if alike(overlap, int(sizes[i]), int(sizes[j]), percent):
-                parent[ri] = rj
+                joined.join(x, y)
                 out.append((ids[i], ids[j]))
     return out
 
@@ -136,13 +174,15 @@ def _frequent(docs: DataFrame, k: int) -> list:
     def count(batches):
         hashes = WordHash()
         for b in batches:
-            found = []
+            found = [np.empty(0, U)]
             for at in blocks(b.text.str.len().to_numpy()):
-                found += [shingles(lower_spaced_words(t), k, hashes) for t in b.text.iloc[at]]
-            if found:
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                often = n >= max(8, len(b) // 500)
-                yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
+                # shingles across two texts are of no account: they only order what is frequent
+                found.append(rolled([w for t in b.text.iloc[at] for w in lower_spaced_words(t)], k, hashes))
+            h = np.sort(np.concatenate(found))
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+            n = np.diff(np.r_[start, len(h)])
+            often = n >= max(4, len(b) // 1000)
+            yield pd.DataFrame({"token": h[start[often]].view(np.int64), "n": n[often]})
 
     rows = docs.select("text").mapInPandas(count, "token long, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
@@ -157,63 +197,61 @@ def _described(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
         for b in batches:
             for at in blocks(b.text.str.len().to_numpy()):
                 n, sig_a, sig_b, prefix, bits = [], [], [], [], []
-                for t in b.text.iloc[at]:
-                    h = shingles(lower_spaced_words(t), k, hashes)
+                sets = shingles(b.text.iloc[at].tolist(), k, hashes)
+                every = np.concatenate(sets)
+                spot = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
+                frequent_rank = np.where(tokens[spot] == every, ranks[spot], -1) if len(tokens) else np.full(len(every), -1)
+                done = 0
+                for h in sets:
+                    rank = frequent_rank[done : done + len(h)]
+                    done += len(h)
                     n.append(len(h))
                     whole = xxhash.xxh3_128_intdigest(h.tobytes())
                     sig_a.append((whole >> 64) - (1 << 63))
                     sig_b.append((whole & ((1 << 64) - 1)) - (1 << 63))
                     bits.append(bitmap(h).tobytes())
                     first = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
-                    if len(h) and len(tokens):
-                        spot = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-                        often = tokens[spot] == h
-                        late = h[often][np.argsort(ranks[spot[often]], kind="stable")]
-                        h = np.concatenate([h[~often], late])
-                    prefix.append(h[:first].view(np.int64))
+                    rare = h[rank < 0]
+                    if len(rare) < first:
+                        often = np.flatnonzero(rank >= 0)
+                        rare = np.concatenate([rare, h[often[np.argsort(rank[often], kind="stable")]]])
+                    prefix.append(rare[:first].view(np.int64))
                 yield pd.DataFrame({"doc_id": b.doc_id.iloc[at].to_numpy(), "n": n, "sig_a": sig_a, "sig_b": sig_b, "prefix": prefix, "bits": bits})
 
     return docs.select("doc_id", "text").mapInPandas(describe, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, bits binary")
 
 
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure): pairs of documents that share a prefix shingle; where more than RUN do, ties to the
-    first of them with similar sizes all along, which aren't pruned (sure)."""
+    """(a, b, token, n, crowd) of sorted entries: pairs of documents that share a prefix shingle; where more
+    than RUN do, each of them alone, marked as one of a crowd."""
 
     def meet(batches):
         rest = np.empty((0, 3), np.int64)
-        head = None  # token, first document and last size of a crowd still coming in
+        crowded = None  # the shingle of a crowd still coming in
 
         def pairs(run: np.ndarray, out: list):
             n = run[:, 1]
             for i in range(len(run) - 1):
                 last = np.searchsorted(n, n[i] * 100 // percent, side="right")
-                for j in range(i + 1, last):
-                    out.append((run[i, 2], run[j, 2], False))
-
-        def ties(run: np.ndarray, head, out: list):
-            for token, n, doc in run.tolist():
-                if head is None or head[0] != token or n * percent > head[2] * 100:
-                    head = [token, doc, n]
-                else:
-                    head[2] = n
-                    out.append((head[1], doc, True))
-            return head
+                partners = run[i + 1 : last, 2]
+                out.append(np.stack([np.full_like(partners, run[i, 2]), partners, run[i + 1 : last, 0], run[i + 1 : last, 1], np.zeros_like(partners)], axis=1))
 
         def work(rows: np.ndarray, last: bool):
-            nonlocal head, rest
-            out: list = []
+            nonlocal crowded, rest
+            out: list = [np.empty((0, 5), np.int64)]
             cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True]) if len(rows) else np.array([0])
-            for k, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                open_end = not last and e == len(rows)
-                crowded = e - s > RUN or head is not None and head[0] == rows[s, 0]
-                if open_end and not crowded:
+            size = np.diff(cut)
+            for i in np.flatnonzero((size > 1) | (np.arange(len(size)) == len(size) - 1) | (np.arange(len(size)) == 0)).tolist():
+                s, e = int(cut[i]), int(cut[i + 1])
+                if e - s > RUN or crowded == rows[s, 0]:
+                    crowded = rows[s, 0]
+                    run = rows[s:e]
+                    out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], run[:, 1], np.ones(e - s, np.int64)], axis=1))
+                elif not last and e == len(rows):
                     rest = rows[s:]
-                elif crowded:
-                    head = ties(rows[s:e], head, out)
                 elif e - s > 1:
                     pairs(rows[s:e], out)
-            return pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "n", "crowd"])
 
         for b in batches:
             rows = np.concatenate([rest, b[["token", "n", "doc_id"]].to_numpy(np.int64)])
@@ -221,7 +259,33 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
             yield work(rows, False)
         yield work(rest, True)
 
-    return entries.mapInPandas(meet, "a long, b long, sure boolean")
+    return entries.mapInPandas(meet, "a long, b long, token long, n long, crowd long")
+
+
+def _crowds(members: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each shingle (token) with many documents (a), edges that join the documents that aren't
+    pruned from one another. Only documents of one size band or of neighbouring ones are compared."""
+    width = 1.0001 * math.log(100 / percent)
+    band = F.floor(F.log("n") / width).cast("int")
+    rows = members.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("a").alias("doc_id"))
+    rows = rows.join(described.select("doc_id", "n", "bits"), "doc_id")
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64("token", "band"), F.lit(max(1, members.count() // 1024))))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list = []
+        for _, g in pdf.groupby(["token", "band"], sort=False):
+            if len(g) < 2:
+                continue
+            g = g.sort_values(["n", "doc_id"], kind="stable")
+            ids = g.doc_id.tolist()
+            joined = Joined(len(ids))
+            tree = Tree(g.n.to_numpy(np.int64), folded(g.bits))
+            for i, j in tree.candidates(percent, joined):
+                if joined.join(i, j):
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("pack").applyInPandas(join, "a long, b long")
 
 
 def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
@@ -230,12 +294,13 @@ def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
 
     def prune(batches):
         for b in batches:
-            if not len(b):
-                continue
-            m = [np.frombuffer(b"".join(b[c]), U).reshape(len(b), -1) for c in ("bits_a", "bits_b")]
-            na, nb = b.n_a.to_numpy(), b.n_b.to_numpy()
-            top = np.minimum(na - np.bitwise_count(m[0] & ~m[1]).sum(1).astype(np.int64), nb - np.bitwise_count(m[1] & ~m[0]).sum(1).astype(np.int64))
-            yield b.loc[alike(top, na, nb, percent), ["a", "b"]]
+            short = np.minimum(b.bits_a.str.len(), b.bits_b.str.len())
+            for _, g in b.groupby(short):
+                m = folded([*g.bits_a, *g.bits_b])
+                a, o = m[: len(g)], m[len(g) :]
+                na, nb = g.n_a.to_numpy(), g.n_b.to_numpy()
+                top = np.minimum(na - np.bitwise_count(a & ~o).sum(1).astype(np.int64), nb - np.bitwise_count(o & ~a).sum(1).astype(np.int64))
+                yield g.loc[alike(top, na, nb, percent), ["a", "b"]]
 
     return x.mapInPandas(prune, "a long, b long")
 
@@ -333,8 +398,8 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     entries = firsts.select(F.explode("prefix").alias("token"), "n", "doc_id").repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    met = written(_meetings(entries, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    edges = met.where("sure").select("a", "b").union(_pruned(met.where("NOT sure"), firsts, percent))
+    met = written(_meetings(entries, percent))
+    edges = _pruned(met.where("crowd = 0").select("a", "b").distinct(), known, percent).union(_crowds(met.where("crowd = 1"), known, percent))
     clusters = written(components(edges).toDF("doc_id", "cluster"))
 
     def sets(batches):
@@ -342,7 +407,7 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         for b in batches:
             for at in blocks(b.text.str.len().to_numpy()):
                 s = b.iloc[at]
-                yield pd.DataFrame({"cluster": s.cluster.to_numpy(), "doc_id": s.doc_id.to_numpy(), "tokens": [shingles(lower_spaced_words(t), k, hashes).tobytes() for t in s.text]})
+                yield pd.DataFrame({"cluster": s.cluster.to_numpy(), "doc_id": s.doc_id.to_numpy(), "tokens": [x.tobytes() for x in shingles(s.text.tolist(), k, hashes)]})
 
     members = docs.join(listed(clusters), "doc_id").select("cluster", "doc_id", "text")
     clustered = written(members.mapInPandas(sets, "cluster long, doc_id long, tokens binary").where("length(tokens) > 0"))
