@@ -9,7 +9,9 @@ from vistaframe.llm.anomaly import judged as judged_rules
 from vistaframe.llm.common import table
 from vistaframe.llm.decontaminate import contamination
 from vistaframe.llm.html_extract import main_texts
+from vistaframe.llm.mixing import mixed
 from vistaframe.llm.quality import held_out, quality_scores
+from vistaframe.llm.secret_scan import KINDS, as_text, secret_spans
 from vistaframe.llm.shingle_join import shingle_components
 from vistaframe.llm.substring_dedup import without_repeats
 from vistaframe.llm.url_filter import BLOCKED_HOSTS, RULES, filtered
@@ -40,6 +42,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"CAST(size(filter(base_spans, x -> x.kind = {i})) AS BIGINT)").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(as_text("base_spans"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
 
@@ -53,6 +61,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomalous", "score")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -69,9 +81,11 @@ QUERIES = {
         op1_url_filters,
         op2_benchmark_decontamination,
         op3_quality_classifier,
+        op4_secret_scans,
         op5_warc,
         op6_ngram_jaccard_join,
         op7_quality_rules,
+        op8_mixing,
         op9_html_extraction,
         op10_substring_dedup,
     )
