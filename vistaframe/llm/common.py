@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of an id list (8 to 24 bytes each) that may be broadcast; longer lists are shuffled.
-BROADCAST_ROWS = 1_000_000
+from vistaframe.operators.graph import components
+from vistaframe.shared import listed, shared_dir, written
+
+__all__ = ["components", "listed", "shared_dir", "written"]
+
 #: UTF-8 bytes handled at once inside a task.
 BLOCK_BYTES = 4 << 20
 
@@ -28,27 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the session's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/vista-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and reread: lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def listed(ids: DataFrame) -> DataFrame:
-    """The written list `ids`, marked for broadcast only if its row count is within BROADCAST_ROWS."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-
-
 def blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[slice]:
     """Consecutive slices of at most `most` bytes, or of one row."""
     start, total = 0, 0
@@ -93,36 +71,3 @@ def lower_spaced_words(text: str | None) -> list[bytes]:
 def alnum_words(text: str | None) -> list[bytes]:
     """Runs of digits, letters a-z (A-Z lowered) and non-ASCII characters."""
     return text.encode().lower().translate(ALNUM).split() if text else []
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node id connected to node by the edges (a, b).
-
-    Alternates large-star and small-star steps; each is an aggregation by node and a join, so no
-    neighbourhood is ever held in one place. Rounds grow with the logarithm of the size. Nodes are
-    those that occur in an edge between two different nodes.
-    """
-    e = written(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    before = None
-    while True:
-        # every neighbour that is larger than a node is tied to the node's smallest neighbour
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # every smaller neighbour is tied to the smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = written(
-            small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-            .select("x.a", "x.b").where("a <> b").distinct()
-        )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
