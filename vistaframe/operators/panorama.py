@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from vistaframe.functions import geo
 from vistaframe.operators.spatial import TOWER_LEAST_M, TOWER_MOST_M, in_range
@@ -40,17 +40,35 @@ def distance_ladder(lat: pd.Series, radius: pd.Series) -> pd.Series:
     return pd.Series([rungs(a, r) for a, r in zip(lat, radius)])
 
 
-def ray_points(df: DataFrame) -> DataFrame:
-    """df (lat, lon, az, d) with p_lat, p_lon: great-circle knots each 1000 m, straight in Mercator between."""
-    k = F.floor(F.col("d") / KNOT_M)
-    df = df.withColumns({"_k": k, "_t": F.col("d") / KNOT_M - k})
+@F.pandas_udf(ArrayType(StructType([StructField("k", IntegerType()), StructField("d", ArrayType(DoubleType()))])))
+def ladder_by_knot(lat: pd.Series, radius: pd.Series) -> pd.Series:
+    """The rungs of distance_ladder, gathered by the knot before them."""
+    out = []
+    for ds in distance_ladder.func(lat, radius):
+        k = (ds // KNOT_M).astype(int)
+        cut = np.flatnonzero(np.diff(k, prepend=-1))
+        out.append([{"k": int(k[i]), "d": part} for i, part in zip(cut, np.split(ds, cut[1:]))] if len(ds) else [])
+    return pd.Series(out)
+
+
+def ray_samples(rays: DataFrame, radius: str, terrain: Terrain) -> DataFrame:
+    """rays (lat, lon, az, `radius` and any other columns) with d and h at every sample that has a height.
+
+    Points lie on great-circle knots each 1000 m and straight in Mercator between. The knots' trigonometry
+    is done once for a knot, before its samples are spread out.
+    """
+    cols = [c for c in rays.columns if c != radius]
+    x = rays.withColumn("_knots", ladder_by_knot("lat", radius)).select(*cols, F.inline("_knots"))
+    x = x.withColumnsRenamed({"k": "_k", "d": "_ds"})
     for n in (0, 1):
         lat, lon = geo.destination("lat", "lon", "az", (F.col("_k") + n) * KNOT_M)
-        x, y = geo.to_mercator(lat, lon)
-        df = df.withColumns({f"_x{n}": x, f"_y{n}": y})
-    x, y = (F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * F.col("_t") for c in "xy")
-    df = df.withColumns({"p_lon": x * 360 - 180, "p_lat": F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * y))))})
-    return df.drop("_k", "_t", "_x0", "_y0", "_x1", "_y1")
+        mx, my = geo.to_mercator(lat, lon)
+        x = x.withColumns({f"_x{n}": mx, f"_y{n}": my})
+    x = x.select(*cols, "_k", "_x0", "_y0", "_x1", "_y1", F.explode("_ds").alias("d"))
+    t = F.col("d") / KNOT_M - F.col("_k")
+    mx, my = (F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * t for c in "xy")
+    h = terrain(F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * my)))), mx * 360 - 180)
+    return x.select(*cols, "d", h.alias("h")).where("h IS NOT NULL AND NOT isnan(h)")
 
 
 def with_eye(observers: DataFrame, terrain: Terrain) -> DataFrame:
@@ -79,12 +97,17 @@ def observer_ground(observers: DataFrame, terrain: Terrain) -> DataFrame:
 def cast_rays(observers: DataFrame, azimuths: Column, terrain: Terrain) -> DataFrame:
     """(obs_id, az, d, angle) for observers (obs_id, lat, lon, radius, h0); samples without a height are left
     out. Everything from the explode on is one narrow stage; only horizons need a shuffle."""
-    rungs = observers.withColumn("_d", distance_ladder("lat", "radius"))
-    rays = rungs.withColumn("az", F.explode(azimuths)).withColumn("d", F.explode("_d")).drop("_d")
-    h = ray_points(rays).withColumn("h", terrain(F.col("p_lat"), F.col("p_lon"))).where("h IS NOT NULL AND NOT isnan(h)")
+    rays = observers.select("obs_id", "lat", "lon", "h0", "radius", F.explode(azimuths).alias("az"))
+    h = ray_samples(spread(rays), "radius", terrain)
     return h.select("obs_id", "az", "d", geo.elevation_angle("h0", "h", "d").alias("angle"))
 
 
+def spread(rays: DataFrame) -> DataFrame:
+    """The rays over all cores: each becomes about a thousand samples, so a few input files would leave the
+    cluster idle. The rays themselves are small."""
+    return rays.repartition(max(rays.sparkSession.sparkContext.defaultParallelism, int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def horizon(rays: DataFrame, band: float | None = None) -> DataFrame:
     """(obs_id, az, angle, dist): the largest angle, and the last distance that attains it. With a band only
     samples up to it count, and a ray without any has angle -90 and no distance."""
@@ -111,8 +134,8 @@ def occlusion_angle(targets: DataFrame, terrain: Terrain) -> DataFrame:
     """targets (obs_id, target_id, lat, lon, h0, az, dist and any other columns) with occlusion: the largest
     angle of the terrain on the target's own ray, up to max(300 m, 3 %) before it; null if there is none."""
     end = F.col("dist") - F.greatest(F.lit(300.0), 0.03 * F.col("dist")) - 1e-6
-    rays = targets.select("obs_id", "target_id", "lat", "lon", "h0", "az", end.alias("end")).withColumn("d", F.explode(distance_ladder("lat", "end")))
-    h = ray_points(rays).withColumn("h", terrain(F.col("p_lat"), F.col("p_lon"))).where("h IS NOT NULL")
+    rays = targets.select("obs_id", "target_id", "lat", "lon", "h0", "az", end.alias("end"))
+    h = ray_samples(spread(rays), "end", terrain)
     slope = F.max((F.col("h") - F.col("h0") - geo.curvature_drop("d")) / F.col("d"))
     found = h.groupBy("obs_id", "target_id").agg(F.degrees(F.atan(slope)).alias("occlusion"))
     return targets.join(found, ["obs_id", "target_id"], "left")
@@ -137,8 +160,7 @@ def landmark_views(observers: DataFrame, towers: DataFrame, terrain: Terrain) ->
     t = near.withColumns({"ground": terrain(F.col("p_lat"), F.col("p_lon")), "tall": F.coalesce("p_height", F.try_element_at(usual, F.col("p_kind"))), "target_id": F.col("p_id")}).where("ground IS NOT NULL")
     t = t.withColumns({"base": geo.elevation_angle("h0", "ground", "dist"), "top": geo.elevation_angle("h0", F.col("ground") + F.col("tall"), "dist"), "height_known": F.col("p_height").isNotNull(), "bin_az": geo.nearest_bin("az") * AZ_STEP})
     needed = t.select("obs_id", "lat", "lon", "h0", F.lit(float(HAZE_M[1])).alias("radius"), F.col("bin_az").alias("az")).distinct()
-    needed = needed.withColumn("d", F.explode(distance_ladder("lat", "radius")))
-    h = ray_points(needed).withColumn("h", terrain(F.col("p_lat"), F.col("p_lon"))).where("h IS NOT NULL")
+    h = ray_samples(needed, "radius", terrain)
     sky = h.groupBy("obs_id", "az").agg(F.max(geo.elevation_angle("h0", "h", "d")).alias("sky")).withColumnRenamed("az", "bin_az")
     seen = occlusion_angle(t.join(sky, ["obs_id", "bin_az"], "left"), terrain)
     return seen.where((F.col("top") >= F.coalesce("sky", F.lit(-90.0)) + 0.1) & (F.coalesce(F.col("top") >= F.col("occlusion") + 0.1, F.lit(True))))
