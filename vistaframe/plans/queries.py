@@ -10,6 +10,7 @@ from vistaframe.functions.steps import nested
 from vistaframe.operators import dataset, panorama, search, spatial
 from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
+from vistaframe.sources import dem
 from vistaframe.streaming import sensors
 
 QUERIES: dict = {}
@@ -434,3 +435,73 @@ def landmark_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     towers = _towers(spark, sf_dir).where("kind IS NOT NULL").select("id", "lat", "lon", "kind", "height")
     v = panorama.landmark_views(_eyes(spark, sf_dir), towers, terrain)
     return v.select("obs_id", "p_id", F.round("az", 6).alias("az"), F.round("dist", 3).alias("dist"), F.round("base", 6).alias("base"), F.round("top", 6).alias("top"), "height_known")
+
+
+@query()
+def dem_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of the orders' places from zoom-10 tiles of the landscape round the observers."""
+    import numpy as np
+
+    tiles = derived(spark, sf_dir, "observers").select(F.explode(geo.tiles_covering("lat", "lon", "radius", 10)).alias("t"))
+    keys = tiles.select(F.lit(10).alias("z"), F.col("t.x").cast("int").alias("x"), F.col("t.y").cast("int").alias("y")).distinct()
+    raster = dem.with_halo(dem.tiles_of(keys, lambda lat, lon: 1000 + 800 * np.sin(lat * 40) * np.cos(lon * 35)))
+    points = derived(spark, sf_dir, "times").select("id", "lat", "lon")
+    return dem.sample_dem(points, raster, 10).select("id", F.round("h", 3).alias("h"))
+
+
+@query()
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks (parts) and sky objects (suppliers as stars) that match the names of nations and regions."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    peaks = read("part").selectExpr("p_partkey AS id", "array(p_name) AS names", "p_partkey % 80 AS fame", "false AS visible", "p_retailprice AS ele")
+    objects = read("supplier").selectExpr("CAST(s_suppkey AS STRING) AS id", "s_name AS name", "'star' AS kind", "s_suppkey % 60 / 10D AS mag")
+    asked = read("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS q_id", "substr(n_name, 1, 2) AS q").union(read("region").selectExpr("CAST(100 + r_regionkey AS BIGINT)", "substr(r_name, 2, 2)"))
+    return search.search_all(peaks, objects, asked)
+
+
+@query()
+def prefetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks = derived(spark, sf_dir, "peaks").select(geo.tile_key("lat", "lon").alias("tile")).distinct()
+    return spatial.prefetch_plan(derived(spark, sf_dir, "observers"), peaks)
+
+
+@query(
+    f"SELECT obs_id, lat, lon, least(250000, greatest(10000, radius)) AS radius, 1.7::DOUBLE AS eye_height FROM (SELECT obs_id, CASE WHEN obs_id % 13 = 0 THEN lat * 2 ELSE lat END AS lat, lon, radius * (obs_id % 4) AS radius FROM {oracle('observers')}) WHERE abs(lat) <= 85"
+)
+def valid_observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = derived(spark, sf_dir, "observers").selectExpr("obs_id", "IF(obs_id % 13 = 0, lat * 2, lat) AS lat", "lon", "radius * (obs_id % 4) AS radius")
+    return spatial.valid_observers(o)
+
+
+@query(f"SELECT device_id, CASE floor(alpha / 22.5 + 0.5) % 16 WHEN 0 THEN 'N' WHEN 1 THEN 'NNE' WHEN 2 THEN 'NE' WHEN 3 THEN 'ENE' WHEN 4 THEN 'E' WHEN 5 THEN 'ESE' WHEN 6 THEN 'SE' WHEN 7 THEN 'SSE' WHEN 8 THEN 'S' WHEN 9 THEN 'SSW' WHEN 10 THEN 'SW' WHEN 11 THEN 'WSW' WHEN 12 THEN 'W' WHEN 13 THEN 'WNW' WHEN 14 THEN 'NW' ELSE 'NNW' END AS sector, count(*) AS n FROM {oracle('orient')} GROUP BY 1, 2")
+def compass_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "orient").groupBy("device_id", text.compass_sector("alpha").alias("sector")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT tile, count(*) AS n, count(DISTINCT qid) AS qids FROM {_TILE} GROUP BY tile")
+def peaks_per_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = derived(spark, sf_dir, "peaks")
+    return p.groupBy(geo.tile_key("lat", "lon").alias("tile")).agg(F.count("*").alias("n"), F.countDistinct("qid").alias("qids"))
+
+
+@query(
+    f"SELECT o.obs_id, arg_min(p.ele, (d, p.id)) AS peak_ele FROM {oracle('observers')} o LEFT JOIN (SELECT o.obs_id, p.id, p.ele, {g.distance('o.lat', 'o.lon', 'p.lat', 'p.lon')} AS d FROM {oracle('observers')} o JOIN {oracle('peaks')} p ON floor(o.lat) = floor(p.lat) AND floor(o.lon) = floor(p.lon) WHERE p.ele IS NOT NULL) p ON p.obs_id = o.obs_id AND d <= 80 GROUP BY o.obs_id"
+)
+def summit_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.summit_snap(derived(spark, sf_dir, "observers"), derived(spark, sf_dir, "peaks")).select("obs_id", "peak_ele")
+
+
+@query()
+def observer_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panorama.observer_ground(derived(spark, sf_dir, "observers"), terrain).select("obs_id", F.round("ground", 6).alias("ground"))
+
+
+@query()
+def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skyline silhouettes of the orders of supplier horizons, 160 columns each."""
+    from vistaframe.operators.align import label_strip as strip
+
+    frames = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    frames = frames.selectExpr("c_custkey AS frame_id", f"c_custkey % {n} + 1 AS obs_id", "'full' AS band", "c_custkey * 7 % 360 + 0D AS heading", "2D AS pitch", "3D AS roll", "34D AS hfov", "160 AS width", "346 AS height")
+    return strip(frames, _horizon(spark, sf_dir))
