@@ -11,7 +11,7 @@ from vistaframe.operators import dataset, panorama, search, spatial
 from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
 from vistaframe.sources import dem
-from vistaframe.streaming import sensors
+from vistaframe.streaming import machines, sensors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -505,3 +505,59 @@ def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     frames = frames.selectExpr("c_custkey AS frame_id", f"c_custkey % {n} + 1 AS obs_id", "'full' AS band", "c_custkey * 7 % 360 + 0D AS heading", "2D AS pitch", "3D AS roll", "34D AS hfov", "160 AS width", "346 AS height")
     return strip(frames, _horizon(spark, sf_dir))
+
+
+def _machine_events(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.selectExpr(
+        "user_id AS device_id", "event_id * 1000 AS t_ms", "value * 0.4 - 20 AS correction", "value * 0.9 - 45 AS pitch", "value * 0.1 - 5 AS d_heading", "value * 0.02 - 1 AS d_pitch", "0D AS offset",
+        "46D + event_id % 40 * 0.001D AS lat", "8D AS lon", "value * 3.6 AS heading", "event_id % 130 + 0D AS accuracy", "event_id % 9 = 0 AS matched", "event_id % 80 - 10D AS sun_alt", "60D AS fov", "event_id % 300 / 10D - 15 AS axis",
+    )
+
+
+def _machine(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = getattr(machines, name)
+        out = machines.replay(_machine_events(spark, sf_dir), "device_id", m)
+        return out.select("device_id", "t_ms", *[c.split()[0] for c in machines.OUTPUTS[m].split(", ")])
+
+    run.__name__ = name
+    return query()(run)
+
+
+for _m in machines.OUTPUTS:
+    _machine(_m.__name__)
+
+
+@query()
+def match_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of suppliers' horizons whose skyline points are the horizon's own, seen by a sensor that is off."""
+    from vistaframe.operators import align
+
+    frames = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS frame_id", "s_suppkey AS obs_id", "s_suppkey * 37 % 360 + 4.5D AS heading", "1D AS pitch", "0D AS roll", "34D AS hfov", "390 AS width", "844 AS height", "160 AS columns")
+    true = frames.withColumns({"heading": F.col("heading") - 4.5, "pitch": F.lit(1.8)})
+    bins = _horizon(spark, sf_dir).where("angle IS NOT NULL AND az_bin % 2 = 0").select("obs_id", (F.col("az_bin") * 0.1).alias("az"), "angle")
+    p = true.join(bins, "obs_id").where(F.abs(geo.delta_deg("az", "heading")) < 16)
+    p = p.withColumn("p", geo.project("az", "angle", "heading", "pitch", "roll", "hfov", "width", "height")).select("frame_id", "p.x", "p.y").where("x BETWEEN 0 AND 390 AND y BETWEEN 0 AND 844")
+    return align.match_skyline(frames, p, _horizon(spark, sf_dir))
+
+
+@query()
+def match_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as frames, orders as the stars seen; every third star is a blob, off by the same shift."""
+    from vistaframe.operators import align
+
+    stars = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS frame_id", "o_orderkey AS star", "o_orderkey * 7919 % 6000 / 100D + 150 AS az", "o_orderkey * 104729 % 5500 / 100D + 5 AS alt")
+    blobs = stars.where("star % 3 > 0").selectExpr("frame_id", "az + 4D AS az", "alt - 1.5D AS el", "star % 17 + 0D AS contrast")
+    return align.match_stars(blobs, stars)
+
+
+@query()
+def thin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the peaks in range of every observer, on a strip of four pixels a degree."""
+    from vistaframe.operators import align
+
+    near = spatial.in_range(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"))
+    score = spatial.label_score(F.col("p_id") % 80, F.lit(0.0), F.coalesce("p_ele", F.lit(0.0)))
+    labels = near.select("obs_id", F.col("p_id").alias("id"), (F.col("az") * 4).alias("x"), F.lit(False).alias("selected"), (F.col("p_id") % 3 > 0).alias("visible"), score.alias("score"))
+    return align.thin_labels(labels, ["obs_id"])
