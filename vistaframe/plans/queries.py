@@ -561,3 +561,50 @@ def thin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = spatial.label_score(F.col("p_id") % 80, F.lit(0.0), F.coalesce("p_ele", F.lit(0.0)))
     labels = near.select("obs_id", F.col("p_id").alias("id"), (F.col("az") * 4).alias("x"), F.lit(False).alias("selected"), (F.col("p_id") % 3 > 0).alias("visible"), score.alias("score"))
     return align.thin_labels(labels, ["obs_id"])
+
+
+_STAR_LIST = "SELECT s_suppkey AS id, (s_suppkey * 7919 % 36000) / 100.0 AS ra, (s_suppkey * 104729 % 17000) / 100.0 - 85 AS dec, (s_suppkey * 31 % 65) / 10.0 AS mag FROM {supplier}"
+_STAR_LIST = doubles(_STAR_LIST)
+_PLACES = doubles("SELECT c_custkey AS obs_id, 2461120.5 + c_custkey % 300 / 37.0 AS jd, 45.0 + c_custkey % 9 AS lat, 6.0 + c_custkey % 7 AS lon FROM {customer}")
+_NIGHT = "(SELECT obs_id, jd, lat, lon, 1 + 4.5 * least(1.0, greatest(0.0, (-alt - 4) / 10)) AS lim FROM " + nested("(" + _PLACES.replace("{customer}", "customer") + ")", sky.SUN_STEPS) + ")"
+_NIGHT_STARS = f"(SELECT obs_id, jd, lat, lon, id, ra AS ra2000, dec AS dec2000, mag FROM {_NIGHT} JOIN ({_STAR_LIST.replace('{supplier}', 'supplier')}) ON mag <= lim)"
+
+
+@query(f"SELECT obs_id, id, round(az, 6) AS az, round(alt, 6) AS alt, row_number() OVER (PARTITION BY obs_id, jd ORDER BY mag, id) AS rank FROM {nested(_NIGHT_STARS, sky.STAR_STEPS)}")
+def night_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vistaframe.operators import night
+
+    places = spark.sql(_PLACES, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    stars = spark.sql(_STAR_LIST, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    out = night.night_objects(places, stars)
+    return out.select("obs_id", "id", F.round("az", 6).alias("az"), F.round("alt", 6).alias("alt"), "rank")
+
+
+_SUN_PATH = nested(f"(SELECT obs_id, lat, lon, t_ms, t_ms / 86400000 + 2440587.5 AS jd FROM (SELECT *, unnest(generate_series(1774000000000, 1774086400000, 3600000)) AS t_ms FROM {oracle('observers')}))", sky.SUN_STEPS)
+
+
+@query(f"SELECT obs_id, t_ms, round(az, 5) AS az, round(alt, 5) AS alt FROM {_SUN_PATH}")
+def body_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vistaframe.operators import night
+
+    start, end = F.lit(1774000000000), F.lit(1774086400000)
+    path = night.body_path(derived(spark, sf_dir, "observers").select("obs_id", "lat", "lon"), "sun", start, end, 3_600_000)
+    return path.select("obs_id", "t_ms", F.round("az", 5).alias("az"), F.round("alt", 5).alias("alt"))
+
+
+@query("SELECT o_custkey AS tile, max(o_orderkey) AS t_ms FROM orders GROUP BY o_custkey HAVING 3000000000 - max(o_orderkey) * 100000 < 2592000000")
+def latest_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vistaframe.operators import night
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS tile", "o_orderkey * 100000 AS t_ms")
+    return night.latest_cached(rows, "tile", F.lit(3_000_000_000)).select("tile", (F.col("t_ms") / 100000).cast("long").alias("t_ms"))
+
+
+@query()
+def above_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' sun positions over the horizons of suppliers."""
+    from vistaframe.operators import night
+
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    sun = sky.sun_position(derived(spark, sf_dir, "times")).withColumn("obs_id", F.col("id") % n + 1)
+    return night.above_terrain(sun, _horizon(spark, sf_dir)).select("id", F.round("az", 6).alias("az"), F.round("alt", 6).alias("alt"))
