@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from vistaframe.functions import geo
 from vistaframe.operators.spatial import TOWER_LEAST_M, TOWER_MOST_M, in_range
+from vistaframe.shared import dealt
 
 # fixed values
 START_M, LEAST_STEP_M, STEP, NEAR_M, NEAR_ZOOM, FAR_ZOOM, KNOT_M = 40.0, 10.0, 0.01, 8000.0, 12, 10, 1000.0
@@ -98,16 +99,10 @@ def cast_rays(observers: DataFrame, azimuths: Column, terrain: Terrain) -> DataF
     """(obs_id, az, d, angle) for observers (obs_id, lat, lon, radius, h0); samples without a height are left
     out. Everything from the explode on is one narrow stage; only horizons need a shuffle."""
     rays = observers.select("obs_id", "lat", "lon", "h0", "radius", F.explode(azimuths).alias("az"))
-    h = ray_samples(spread(rays), "radius", terrain)
+    h = ray_samples(dealt(rays), "radius", terrain)
     return h.select("obs_id", "az", "d", geo.elevation_angle("h0", "h", "d").alias("angle"))
 
 
-def spread(rays: DataFrame) -> DataFrame:
-    """The rays over all cores: each becomes about a thousand samples, so a few input files would leave the
-    cluster idle. The rays themselves are small."""
-    return rays.repartition(max(rays.sparkSession.sparkContext.defaultParallelism, int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def horizon(rays: DataFrame, band: float | None = None) -> DataFrame:
     """(obs_id, az, angle, dist): the largest angle, and the last distance that attains it. With a band only
     samples up to it count, and a ray without any has angle -90 and no distance."""
@@ -135,7 +130,7 @@ def occlusion_angle(targets: DataFrame, terrain: Terrain) -> DataFrame:
     angle of the terrain on the target's own ray, up to max(300 m, 3 %) before it; null if there is none."""
     end = F.col("dist") - F.greatest(F.lit(300.0), 0.03 * F.col("dist")) - 1e-6
     rays = targets.select("obs_id", "target_id", "lat", "lon", "h0", "az", end.alias("end"))
-    h = ray_samples(spread(rays), "end", terrain)
+    h = ray_samples(dealt(rays), "end", terrain)
     slope = F.max((F.col("h") - F.col("h0") - geo.curvature_drop("d")) / F.col("d"))
     found = h.groupBy("obs_id", "target_id").agg(F.degrees(F.atan(slope)).alias("occlusion"))
     return targets.join(found, ["obs_id", "target_id"], "left")
@@ -144,7 +139,11 @@ def occlusion_angle(targets: DataFrame, terrain: Terrain) -> DataFrame:
 def peak_views(observers: DataFrame, peaks: DataFrame, terrain: Terrain) -> DataFrame:
     """Peaks in range with az, angle, dist and visible. The mapped elevation counts unless it is 400 m or more
     off the terrain's; a hill within 0.05 degrees of the line of sight hides nothing."""
-    near = in_range(observers, peaks)
+    return views_of(in_range(observers, peaks), terrain)
+
+
+def views_of(near: DataFrame, terrain: Terrain) -> DataFrame:
+    """The same for chosen pairs of observers and peaks, as in_range gives them."""
     ground = terrain(F.col("p_lat"), F.col("p_lon"))
     mapped = F.col("p_ele").isNotNull() & (ground.isNull() | (F.abs(F.col("p_ele") - ground) < 400))
     t = near.withColumn("ele", F.when(mapped, F.col("p_ele")).otherwise(ground)).where("ele IS NOT NULL").withColumn("target_id", F.col("p_id"))
@@ -160,7 +159,7 @@ def landmark_views(observers: DataFrame, towers: DataFrame, terrain: Terrain) ->
     t = near.withColumns({"ground": terrain(F.col("p_lat"), F.col("p_lon")), "tall": F.coalesce("p_height", F.try_element_at(usual, F.col("p_kind"))), "target_id": F.col("p_id")}).where("ground IS NOT NULL")
     t = t.withColumns({"base": geo.elevation_angle("h0", "ground", "dist"), "top": geo.elevation_angle("h0", F.col("ground") + F.col("tall"), "dist"), "height_known": F.col("p_height").isNotNull(), "bin_az": geo.nearest_bin("az") * AZ_STEP})
     needed = t.select("obs_id", "lat", "lon", "h0", F.lit(float(HAZE_M[1])).alias("radius"), F.col("bin_az").alias("az")).distinct()
-    h = ray_samples(needed, "radius", terrain)
+    h = ray_samples(dealt(needed), "radius", terrain)
     sky = h.groupBy("obs_id", "az").agg(F.max(geo.elevation_angle("h0", "h", "d")).alias("sky")).withColumnRenamed("az", "bin_az")
     seen = occlusion_angle(t.join(sky, ["obs_id", "bin_az"], "left"), terrain)
     return seen.where((F.col("top") >= F.coalesce("sky", F.lit(-90.0)) + 0.1) & (F.coalesce(F.col("top") >= F.col("occlusion") + 0.1, F.lit(True))))

@@ -31,3 +31,10 @@ def written(df: DataFrame) -> DataFrame:
 def listed(ids: DataFrame) -> DataFrame:
     """The written list `ids`, marked for broadcast only if its row count is within BROADCAST_ROWS."""
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Few rows that each become many, over all cores: else the cores of their few input files would do all the
+    work. The rows themselves are small."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
