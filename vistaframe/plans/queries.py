@@ -47,7 +47,7 @@ def peaks_in_range_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = spatial.in_range(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"))
     score = spatial.label_score(F.col("p_id") % 80, F.lit(0.0), F.coalesce("p_ele", F.lit(0.0)))
     best = spatial.top_k(near.withColumn("score", F.round(score, 6)), ["obs_id"], [F.desc("score"), "p_id"], 5)
-    return best.select("obs_id", "p_id", "p_name", F.round("dist", 3).alias("dist"), F.round("az", 6).alias("az"), "score", "rank")
+    return best.select("obs_id", "p_id", "p_name", F.round("dist", 3).alias("dist"), F.round("az", 6).alias("az"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -104,7 +104,7 @@ def classify_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _towers(spark, sf_dir).select("id", "kind", "height")
 
 
-_QUERIES = "(SELECT n_nationkey AS q_id, lower(substr(n_name, 1, 2)) AS q FROM nation UNION ALL SELECT 100 + r_regionkey, lower(substr(r_name, 2, 2)) FROM region)"
+_QUERIES = "(SELECT CAST(n_nationkey AS BIGINT) AS q_id, lower(substr(n_name, 1, 2)) AS q FROM nation UNION ALL SELECT CAST(100 + r_regionkey AS BIGINT), lower(substr(r_name, 2, 2)) FROM region)"
 _NAMES = "(SELECT c_custkey AS id, 0 AS fame, FALSE AS visible, CAST(NULL AS DOUBLE) AS ele, strip_accents(lower(c_mktsegment)) AS f FROM customer UNION ALL SELECT p_partkey + 100000000, p_partkey % 80, FALSE, p_retailprice, strip_accents(lower(p_name)) FROM part)"
 _SCORE = "CASE WHEN f = q THEN 3.0 WHEN starts_with(f, q) THEN 2.0 WHEN len(list_filter(regexp_split_to_array(f, '[\\s\\-''’/]+'), lambda w: starts_with(w, q))) > 0 THEN 1.5 WHEN contains(f, q) THEN 1.0 ELSE 0.0 END"
 
@@ -116,7 +116,7 @@ def fold_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = names.union(read("part").selectExpr("p_partkey + 100000000", "p_name", "p_partkey % 80", "p_retailprice"))
     asked = read("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS q_id", "substr(n_name, 1, 2) AS q").union(read("region").selectExpr("CAST(100 + r_regionkey AS BIGINT)", "substr(r_name, 2, 2)"))
     found = search.search_peaks(names.withColumns({"names": F.array("name"), "visible": F.lit(False)}), asked, 8)
-    return found.select("q_id", "id", "score", "rank")
+    return found.select("q_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT p.id, CAST(CASE WHEN p.qid IS NULL THEN 0 ELSE coalesce(f.n, 1) END AS BIGINT) AS fame FROM {oracle('peaks')} p LEFT JOIN {oracle('fame')} f ON p.qid = f.qid")
@@ -581,7 +581,7 @@ def night_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = spark.sql(_PLACES, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
     stars = spark.sql(_STAR_LIST, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
     out = night.night_objects(places, stars)
-    return out.select("obs_id", "id", F.round("az", 6).alias("az"), F.round("alt", 6).alias("alt"), "rank")
+    return out.select("obs_id", "id", F.round("az", 6).alias("az"), F.round("alt", 6).alias("alt"), F.col("rank").cast("long").alias("rank"))
 
 
 _SUN_PATH = nested(f"(SELECT obs_id, lat, lon, t_ms, t_ms / 86400000 + 2440587.5 AS jd FROM (SELECT *, unnest(generate_series(1774000000000, 1774086400000, 3600000)) AS t_ms FROM {oracle('observers')}))", sky.SUN_STEPS)
