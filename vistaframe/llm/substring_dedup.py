@@ -213,8 +213,8 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     # whole copies of a smaller document's text need no anchors
     texts = written(known.select("doc_id", "tk", F.md5("text").alias("md5")))
-    first = texts.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = written(texts.join(first, "md5").where("doc_id > first").select("doc_id", "tk").distinct())
+    first = written(texts.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = written(texts.join(listed(first), "md5").where("doc_id > first").select("doc_id", "tk").distinct())
     firsts = known.join(listed(copies), ["doc_id", "tk"], "left_anti")
     spots = written(_shared(written(_anchors(firsts, width))).groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("spots")))
     near = known.join(listed(spots.select("doc_id", "tk")), ["doc_id", "tk"], "left_semi").join(spots, ["doc_id", "tk"])
