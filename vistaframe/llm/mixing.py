@@ -20,7 +20,7 @@ ROUNDS = 25
 #: Relative difference between a source's words and its target at which the iterations end.
 CLOSE = 1e-7
 #: Documents of one size that are put in order together.
-GROUP = 4096
+GROUP = 256
 REPAIRS = 4
 
 
