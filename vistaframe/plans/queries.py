@@ -221,10 +221,8 @@ _SEEN_PEAKS = f"(SELECT *, CASE WHEN p_ele IS NOT NULL AND abs(p_ele - ground) <
     f"WITH RECURSIVE o AS (SELECT obs_id, p_id, lat, lon, h0, az, dist, ele, dist - greatest(300, 0.03 * dist) - 1e-6 AS reach FROM {_SEEN_PEAKS}), {g.ladder('o', 'obs_id', 'reach')}, occ AS (SELECT obs_id, p_id, degrees(atan(max((h - h0 - {g.drop('d')}) / d))) AS occlusion FROM {g.sampled('ladder')} GROUP BY obs_id, p_id) SELECT o.obs_id, o.p_id, round({g.angle('h0', 'ele', 'dist')}, 6) AS angle, round(occlusion, 6) AS occlusion, coalesce({g.angle('h0', 'ele', 'dist')} >= occlusion - 0.05, TRUE) AS visible FROM o LEFT JOIN occ ON o.obs_id = occ.obs_id AND o.p_id = occ.p_id"
 )
 def occlusion_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the three most famous peaks in range of each observer are seen."""
-    near = spatial.in_range(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"))
-    best = spatial.top_k(near, ["obs_id"], [(F.col("p_id") % 80).desc(), "p_id"], 3)
-    v = panorama.views_of(best, terrain)
+    """Whether each peak in range of each observer is seen."""
+    v = panorama.peak_views(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"), terrain)
     return v.select("obs_id", "p_id", F.round("angle", 6).alias("angle"), F.round("occlusion", 6).alias("occlusion"), "visible")
 
 
