@@ -3,7 +3,7 @@
 A long token's encoding is inferred from its characters. Under the hypothesis that its symbols are drawn
 evenly from that alphabet, three tests give p-values: chi-squared of the symbol counts, number of runs above
 and below the alphabet's middle, and correlation of neighbours. Fisher's method combines them. Within
-each encoding and doubling of length, tokens are taken for random above the least p at which the
+each encoding and doubling of length, tokens (each counted once) are taken for random above the least p at which the
 estimated share of tokens that aren't is within FALSE_SHARE. All of it is built-in functions.
 """
 
@@ -54,36 +54,36 @@ def _located(text: Column, pattern: str, value: int = 0) -> Column:
 
 
 def _steps() -> list[tuple[str, str]]:
-    """SQL over x, from a token's start s, end e and text v to the p-value of the battery."""
+    """SQL over x, from a token's start s, end e and text v to the p-value of the battery; id is the text's hash."""
     encoding = "CASE " + " ".join(f"WHEN x.v RLIKE '{pattern}' THEN '{name}'" for name, (pattern, _) in ENCODINGS.items()) + " END"
     alphabet = "CASE x.enc " + " ".join(f"WHEN '{name}' THEN '{a}'" for name, (_, a) in ENCODINGS.items()) + " END"
     tail = "(1 / (1 + exp(1.5976 * least(8d, greatest(-8d, {0})) + 0.070565 * pow(least(8d, greatest(-8d, {0})), 3))))"  # of the normal distribution
     both = f"least(1d, 2 * {tail.format('abs({0})')})"
     return [
-        ("named_struct('s', x.s, 'e', x.e, 'v', x.v, 'enc', {enc})", encoding),
-        ("named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'a', {a}, 'v', translate(IF(x.enc IN ('hex', 'base36'), lower(x.v), x.v), '-_', '+/'))", alphabet),
-        ("named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'k', length(x.a), 'v', filter(transform(filter(split(x.v, ''), c -> c <> ''), c -> instr(x.a, c) - 1), i -> i >= 0))", ""),
+        ("named_struct('s', x.s, 'e', x.e, 'id', xxhash64(x.v), 'v', x.v, 'enc', {enc})", encoding),
+        ("named_struct('s', x.s, 'e', x.e, 'id', x.id, 'enc', x.enc, 'a', {a}, 'v', translate(IF(x.enc IN ('hex', 'base36'), lower(x.v), x.v), '-_', '+/'))", alphabet),
+        ("named_struct('s', x.s, 'e', x.e, 'id', x.id, 'enc', x.enc, 'k', length(x.a), 'v', filter(transform(filter(split(x.v, ''), c -> c <> ''), c -> instr(x.a, c) - 1), i -> i >= 0))", ""),
         (
-            "named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'k', CAST(x.k AS DOUBLE), 'n', CAST(size(x.v) AS DOUBLE),"
+            "named_struct('s', x.s, 'e', x.e, 'id', x.id, 'enc', x.enc, 'k', CAST(x.k AS DOUBLE), 'n', CAST(size(x.v) AS DOUBLE),"
             " 'same', aggregate(sequence(0, x.k - 1), 0d, (t, i) -> t + pow(size(filter(x.v, j -> j = i)), 2)),"
             " 'turns', aggregate(zip_with(slice(x.v, 1, size(x.v) - 1), slice(x.v, 2, size(x.v) - 1), (i, j) -> IF((2 * i >= x.k) <> (2 * j >= x.k), 1d, 0d)), 0d, (t, i) -> t + i),"
             " 'serial', aggregate(zip_with(slice(x.v, 1, size(x.v) - 1), slice(x.v, 2, size(x.v) - 1), (i, j) -> (i - (x.k - 1) / 2d) * (j - (x.k - 1) / 2d)), 0d, (t, i) -> t + i))",
             "",
         ),
         (
-            "named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'len', CAST(floor(log2(x.n)) AS INT),"
+            "named_struct('s', x.s, 'e', x.e, 'id', x.id, 'enc', x.enc, 'len', CAST(floor(log2(x.n)) AS INT),"
             f" 'p1', {tail.format('((x.k / x.n * x.same - x.n - (x.k - 1)) / sqrt(2 * (x.k - 1) * (x.n - 1) / x.n))')},"
             f" 'p2', {both.format('((x.turns - (x.n - 1) / 2) / sqrt((x.n - 1) / 4))')},"
             f" 'p3', {both.format('(x.serial / ((pow(x.k, 2) - 1) / 12) / sqrt(x.n - 1))')})",
             "",
         ),
-        ("named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'len', x.len, 'h', -ln(greatest(x.p1, 1e-30)) - ln(greatest(x.p2, 1e-30)) - ln(greatest(x.p3, 1e-30)))", ""),
-        ("named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'len', x.len, 'p', exp(-x.h) * (1 + x.h + pow(x.h, 2) / 2))", ""),
+        ("named_struct('s', x.s, 'e', x.e, 'id', x.id, 'enc', x.enc, 'len', x.len, 'h', -ln(greatest(x.p1, 1e-30)) - ln(greatest(x.p2, 1e-30)) - ln(greatest(x.p3, 1e-30)))", ""),
+        ("named_struct('s', x.s, 'e', x.e, 'id', x.id, 'enc', x.enc, 'len', x.len, 'p', exp(-x.h) * (1 + x.h + pow(x.h, 2) / 2))", ""),
     ]
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """docs with base (kind, s, e of all base spans, in order) and tested (s, e, enc, len, p of other tokens)."""
+    """docs with base (kind, s, e of all base spans, in order) and tested (s, e, id, enc, len, p of other tokens)."""
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumn("_assign", F.filter(_located(text, PATTERNS["assign"], 2), lambda x: F.length(x["v"]) >= LEAST_VALUE))
     out = out.withColumns({f"_{k}": _located(text, PATTERNS[k]) for k in ("access", "hex")} | {"_token": _located(text, TOKEN)})
@@ -96,7 +96,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(tally: list[tuple[str, int, int, int]]) -> dict[tuple[str, int], float]:
-    """From (encoding, length class, step of p, tokens): the least p of tokens taken for random.
+    """From (encoding, length class, step of p, distinct tokens): the least p of tokens taken for random.
 
     Random tokens spread evenly over p, so those above MOST_P tell how many there are in all. The threshold
     is the least at which the share of other tokens above it is within FALSE_SHARE, by that estimate.
@@ -125,7 +125,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("base_spans", "spans", "base", "tested", "_token", "_assign", "_access", "_hex")
     tokens = _scanned(docs.select("text")).select(F.explode("tested").alias("x"))
-    counts = tokens.groupBy("x.enc", "x.len", F.floor(F.col("x.p") * STEPS).cast("int").alias("step")).count()
+    # a token counts once, however often it is copied: copies aren't spread over p
+    step = F.floor(F.col("x.p") * STEPS).cast("int").alias("step")
+    counts = tokens.select("x.enc", "x.len", "x.id", step).distinct().groupBy("enc", "len", "step").count()
     least = thresholds([tuple(r) for r in counts.collect()])
     pass_ = " OR ".join(f"(x.enc = '{enc}' AND x.len = {length} AND x.p >= {p})" for (enc, length), p in sorted(least.items())) or "false"
     out = _scanned(docs)
