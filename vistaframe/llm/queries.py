@@ -14,13 +14,15 @@ from vistaframe.llm.quality import held_out, quality_scores
 from vistaframe.llm.secret_scan import KINDS, as_text, secret_spans
 from vistaframe.llm.shingle_join import shingle_components
 from vistaframe.llm.substring_dedup import without_repeats
-from vistaframe.llm.url_filter import BLOCKED_HOSTS, RULES, filtered
+from vistaframe.llm.url_filter import BLOCKED_HOSTS, RULES, filtered, listed_hosts
 from vistaframe.llm.warc import read_archives, write_archives
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = [(p, v, True) for p, v in RULES] + [(f"{h}/", "block", False) for h in BLOCKED_HOSTS]
-    judged = filtered(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(entries, "prefix string, verdict string, is_rule boolean"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    stated = spark.createDataFrame(entries, "prefix string, verdict string, is_rule boolean")
+    judged = filtered(pages, stated.union(listed_hosts(pages)))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -28,6 +28,16 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # fixed values: hosts whose names say advertising, betting, pills or link farms; subdomains count
 BLOCKED_HOSTS = ("ads-track.example.org", "ads-track.example.com", "ads-track.example.net", "cheap-pills.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "free-bets.example.org", "free-bets.example.com", "free-bets.example.net", "spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net")
 
+# fixed values: words by category; a host is listed if a label of it, split at whatever isn't a letter, has one of them
+CATEGORIES = {
+    "advertising": ("ads", "adserver", "adservers", "advert", "adverts", "advertising", "banners", "clicktrack", "popads", "popunder"),
+    "betting": ("bet", "bets", "betting", "bookmaker", "bookmakers", "sportsbook", "wager", "wagers"),
+    "casino": ("blackjack", "casino", "casinos", "jackpot", "jackpots", "poker", "roulette", "slots"),
+    "pills": ("cialis", "pill", "pills", "viagra", "xanax"),
+    "adult": ("adult", "adults", "camgirls", "escorts", "milf", "nude", "nudes", "porn", "porno", "sex", "xxx"),
+    "link farms": ("backlinks", "linkfarm", "linkfarms", "linkspam", "spam", "spammer"),
+}
+
 
 def url_parts(url: str = "url"):
     """Columns (host, path). Host: after the first :// up to / ? # or the end, A-Z lowered; path: from
@@ -40,6 +50,18 @@ def url_parts(url: str = "url"):
     return F.translate(host, upper, upper.lower()), path
 
 
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """(prefix, verdict, is_rule): entries that block the hosts of `pages` (url) named by a word of CATEGORIES.
+
+    An entry begins at the rightmost label with such a word, so it holds for all subdomains of that name.
+    """
+    host, _ = url_parts()
+    words = "|".join(sorted({w for of in CATEGORIES.values() for w in of}))
+    named = F.regexp_extract(host, rf"(?:^|\.)((?:[^.]*[^a-z.])?(?:{words})(?:[^a-z.][^.]*)?(?:\.(?!(?:[^.]*[^a-z.])?(?:{words})(?:[^a-z.]|\.|$))[^.]*)*)$", 1)
+    hosts = pages.select(named.alias("host")).where("host <> ''").distinct()
+    return hosts.select(F.concat("host", F.lit("/")).alias("prefix"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
+
+
 def write_list(entries: list[tuple[str, str, bool]], folder: Path) -> list[Path]:
     """Files of the list's entries (prefix, verdict, is a rule), sorted by digest. Equal entries count once:
     a rule before others, then the first verdict by name."""
