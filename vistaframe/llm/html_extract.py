@@ -25,7 +25,9 @@ VOTES = 3
 #: What a container counts of its inner containers' scores.
 INNER = 0.7
 
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>?)", re.S)
+TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>?)", re.S)
+#: Attributes whose quoted values all begin after = and end before white space, a slash, the end or another attribute.
+CLOSED = re.compile(r"(?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/]|\Z|[a-zA-Z][\w:.-]*\s*=)|[^\"'>])*+", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -62,15 +64,15 @@ class Page:
             if m.start() > at:
                 self._say(source[at : m.start()])
             at = m.end()
-            tag = m[3]
+            tag = m[3] or m[6]
             if not tag:
                 continue
             tag = tag.lower()
-            attributes = m[4]
-            if len(attributes) > 400 and ">" in attributes:  # a quote left open: the tag ends at the first >
+            closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
+            if ">" in attributes and not CLOSED.fullmatch(attributes):  # a quote left open: the tag ends at the first >, as with m[6]
                 short = LOOSE.match(source, m.start())
                 at, attributes = short.end(), short[3]
-            if m[2]:
+            if closing:
                 self._close(tag)
             elif tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(source, at)
