@@ -49,8 +49,8 @@ def test_matches_brute_force(spark, monkeypatch):
     docs = [(i, text(r.randrange(0, 60)).replace(" ", r.choice([" ", "-\n", "_"]))) for i in range(40)] + [(50, None), (51, ""), (None, text(30)), (1, text(9)), (60, " ".join(["a"] * 400))]
     d = spark.createDataFrame([(x, t, 5) for x, t in docs], "doc_id long, text string, items int")
     b = spark.createDataFrame(bench, "item_id long, text string")
-    for most in (1 << 20, 30):
-        monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)
+    for most in (1 << 28, 3000):
+        monkeypatch.setattr(decontaminate, "PART_BYTES", most)
         got = contamination(d, b, 5).collect()
         assert sorted(((x.doc_id, x.n_words, [i for s, e in x.spans for i in range(s, e)], x["items"]) for x in got), key=str) == brute(docs, bench, 5)
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import WordHash, blocks, written
+from vistaframe.llm.common import WordHash, added, written
 from vistaframe.llm.textstats import COLUMNS, ratios, text_stats
 
 TREES, TREE_ROWS = 128, 256
@@ -67,15 +66,17 @@ class IsolationForest:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of COLUMNS and their ratios (stats) for each row of docs (doc_id, text)."""
 
-    def count(batches):
+    def make():
         hashes = WordHash()
-        for b in batches:
-            for at in blocks(b.text.str.len().fillna(0).to_numpy(np.int64)):
-                counts, _, _ = text_stats(b.text.iloc[at].tolist(), hashes)
-                yield pd.DataFrame({"doc_id": b.doc_id.iloc[at].to_numpy(), **dict(zip(COLUMNS, counts.T)), "stats": list(ratios(counts))}).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", stats array<double>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(count, schema)
+        def count(texts):
+            counts, _, _ = text_stats(texts, hashes)
+            return *counts.T, ratios(counts).tolist()
+
+        return count
+
+    gives = ", ".join(f"{c} long" for c in COLUMNS) + ", stats array<double>"
+    return added(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["text"], gives, make, drop=("text",))
 
 
 def best_threshold(tally: list[tuple[int, int, int]]) -> float:
@@ -97,22 +98,23 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base_failed: fewer than 50 words, or over half of the words are in three-word windows the text holds
     twice or more. anomalous: the score reaches a threshold set on all rows of `labels` (doc_id, quality)
     that aren't null and don't fail. kept: neither. Null and empty texts have no words and so fail; without labels nothing
-    is anomalous. A doc_id labelled twice counts with its lowest label. Other columns are ignored.
+    is anomalous. A doc_id labelled twice counts with its lowest label; of rows with one doc_id, one is drawn
+    from. Other columns are ignored.
     """
     spark = docs.sparkSession
     counted = written(statistics(docs))
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("doc_id")
-    sample = sorted(tuple(r.stats) for r in counted.join(F.broadcast(chosen), "doc_id").select("stats").collect())
+    # one row an id: what reaches the driver is bounded by FIT_ROWS
+    drawn = counted.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"))
+    sample = sorted(tuple(r.stats) for r in drawn.collect())
     forest = spark.sparkContext.broadcast(IsolationForest(np.array(sample)) if len(sample) > 1 else None)
 
-    def rate(batches):
-        for b in batches:
-            f = forest.value
-            x = np.stack(b.stats.to_list()) if len(b) else np.zeros((0, 1))
-            yield b.drop(columns="stats").assign(score=f.score(x) if f and len(b) else 0.0).astype({"doc_id": "Int64"})
+    def make():
+        f = forest.value
+        return lambda stats: (f.score(np.array(stats)) if f and len(stats) else np.zeros(len(stats)),)
 
-    scored = written(counted.mapInPandas(rate, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", score double"))
+    scored = written(added(counted, ["stats"], "score double", make, drop=("stats",)))
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     steps = scored.where(~base).join(labels, "doc_id").groupBy(F.floor(F.col("score") * STEPS).alias("step"))
     tally = steps.agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") != 0).alias("good")).collect()

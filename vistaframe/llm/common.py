@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from vistaframe.operators.graph import components
 from vistaframe.shared import listed, shared_dir, written
@@ -39,6 +42,37 @@ def blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def added(df: DataFrame, takes: list[str], gives: str, make: Callable[[], Callable], drop: tuple = ()) -> DataFrame:
+    """df with the columns `gives` (DDL), computed by make()(list of values of each column of `takes`).
+
+    All other columns but those in `drop` pass through as Arrow data, so no id or nullable number is converted. A
+    call gets rows of at most BLOCK_BYTES of the first taken column, or one row.
+    """
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    new = StructType.fromDDL(gives).fields
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        f = make()
+        for b in batches:
+            for at in blocks(byte_sizes(b.column(takes[0]))):
+                s = b.slice(at.start, at.stop - at.start)
+                got = f(*(s.column(t).to_pylist() for t in takes))
+                cols = [s.column(c.name) for c in kept] + [pa.array(x, to_arrow_type(c.dataType)) for c, x in zip(new, got)]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.name for c in [*kept, *new]])
+
+    return df.mapInArrow(run, StructType([*kept, *new]))
+
+
+def byte_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a text column (null: 0), or items of lists at 8 bytes each."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return 8 * np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
+    n = pa.compute.binary_length(column)
+    return np.asarray(pa.compute.fill_null(n, 0), np.int64)
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered for a bounded vocabulary."""
 

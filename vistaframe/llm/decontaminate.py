@@ -10,14 +10,13 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import alnum_words, blocks, written
+from vistaframe.llm.common import added, alnum_words, written
 
-#: UTF-8 bytes of test items searched for at once; more items are searched in further passes.
-ITEM_BYTES = 16 << 20
+#: Bytes that the windows of test items searched for at once may take in Python; more are searched in further passes.
+PART_BYTES = 256 << 20
 #: One suffix position in so many is kept.
 SAMPLE = 8
 
@@ -112,21 +111,42 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of test items, as symbols of the words that occur in them."""
-
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        windows: dict[tuple, set] = {}
-        for item, text in items:
-            w = alnum_words(text)
-            for i in range(max(1, len(w) - width + 1) if w else 0):
-                windows.setdefault(tuple(w[i : i + width]), set()).add(item)
-        self.items = [sorted(x) for x in windows.values()]
-        self.words = {w: i for i, w in enumerate(sorted({w for x in windows for w in x}), 1)}
-        self.lengths = np.array([len(x) for x in windows], np.int64)
+    """The distinct windows of test items, as symbols of the words that occur in them.
+
+    windows: rows (item ids that share the window, its words), each window once. Held as arrays and one word list, so
+    that a part takes memory in proportion to its bytes.
+    """
+
+    def __init__(self, windows: list[tuple[list[str], list[str]]], width: int):
+        self.ids, at = np.unique(np.array([i for items, _ in windows for i in items], object), return_inverse=True) if windows else (np.array([], object), np.array([], int))
+        self.item = at.astype(np.int32)
+        self.first = np.cumsum([0, *(len(items) for items, _ in windows)])
+        self.words = {w.encode(): i for i, w in enumerate(sorted({w for _, x in windows for w in x}), 1)}
+        self.lengths = np.array([len(x) for _, x in windows], np.int64)
         self.shortest = int(self.lengths.min()) if windows else 0
-        self.symbols = np.zeros((len(windows), width), np.int64)
-        for row, x in enumerate(windows):
-            self.symbols[row, width - len(x) :] = [self.words[w] for w in x]
+        self.symbols = np.zeros((len(windows), width), np.int32)
+        for row, (_, x) in enumerate(windows):
+            self.symbols[row, width - len(x) :] = [self.words[w.encode()] for w in x]
+
+    def items_of(self, phrase: int) -> list[str]:
+        return self.ids[self.item[self.first[phrase] : self.first[phrase + 1]]].tolist()
+
+
+def item_windows(tests: DataFrame, width: int) -> DataFrame:
+    """(part_of, items, words): the distinct windows of the items (item, text), with the ids of those that have each."""
+
+    def make():
+        def cut(texts):
+            out = []
+            for t in texts:
+                w = [x.decode() for x in alnum_words(t)]
+                out.append([w[i : i + width] for i in range(max(1, len(w) - width + 1) if w else 0)])
+            return (out,)
+
+        return cut
+
+    cut = added(tests, ["text"], "windows array<array<string>>", make, drop=("text",))
+    return cut.select("item", F.explode("windows").alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _hits(texts: list, phrases: Phrases) -> list[tuple[int, list, list]]:
@@ -164,7 +184,7 @@ def _hits(texts: list, phrases: Phrases) -> list[tuple[int, list, list]]:
     found = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, which]), axis=1)
     items: dict[int, set] = {}
     for doc, p in found.T.tolist():
-        items.setdefault(doc, set()).update(phrases.items[p])
+        items.setdefault(doc, set()).update(phrases.items_of(p))
     for doc, x in items.items():
         out[doc][2].extend(sorted(x))
     return out
@@ -177,30 +197,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Dat
     Words are runs of digits, letters and non-ASCII characters, A-Z lowered. A phrase is `width` consecutive
     words of an item; a shorter item, but not one without words, is one phrase. Null texts have no words;
     items with a null id or text are left out; repeated items count once. Columns of docs that are
-    named n_words, spans or items are replaced.
+    named n_words, spans or items are replaced; all others pass unchanged.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "spans", "items")
+    docs = docs.drop("n_words", "spans", "items", "_n", "_spans", "_items")
     tests = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + size // ITEM_BYTES
-    fields = docs.schema.fields
+    windows = written(item_windows(tests.distinct(), width))
+    # in Python a window takes some 100 bytes a word and 60 an item id: a part's size bounds driver and workers
+    size = windows.agg(F.sum(F.size("words") * 100 + F.size("items") * 60)).first()[0] or 0
+    parts = 1 + size // PART_BYTES
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")})
     for part in range(parts):
-        chosen = tests.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else tests
-        phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in chosen.collect()], width))
-
-        def find(batches, phrases=phrases):
-            for b in batches:
-                for at in blocks(b.text.str.len().fillna(0).to_numpy(np.int64)):
-                    s = b.iloc[at]
-                    found = _hits(s.text.tolist(), phrases.value)
-                    old = zip(s["spans"], s["items"])
-                    both = [(n, merged(x, y), sorted({*z, *i})) if len(x) or len(z) else (n, y, i) for (n, y, i), (x, z) in zip(found, old)]
-                    cols = {c.name: s[c.name] for c in fields}
-                    yield pd.DataFrame(cols | {k: pd.Series([x[j] for x in both], index=s.index) for j, k in enumerate(("n_words", "spans", "items"))})
-
-        out = out.mapInPandas(find, out.schema)
+        chosen = windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == part) if parts > 1 else windows
+        phrases = spark.sparkContext.broadcast(Phrases([(r["items"], r["words"]) for r in chosen.collect()], width))
+
+        def make(phrases=phrases):
+            def find(texts, spans, items):
+                found = _hits(texts, phrases.value)
+                both = [(n, merged(x, y), sorted({*z, *i})) if x or z else (n, y, i) for (n, y, i), x, z in zip(found, spans, items)]
+                return tuple(map(list, zip(*both)))
+
+            return find
+
+        out = added(out, ["text", "spans", "items"], "_n long, _spans array<array<long>>, _items array<string>", make, drop=("n_words", "spans", "items"))
+        out = out.withColumnsRenamed({"_n": "n_words", "_spans": "spans", "_items": "items"})
         if parts > 1:
             out = written(out)
     return out

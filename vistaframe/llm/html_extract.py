@@ -1,29 +1,37 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the text they hold directly; the best ones vote, by generalised
-tag-class paths, for the container of their host's articles. The text is then taken from each page's
-container on its host's winning path.
+Each page's containers are scored by the text they hold. A page votes for the generalised tag-class path of its best
+container; the votes of a host, and how often the same text recurs under a path of the host, are counted in Spark.
+The text is then taken from each page again, from the container on the host path that scores best there.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import blocks, listed, written
+from vistaframe.llm.common import added, listed, written
 from vistaframe.llm.url_filter import url_parts
 
-#: Paths that win for a host: its pages may have a few layouts.
-WINNERS = 5
-#: Containers of a page that vote.
-VOTES = 3
+#: Share of its host's votes (or pages) that a path needs to count for the host; so a host has at most 1 / SHARE
+#: winning paths.
+SHARE = 0.01
+#: Pages of a host on which a path is found before its texts are compared, and the share of them that must recur.
+LEAST_PAGES, RECURRING = 10, 0.5
 #: What a container counts of its inner containers' scores.
 INNER = 0.7
+#: A container within another that has more than this share of its text is the better of the two.
+HALF = 0.5
+#: The share of its host's votes that a page gives the path of its own best container at least.
+OWN = 0.001
+#: What text counts in a container that is named like a page's furniture, or whose text recurs; such a container
+#: within an article goes if it then scores less than LEAST of the rest.
+LOWERED, LEAST = 0.1, 0.25
+VOTE = 1000
 
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>?)", re.S)
 #: Attributes whose quoted values all begin after = and end before white space, a slash, the end or another attribute.
@@ -34,16 +42,17 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
 # fixed values of HTML and of common page layouts
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "canvas", "object", "select", "button", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "canvas", "object", "select", "button", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "address", "details", "summary", "hr", "br"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "aside", "nav", "header", "footer", "form", "body", "html"}
-DROPPED_TAGS = {"head", "nav", "footer", "aside", "form", "dialog", "menu"}
-DROPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "discussion", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pagination", "pager", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar", "widget", "widgets"}
-HEADER_WORDS = {"header", "masthead"}
+# tags that HTML itself defines as not being the article
+DROPPED_TAGS = {"head", "nav", "footer", "aside", "dialog", "menu"}
+FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "discussion", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pagination", "pager", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar", "widget", "widgets"}
+NEUTRAL = {"area", "bar", "block", "bottom", "box", "container", "inner", "left", "list", "outer", "page", "post", "right", "section", "site", "top", "wrap", "wrapper"}
 ARTICLE_WORDS = {"article", "content", "entry", "main", "post", "story"}
 
 
@@ -51,7 +60,7 @@ class Page:
     """Elements in page order, each with its parent, its span of pieces of text and its path."""
 
     def __init__(self, source: str, paths: dict):
-        self.parent, self.path, self.tag, self.dropped, self.good, self.start, self.stop = [-1], [""], [""], [False], [False], [0], [0]
+        self.parent, self.path, self.tag, self.dropped, self.good, self.low, self.holder, self.start, self.stop = [-1], [""], [""], [False], [False], [False], [0], [0], [0]
         self.text: list[str] = []
         self.owner: list[int] = []
         self._paths = paths
@@ -126,16 +135,18 @@ class Page:
             if len(self._paths) > 100_000:
                 self._paths.clear()
             known = self._paths[key] = _described(*key)
-        path, words = known
-        good = tag in ("article", "main") or bool(words & ARTICLE_WORDS)
+        path, article, furniture = known
+        good = tag in ("article", "main") or article
         inside = self.good[up]
-        bad = tag in DROPPED_TAGS or bool(words & DROPPED_WORDS and not words & ARTICLE_WORDS) or (tag == "header" or bool(words & HEADER_WORDS)) and not inside or "comments" in words or "comment" in words
         self._stack.append(len(self.path))
         self.parent.append(up)
         self.path.append(path)
         self.tag.append(tag)
-        self.dropped.append(self.dropped[up] or (bad and tag not in ("html", "body")))
+        self.dropped.append(self.dropped[up] or tag in DROPPED_TAGS or tag == "header" and not inside)
         self.good.append(inside or good and tag not in ("html", "body"))
+        container = tag not in INLINE and tag not in PARAGRAPH
+        self.low.append(tag == "form" or furniture and container and tag not in ("html", "body"))
+        self.holder.append(len(self.holder) if container else self.holder[up])
         self.start.append(len(self.text))
         self.stop.append(0)
 
@@ -150,107 +161,195 @@ class Page:
             if t in BOUNDS:
                 return
 
-    def candidates(self) -> list[tuple[float, int]]:
-        """Containers with a score, best first: the text they hold directly or in paragraphs, and INNER of
-        their inner containers' scores; links count against them."""
+    def scored(self, recurring: frozenset = frozenset()) -> list[tuple[float, float, int]]:
+        """(score, score without inner containers, element) of the containers with any, best first.
+
+        A score is the text held directly or in paragraphs, less what links hold, and INNER of the inner containers'
+        scores. Text in furniture, or held on one of the recurring paths, counts LOWERED.
+        """
         n = len(self.path)
-        link = [False] * n
-        holder = list(range(n))
+        link, low = [False] * n, [False] * n
+        holder = self.holder
         for e in range(1, n):
             up = self.parent[e]
             link[e] = link[up] or self.tag[e] == "a"
-            if self.tag[e] in INLINE or self.tag[e] in PARAGRAPH:
-                holder[e] = holder[up]
+            low[e] = low[up] or self.low[e]
         score, links = [0.0] * n, [0.0] * n
         for text, e in zip(self.text, self.owner):
             if not self.dropped[e]:
-                size = len(text.strip())
+                size = len(text.strip()) * (LOWERED if low[e] or self.path[holder[e]] in recurring else 1)
                 score[holder[e]] += size
                 if link[e]:
                     links[holder[e]] += size
         out = []
+        direct = [max(0.0, s - 2 * x) for s, x in zip(score, links)]
         for e in range(n - 1, 0, -1):
             if holder[e] == e and not self.dropped[e]:
                 own = max(0.0, score[e] - 2 * links[e])
                 if own > 0 or self.tag[e] in ("article", "main"):
-                    favoured = self.tag[e] in ("article", "main") or self.good[e] and not self.good[self.parent[e]]
-                    out.append(((own + 1) * (3 if favoured else 1), e))
+                    favour = 3 if self.tag[e] in ("article", "main") or self.good[e] and not self.good[self.parent[e]] else 1
+                    out.append(((own + 1) * favour, (direct[e] + 1) * favour, e))
                 up = holder[self.parent[e]]
                 score[up] += INNER * score[e]
                 links[up] += INNER * links[e]
-        return sorted(out, key=lambda x: (-x[0], x[1]))
+        return sorted(out, key=lambda x: (-x[0], x[2]))
+
+    def top(self, scored: list[tuple[float, float, int]]) -> int:
+        """The best container, or one within it that has more than half of its score before discounts."""
+        if not scored:
+            return 0
+        most, _, at = scored[0]
+        for whole, _, e in scored[1:]:
+            if e > at and self.start[e] < self.stop[at] and whole * INNER > HALF * most:
+                most, at = whole, e
+        return at
+
+    def on(self, path: str) -> list[int]:
+        """The containers on a path, outermost ones."""
+        return [e for e in range(1, len(self.path)) if self.path[e] == path and not self.dropped[e] and self.tag[e] not in INLINE]
+
+    def own_texts(self) -> dict[int, str]:
+        """The text of each container, without that of its inner containers."""
+        parts: dict[int, list[str]] = {}
+        for text, e in zip(self.text, self.owner):
+            if not self.dropped[e]:
+                parts.setdefault(self.holder[e], []).append(text)
+        return {e: t for e, x in parts.items() if (t := " ".join("".join(x).split()))}
 
-    def words(self, elements: list[int]) -> str:
-        """The text of these elements, in page order, without dropped parts."""
-        keep: list[str] = []
-        done = 0
+    def words(self, elements: list[int], recurring: frozenset = frozenset()) -> str:
+        """The text of these elements, in page order, without dropped parts and without furniture that scores
+        little beside the rest."""
+        done, pieces = 0, []
+        group = [-1] * len(self.path)  # the outermost furniture within the chosen elements, or a recurring container
         for e in sorted(elements):
-            for i in range(max(done, self.start[e]), self.stop[e]):
-                if not self.dropped[self.owner[i]]:
-                    keep.append(self.text[i])
-            keep.append(" ")
+            last = len(self.path)
+            for i in range(e + 1, last):
+                if self.start[i] >= self.stop[e] and self.parent[i] < e:
+                    break
+                up = self.parent[i]
+                inside = group[up] if up > e else -1
+                if inside >= 0 and (self.low[inside] or self.holder[i] != i):
+                    group[i] = inside
+                elif self.low[i] or self.holder[i] == i and self.path[i] in recurring:
+                    group[i] = i
+            pieces += [*range(max(done, self.start[e]), self.stop[e]), -1]
             done = max(done, self.stop[e])
+        size: dict[int, int] = {}
+        for i in pieces:
+            if i >= 0 and not self.dropped[self.owner[i]]:
+                g = group[self.owner[i]]
+                size[g] = size.get(g, 0) + len(self.text[i].strip())
+        gone = {g for g, n in size.items() if g >= 0 and LOWERED * n < LEAST * size.get(-1, 0)}
+        keep = [" " if i < 0 else self.text[i] for i in pieces if i < 0 or not self.dropped[self.owner[i]] and group[self.owner[i]] not in gone]
         return " ".join("".join(keep).split())
 
 
-def _described(above: str, tag: str, attributes: str) -> tuple[str, frozenset]:
-    """The element's path, with digits generalised, and the words of its class, id and role."""
+def _described(above: str, tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The element's path, with digits generalised; whether its class, id or role names an article; whether one of
+    these names is made up of words of FURNITURE and NEUTRAL only, with one of FURNITURE."""
     named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)} if "=" in attributes else {}
-    words = frozenset(w.lower() for v in named.values() for w in WORD.findall(v))
+    names = [{w.lower() for w in WORD.findall(x)} for v in named.values() for x in v.split()]
+    article = any(n & ARTICLE_WORDS for n in names)
+    comments = any(n & {"comment", "comments"} and n <= FURNITURE | NEUTRAL for n in names)
+    furniture = comments or not article and any(n & FURNITURE and n <= FURNITURE | NEUTRAL for n in names)
     classes = ".".join(sorted(DIGITS.sub("#", named.get("class", "")).split()))
-    return f"{above}/{tag}{'.' + classes if classes else ''}" if tag not in INLINE else above, words
+    return (f"{above}/{tag}{'.' + classes if classes else ''}" if tag not in INLINE else above), article and not comments, furniture
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _votes(pages: DataFrame) -> DataFrame:
-    def vote(batches):
+def _seen(pages: DataFrame) -> DataFrame:
+    """(host, path, text, page, vote): a row for each container of each page; path, text and page are digests. A page
+    has VOTE votes, all for the path of its best container."""
+
+    def make():
         paths: dict = {}
-        for b in batches:
-            found: Counter = Counter()
-            for host, source in zip(b.host, b.html):
+
+        def look(sources):
+            out = []
+            for source in sources:
                 page = Page(source, paths)
-                best = page.candidates()[:VOTES]
-                total = sum(s for s, _ in best) or 1
-                for s, e in best:
-                    found[host, page.path[e]] += round(1000 * s / total)
-            yield pd.DataFrame([(h, p, n) for (h, p), n in found.items()], columns=["host", "path", "n"])
+                top = page.path[page.top(page.scored())]
+                rows = [{"path": digest(page.path[e]), "text": digest(t), "vote": 0} for e, t in page.own_texts().items() if e]
+                rows.append({"path": digest(top), "text": None, "vote": VOTE})
+                out.append(rows)
+            return (out,)
 
-    votes = pages.select("host", "html").mapInPandas(vote, "host string, path string, n long")
-    return votes.groupBy("host", "path").agg(F.sum("n").alias("n"))
+        return look
+
+    looked = added(pages.select("html", "host"), ["html"], "seen array<struct<path: bigint, text: bigint, vote: bigint>>", make)
+    return looked.select("host", F.xxhash64("html").alias("page"), F.inline("seen"))
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, ways, recurring) of pages (host, html): each host's winning paths with their share of its votes, and
+    the paths whose texts recur on pages that differ. A host has a bounded number of either; paths are digests."""
+    # texts first: a host's rows are spread over its texts before they meet
+    one = _seen(pages).groupBy("host", "path", "text").agg(F.sum("vote").alias("vote"), F.count("text").alias("n"), (F.min("page") != F.max("page")).alias("again"))
+    two = one.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.sum("n").alias("n"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("again"))
+    two = written(two)
+    total = two.groupBy("host").agg(F.sum("vote").alias("votes"))
+    x = two.join(total, "host")
+    wins = (F.col("vote") > 0) & (F.col("vote") >= SHARE * F.col("votes"))
+    recurs = (F.col("n") >= LEAST_PAGES) & (F.col("n") * VOTE >= SHARE * F.col("votes")) & (F.col("again") >= RECURRING * F.col("n"))
+    # votes for what recurs are votes for furniture
+    share = F.col("vote") / F.col("votes") * F.greatest(F.lit(1e-6), 1 - F.col("again") / F.greatest("n", F.lit(1)))
+    x = x.where(wins | recurs).groupBy("host").agg(
+        F.array_sort(F.collect_list(F.when(wins, F.struct("path", share.alias("share"))))).alias("ways"),
+        F.array_sort(F.collect_list(F.when(recurs, F.col("path")))).alias("recurring"),
+    )
+    return written(x)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """`pages` (url, html and any other columns) with text: the article of the page.
 
     Left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader
-    comments. Character references are decoded; runs of white space and block borders become one space. A
-    null or empty html has an empty text; pages with a null url share a host. Unclosed tags and
-    comments end with the page. A column of pages named text or host is replaced.
+    comments: by their tags, by lying outside the container on the host's winning path, or, within it, by names
+    or recurring text that lower their score. Character references are decoded; runs of white space and block borders
+    become one space. A null or empty html has an empty text; pages with a null url share a host. Unclosed tags and
+    comments end with the page. A column of pages named text is replaced; all others pass unchanged.
     """
     host, _ = url_parts()
-    pages = pages.drop("text", "host", "winners").withColumns({"host": host, "html": F.coalesce("html", F.lit(""))})
-    rank = Window.partitionBy("host").orderBy(F.desc("n"), "path")
-    best = _votes(pages).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= WINNERS)
-    winners = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("winners"))
-    joined = pages.join(listed(written(winners)), "host", "left")
-    fields = [f for f in pages.schema.fields if f.name not in ("html", "host")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
-
-    def extract(batches):
-        paths: dict = {}
-        for b in batches:
-            for at in blocks(b.html.str.len().to_numpy()):
-                s = b.iloc[at]
-                texts = []
-                for source, of_host in zip(s.html, s.winners):
-                    page = Page(source, paths)
-                    there: dict = {}
-                    for e in range(1, len(page.path)):
-                        if not page.dropped[e] and page.tag[e] not in INLINE:
-                            there.setdefault(page.path[e], []).append(e)
-                    chosen = next((there[p] for p in (of_host if of_host is not None else ()) if p in there), None)
-                    if chosen is None:
-                        chosen = [e for _, e in page.candidates()[:1]] or [0]
-                    texts.append(page.words(chosen))
-                yield s[[f.name for f in fields]].assign(text=texts)
-
-    return joined.mapInPandas(extract, schema)
+    pages = pages.drop("text").withColumns({"_host": host, "_html": F.coalesce("html", F.lit(""))})
+    found = host_paths(pages.select(F.col("_host").alias("host"), F.col("_html").alias("html")))
+    joined = pages.join(listed(found.withColumnsRenamed({"host": "_host", "ways": "_ways", "recurring": "_recurring"})), "_host", "left")
+
+    def make():
+        paths, digests = {}, {}
+
+        def of(path):
+            if path not in digests:
+                if len(digests) > 100_000:
+                    digests.clear()
+                digests[path] = digest(path)
+            return digests[path]
+
+        def extract(sources, ways, recurring):
+            texts = []
+            for source, way, again in zip(sources, ways, recurring):
+                page = Page(source, paths)
+                share = {w["path"]: w["share"] for w in way or ()}
+                again = set(again or ())
+                lowered = frozenset(p for p in set(page.path) if of(p) in again) if again else frozenset()
+                best = page.scored(lowered)
+                own = page.top(best)
+                above = set()  # what lies around the page's own best container counts without it
+                e = own
+                while e > 0:
+                    e = page.parent[e]
+                    above.add(e)
+                by_path: dict = {}
+                for whole, direct, e in best:
+                    by_path[page.path[e]] = by_path.get(page.path[e], 0.0) + (direct if e in above else whole)
+                said = lambda p: max(share.get(of(p), 0.0), OWN if p == page.path[own] else 0.0)
+                chosen = max(by_path, key=lambda p: (by_path[p] * said(p), p), default="")
+                texts.append(page.words(page.on(chosen) if chosen else [0], lowered - {chosen}))
+            return (texts,)
+
+        return extract
+
+    out = added(joined, ["_html", "_ways", "_recurring"], "text string", make, drop=("_html", "_ways", "_recurring", "_host", "html"))
+    return out.select(*[c for c in pages.columns if c in out.columns], "text")

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from vistaframe.llm.url_filter import BLOCKED_HOSTS, RULES
+from vistaframe.llm.url_filter import BLOCKED_HOSTS, CATEGORIES, RULES
 
 ORACLES: dict[str, str] = {}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _entries = ", ".join([f"('{p}', '{v}', TRUE)" for p, v in RULES] + [f"('{h}/', 'block', FALSE)" for h in BLOCKED_HOSTS])
 _rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+_named = "(^|[^a-z])(" + "|".join(sorted({w for of in CATEGORIES.values() for w in of})) + ")([^a-z]|$)"
 
 ORACLES["op1_url_filters"] = f"""
-WITH e(prefix, verdict, is_rule) AS (VALUES {_entries}),
-p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({_rest}, '') AS rest FROM pages)),
+WITH p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({_rest}, '') AS rest FROM pages)),
+l AS (SELECT string_split(host, '.') AS parts FROM p),
+h AS (SELECT DISTINCT array_to_string(list_slice(parts, place, len(parts)), '.') AS host FROM (SELECT parts, list_max(list_filter(range(1, len(parts) + 1), lambda i: regexp_matches(parts[i], '{_named}'))) AS place FROM l) WHERE place IS NOT NULL),
+e(prefix, verdict, is_rule) AS (SELECT * FROM (VALUES {_entries}) UNION SELECT host || '/', 'block', FALSE FROM h),
 m AS (SELECT page_id, prefix, verdict, is_rule, row_number() OVER (PARTITION BY page_id ORDER BY is_rule DESC, length(prefix) DESC) AS place
       FROM p JOIN e ON (host = split_part(prefix, '/', 1) OR ends_with(host, '.' || split_part(prefix, '/', 1)))
-                   AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, substr(prefix, instr(prefix, '/'))))
+                   AND starts_with(CASE WHEN path = '' AND NOT is_rule THEN '/' ELSE path END, substr(prefix, instr(prefix, '/'))))
 SELECT p.page_id, host, path, CASE WHEN is_rule THEN prefix END AS rule, coalesce(verdict, 'allow') AS verdict
 FROM p LEFT JOIN (SELECT * FROM m WHERE place = 1) m ON p.page_id = m.page_id
 """

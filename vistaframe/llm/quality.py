@@ -7,11 +7,10 @@ factors of (sum v x)^2 - sum v^2 x^2, so a text is scored in time linear in its
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import U, WordHash, blocks
+from vistaframe.llm.common import U, WordHash, added
 from vistaframe.llm.textstats import ratios, text_stats
 
 #: Labelled rows the model is fitted on at most: those with the smallest hashes of their doc_id.
@@ -89,24 +88,29 @@ def held_out(doc_id="doc_id"):
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
-    """A model of labels.quality from at most FIT_ROWS rows that aren't held out; None without such rows."""
+    """A model of labels.quality from at most FIT_ROWS rows that aren't held out; None without such rows. Of
+    rows of docs that share an id, the one with the smallest hash of its text is learned from."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
-    def describe(batches):
+    def make():
         hashes = WordHash()
-        for b in batches:
-            for at in blocks(b.text.str.len().fillna(0).to_numpy(np.int64)):
-                stats, bucket, doc = features(b.text.iloc[at].tolist(), hashes)
-                cut = np.searchsorted(doc, np.arange(1, len(stats)))
-                yield pd.DataFrame({"doc_id": b.doc_id.iloc[at], "quality": b.quality.iloc[at], "stats": list(stats), "words": np.split(bucket, cut)})
 
-    sample = rows.mapInPandas(describe, "doc_id long, quality int, stats array<double>, words array<int>").toPandas()
+        def describe(texts):
+            stats, bucket, doc = features(texts, hashes)
+            return stats.tolist(), [x.tolist() for x in np.split(bucket, np.searchsorted(doc, np.arange(1, len(stats))))]
+
+        return describe
+
+    described = added(rows.withColumn("key", F.xxhash64("text")), ["text"], "stats array<double>, words array<int>", make, drop=("text",))
+    # one row an id: what reaches the driver is bounded by FIT_ROWS
+    one = described.groupBy("doc_id").agg(F.min_by(F.struct("quality", "stats", "words"), F.struct("key", "stats")).alias("x"))
+    sample = one.select("doc_id", "x.*").toPandas()
     if not len(sample):
         return None
-    sample = sample.assign(first=[tuple(x) for x in sample.stats]).sort_values(["doc_id", "first"])
+    sample = sample.sort_values("doc_id")
     stats = np.stack(sample.stats.to_list())
     return FactorisationMachine(stats).fit(stats, [np.asarray(w, np.int64) for w in sample.words], sample.quality.to_numpy(float))
 
@@ -116,22 +120,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The model learns from `labels` (doc_id, quality) rows that aren't held out; scores depend on the text
     alone. Null and empty texts are scored as texts without words. Without labels every score is 0.5. A
-    doc_id labelled twice counts with its lowest label. Columns of docs named score or predicted are replaced.
+    doc_id labelled twice counts with its lowest label, and of rows with one doc_id one is learned from. Columns
+    of docs named score or predicted are replaced; all others, ids and nulls among them, stay as they are.
     """
     docs = docs.drop("score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
-    def judge(batches):
+    def make():
         hashes, m = WordHash(), model.value
-        for b in batches:
-            for at in blocks(b.text.str.len().fillna(0).to_numpy(np.int64)):
-                s = b.iloc[at]
-                score = m.score(*features(s.text.tolist(), hashes)) if m else np.full(len(s), 0.5)
-                yield s.assign(score=score)
+        return lambda texts: (m.score(*features(texts, hashes)) if m else np.full(len(texts), 0.5),)
 
-    scored = docs.mapInPandas(judge, f"{ddl(docs)}, score double")
+    scored = added(docs, ["text"], "score double", make)
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
-
-
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

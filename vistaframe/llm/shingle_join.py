@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import U, WordHash, blocks, components, listed, lower_spaced_words, mix, written
+from vistaframe.llm.common import U, WordHash, added, blocks, components, listed, lower_spaced_words, mix, written
 
 #: Bits of the shortest token bitmap.
 BITS = 1024
@@ -191,34 +191,36 @@ def _frequent(docs: DataFrame, k: int) -> list:
 def _described(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     """doc_id, n, a signature of the whole set, the prefix and the bitmap."""
 
-    def describe(batches):
+    def make():
         tokens, ranks = frequent.value
         hashes = WordHash()
-        for b in batches:
-            for at in blocks(b.text.str.len().to_numpy()):
-                n, sig_a, sig_b, prefix, bits = [], [], [], [], []
-                sets = shingles(b.text.iloc[at].tolist(), k, hashes)
-                every = np.concatenate(sets)
-                spot = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
-                frequent_rank = np.where(tokens[spot] == every, ranks[spot], -1) if len(tokens) else np.full(len(every), -1)
-                done = 0
-                for h in sets:
-                    rank = frequent_rank[done : done + len(h)]
-                    done += len(h)
-                    n.append(len(h))
-                    whole = xxhash.xxh3_128_intdigest(h.tobytes())
-                    sig_a.append((whole >> 64) - (1 << 63))
-                    sig_b.append((whole & ((1 << 64) - 1)) - (1 << 63))
-                    bits.append(bitmap(h).tobytes())
-                    first = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
-                    rare = h[rank < 0]
-                    if len(rare) < first:
-                        often = np.flatnonzero(rank >= 0)
-                        rare = np.concatenate([rare, h[often[np.argsort(rank[often], kind="stable")]]])
-                    prefix.append(rare[:first].view(np.int64))
-                yield pd.DataFrame({"doc_id": b.doc_id.iloc[at].to_numpy(), "n": n, "sig_a": sig_a, "sig_b": sig_b, "prefix": prefix, "bits": bits})
-
-    return docs.select("doc_id", "text").mapInPandas(describe, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, bits binary")
+
+        def describe(texts):
+            n, sig_a, sig_b, prefix, bits = [], [], [], [], []
+            sets = shingles(texts, k, hashes)
+            every = np.concatenate(sets)
+            spot = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
+            frequent_rank = np.where(tokens[spot] == every, ranks[spot], -1) if len(tokens) else np.full(len(every), -1)
+            done = 0
+            for h in sets:
+                rank = frequent_rank[done : done + len(h)]
+                done += len(h)
+                n.append(len(h))
+                whole = xxhash.xxh3_128_intdigest(h.tobytes())
+                sig_a.append((whole >> 64) - (1 << 63))
+                sig_b.append((whole & ((1 << 64) - 1)) - (1 << 63))
+                bits.append(bitmap(h).tobytes())
+                first = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
+                rare = h[rank < 0]
+                if len(rare) < first:
+                    often = np.flatnonzero(rank >= 0)
+                    rare = np.concatenate([rare, h[often[np.argsort(rank[often], kind="stable")]]])
+                prefix.append(rare[:first].view(np.int64))
+            return n, sig_a, sig_b, prefix, bits
+
+        return describe
+
+    return added(docs.select("doc_id", "text"), ["text"], "n long, sig_a long, sig_b long, prefix array<long>, bits binary", make, drop=("text",))
 
 
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:

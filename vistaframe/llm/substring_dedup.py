@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import U, WordHash, blocks, listed, mix, spaced_words, written
+from vistaframe.llm.common import U, WordHash, added, blocks, listed, mix, spaced_words, written
 
 #: A perfect difference set modulo 31: each non-zero residue is a difference exactly once.
 PERIOD = 31
@@ -171,30 +171,31 @@ def _repeated(windows: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame, width: int) -> DataFrame:
-    def keep(batches):
+    def make():
         hashes, rolling = WordHash(), Windows(BASES[0])
-        for b in batches:
-            for at in blocks(b.text.str.len().fillna(0).to_numpy(np.int64)):
-                s = b.iloc[at]
-                n, removed, kept = [], [], []
-                for t, spots, whole in zip(s.text, s.spots, s.whole):
-                    w = spaced_words(t)
-                    if whole and len(w) >= width:
-                        gone = np.ones(len(w), bool)
-                    elif spots is not None and len(w) >= width:
-                        x = rolling.of(hashes.of(w), width)
-                        hit = np.isin(x, x[np.asarray(spots)])
-                        depth = np.r_[hit.astype(np.int32), np.zeros(width, np.int32)]
-                        depth[width:] -= hit
-                        gone = np.cumsum(depth[: len(w)]) > 0
-                    else:
-                        gone = None
-                    n.append(len(w))
-                    removed.append(0 if gone is None else int(gone.sum()))
-                    kept.append(b" ".join(w if gone is None else [x for x, g in zip(w, gone.tolist()) if not g]).decode())
-                yield pd.DataFrame({"doc_id": s.doc_id, "n_words": n, "n_removed": removed, "kept": kept}).astype({"doc_id": "Int64"})
-
-    return docs.mapInPandas(keep, "doc_id long, n_words long, n_removed long, kept string")
+
+        def keep(texts, spots, wholes):
+            n, removed, kept = [], [], []
+            for t, at, whole in zip(texts, spots, wholes):
+                w = spaced_words(t)
+                if whole and len(w) >= width:
+                    gone = np.ones(len(w), bool)
+                elif at is not None and len(w) >= width:
+                    x = rolling.of(hashes.of(w), width)
+                    hit = np.isin(x, x[np.asarray(at)])
+                    depth = np.r_[hit.astype(np.int32), np.zeros(width, np.int32)]
+                    depth[width:] -= hit
+                    gone = np.cumsum(depth[: len(w)]) > 0
+                else:
+                    gone = None
+                n.append(len(w))
+                removed.append(0 if gone is None else int(gone.sum()))
+                kept.append(b" ".join(w if gone is None else [x for x, g in zip(w, gone.tolist()) if not g]).decode())
+            return n, removed, kept
+
+        return keep
+
+    return added(docs, ["text", "spots", "whole"], "n_words long, n_removed long, kept string", make, drop=("text", "spots", "whole"))
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:

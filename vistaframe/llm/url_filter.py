@@ -13,15 +13,18 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vistaframe.llm.common import added, written
+
 #: Bytes of entries that are handed to every executor; longer lists are split and probed part by part.
-LIST_BYTES = 256 << 20
+LIST_BYTES = 64 << 20
+ENTRY_BYTES = 200
 VERDICTS = ("allow", "block")
+_handed_out: list = []
 
 # fixed values: the rules of the query's contract, longest match first
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -57,8 +60,10 @@ def listed_hosts(pages: DataFrame) -> DataFrame:
     """
     host, _ = url_parts()
     words = "|".join(sorted({w for of in CATEGORIES.values() for w in of}))
-    named = F.regexp_extract(host, rf"(?:^|\.)((?:[^.]*[^a-z.])?(?:{words})(?:[^a-z.][^.]*)?(?:\.(?!(?:[^.]*[^a-z.])?(?:{words})(?:[^a-z.]|\.|$))[^.]*)*)$", 1)
-    hosts = pages.select(named.alias("host")).where("host <> ''").distinct()
+    labels = F.split(host, r"\.")
+    named = F.filter(F.transform(labels, lambda x, i: F.when(x.rlike(f"(^|[^a-z])({words})([^a-z]|$)"), i + 1)), lambda i: i.isNotNull())
+    hosts = pages.select(labels.alias("labels"), F.array_max(named).alias("at")).where("at IS NOT NULL")
+    hosts = hosts.select(F.array_join(F.expr("slice(labels, at, size(labels))"), ".").alias("host")).distinct()
     return hosts.select(F.concat("host", F.lit("/")).alias("prefix"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
 
 
@@ -123,36 +128,47 @@ def filtered(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """`pages` (url and any other columns) with host, path, rule and verdict.
 
     entries: prefix (`host/path-prefix`, host lowered), verdict (allow or block), is_rule. An entry fits its
-    host and all subdomains if the path starts with the entry's. The longest rule that fits decides and
-    is named in `rule`; else the longest other entry that fits; else the url is allowed. A null url or one
-    without :// has an empty host and path and fits nothing; an empty path counts as /. Entries with
-    a null column or without a / are left out. Columns of pages with these four names are replaced.
+    host and all subdomains if the path starts with the entry's; an empty path starts with no rule's, but counts as /
+    for other entries. The longest rule that fits decides and is named in `rule`; else the longest other entry that fits; else the url is allowed. A null url
+    or one without :// has an empty host and path and fits nothing. Entries with a null column or without a / are
+    left out. Columns of pages with these four names are replaced; all others pass unchanged.
     """
     spark = pages.sparkSession
     host, path = url_parts()
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    pages = pages.drop("host", "path", "rule", "verdict", "_best").withColumns({"host": host, "path": path})
     known = entries.where(F.col("prefix").contains("/") & F.col("verdict").isin(*VERDICTS) & F.col("is_rule").isNotNull()).select("prefix", "verdict", "is_rule")
-    parts = 1 + (known.agg(F.sum(F.octet_length("prefix") + 17)).first()[0] or 0) // LIST_BYTES
-    out = pages.withColumns({"best": F.lit("").cast("string"), "says": F.lit(None).cast("string"), "by_rule": F.lit(False)})
+    # in Python an entry takes some 200 bytes besides its string: a part's size bounds the driver's memory
+    parts = 1 + (known.agg(F.sum(F.octet_length("prefix") + ENTRY_BYTES)).first()[0] or 0) // LIST_BYTES
+    known = written(known.withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(parts)))) if parts > 1 else known.withColumn("part", F.lit(0))
+    out = pages.withColumn("_best", F.lit(None).cast("struct<by_rule: boolean, size: int, prefix: string, verdict: string>"))
     for part in range(parts):
-        chosen = known.where(F.pmod(F.xxhash64("prefix"), F.lit(parts)) == part) if parts > 1 else known
-        files = write_list([tuple(r) for r in chosen.collect()], Path(tempfile.mkdtemp(prefix="spark-list-")))
+        chosen = known.where(F.col("part") == part).drop("part")
+        folder = tempfile.TemporaryDirectory(prefix="spark-list-")
+        files = write_list([tuple(r) for r in chosen.collect()], Path(folder.name))
         for f in files:
             spark.sparkContext.addFile(str(f))
         names = [f.name for f in files]
+        _handed_out.append(folder)  # removed when the driver ends: executors fetch the files when their tasks start
 
-        def judge(batches, names=names):
+        def make(names=names):
             listed = DigestArray([SparkFiles.get(n) for n in names])
-            for b in batches:
-                row, probe = _probes(b.host.tolist(), b.path.tolist(), listed.shapes)
-                at = listed.find(probe)
-                best, says, rule = b.best.tolist(), b.says.tolist(), b.by_rule.tolist()
-                for i, p, a in zip(row, probe, at.tolist()):
-                    if a >= 0:
-                        code = int(listed.says[a])
-                        if (bool(code & 1), len(p)) > (rule[i], len(best[i])):
-                            best[i], says[i], rule[i] = p, VERDICTS[code >> 1], bool(code & 1)
-                yield b.assign(best=best, says=pd.Series(says, index=b.index, dtype=object), by_rule=rule)
 
-        out = out.mapInPandas(judge, out.schema)
-    return out.withColumns({"rule": F.when(F.col("by_rule"), F.col("best")), "verdict": F.coalesce("says", F.lit("allow"))}).drop("best", "says", "by_rule")
+            def judge(hosts, paths):
+                best: list = [None] * len(hosts)
+                row, probe = _probes(hosts, paths, listed.shapes)
+                for i, p, a in zip(row, probe, listed.find(probe).tolist()):
+                    # an empty path doesn't start with a rule's /, but a listed host is listed without a path too
+                    if a >= 0 and (paths[i] or not listed.says[a] & 1):
+                        code = int(listed.says[a])
+                        if best[i] is None or (bool(code & 1), len(p)) > (best[i]["by_rule"], best[i]["size"]):
+                            best[i] = {"by_rule": bool(code & 1), "size": len(p), "prefix": p, "verdict": VERDICTS[code >> 1]}
+                return (best,)
+
+            return judge
+
+        out = added(out, ["host", "path"], "_new struct<by_rule: boolean, size: int, prefix: string, verdict: string>", make)
+        out = out.withColumn("_best", F.greatest("_best", "_new")).drop("_new")
+        if parts > 1:
+            out = written(out)
+    rule = F.when(F.col("_best.by_rule"), F.col("_best.prefix"))
+    return out.withColumns({"rule": rule, "verdict": F.coalesce("_best.verdict", F.lit("allow"))}).drop("_best")

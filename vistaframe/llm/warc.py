@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs
@@ -25,6 +27,8 @@ from vistaframe.llm.common import listed, shared_dir, written
 
 CHUNK = 1 << 20
 LEVEL = 3
+#: Records read back at once.
+READ_ROWS = 4096
 
 
 def opened(uri: str):
@@ -136,26 +140,23 @@ def write_monolithic(rows: Iterator[tuple], uri: str) -> int:
 
 def normalise(source: str, target: str) -> int:
     """Rewrites the archive with a member for each record and writes `target`.idx: a line of JSON each."""
-    at, lines = 0, []
-    with _Out(target) as f:
+    at, n = 0, 0
+    with _Out(target) as f, _Out(target + ".idx") as index:
         for r in records(inflated(_chunks(source))):
             z = zlib.compressobj(LEVEL, wbits=31)
             member = z.compress(r) + z.flush()
             f.write(member)
             h = headers(r[: r.index(b"\r\n\r\n")])
-            lines.append(json.dumps({"offset": at, "length": len(member), "type": h["warc-type"], "digest": h["warc-payload-digest"], "uri": h["warc-target-uri"]}))
-            at += len(member)
-    with _Out(target + ".idx") as f:
-        f.write("".join(x + "\n" for x in lines).encode())
-    return len(lines)
+            index.write(json.dumps({"offset": at, "length": len(member), "type": h["warc-type"], "digest": h["warc-payload-digest"], "uri": h["warc-target-uri"]}).encode() + b"\n")
+            at, n = at + len(member), n + 1
+    return n
 
 
 def read_indexed(uri: str) -> Iterator[dict]:
     """The archive's records, each by its offset; payloads of responses are checked against their digest."""
-    index = b"".join(_chunks(uri + ".idx")).decode()
     fs, path = opened(uri)
-    with fs.open_input_file(path) as f:
-        for line in index.splitlines():
+    with fs.open_input_file(path) as f, io.TextIOWrapper(io.BufferedReader(fs.open_input_stream(path + ".idx", compression=None))) as index:
+        for line in index:
             entry = json.loads(line)
             r = zlib.decompress(f.read_at(entry["length"], entry["offset"]), 31)
             end = r.index(b"\r\n\r\n")
@@ -165,11 +166,11 @@ def read_indexed(uri: str) -> Iterator[dict]:
             if h["warc-type"] == "response" and digest(payload) != said:
                 raise ValueError(f"a payload of {uri} doesn't have its digest")
             yield {
-                "page_id": int(h["x-page-id"]) if h["x-page-id"] else None,
+                "page_id": h["x-page-id"] or None,
                 "payload_bytes": int(headers(http)["content-length"]),
                 "payload_digest": said,
                 "record_type": h["warc-type"],
-                "refers_to": int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None,
+                "refers_to": h.get("x-refers-to-page-id"),
             }
 
 
@@ -186,11 +187,13 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     groups = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     again = written(groups.where("n > 1 AND last IS NOT NULL").select("sha", "last"))
-    joined = rows.join(listed(again), "sha", "left").select("page_id", "url", "html", F.expr("CASE WHEN page_id IS DISTINCT FROM last THEN last END").alias("refers_to"))
+    # ids go through Python as text: pandas has no exact integers beside nulls
+    refers = F.expr("CASE WHEN page_id IS DISTINCT FROM last THEN CAST(last AS STRING) END").alias("refers_to")
+    joined = rows.join(listed(again), "sha", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", refers)
 
     def archive(batches):
         uri = f"{folder}/whole/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        rows = ((*(None if pd.isna(x) else int(x) for x in (i,)), u, h.encode(), None if pd.isna(r) else int(r)) for b in batches for i, u, h, r in zip(b.page_id, b.url, b.html, b.refers_to))
+        rows = ((i, u, h.encode(), r) for b in batches for i, u, h, r in zip(b.page_id, b.url, b.html, b.refers_to))
         yield pd.DataFrame({"file": [uri], "n": [write_monolithic(rows, uri)]})
 
     def rewrite(batches):
@@ -218,8 +221,10 @@ def read_archives(files: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for uri in b.file:
-                rows = list(read_indexed(uri))
-                yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                rows = read_indexed(uri)
+                while some := list(islice(rows, READ_ROWS)):
+                    yield pd.DataFrame(some)
 
-    return _spread(files).mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = _spread(files).mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
