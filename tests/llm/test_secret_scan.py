@@ -63,3 +63,54 @@ def test_no_python_in_the_plan(spark):
     out = secret_spans(spark.createDataFrame([(1, "x")], "doc_id long, text string").where(F.col("doc_id") > 0))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_time_grows_in_proportion_to_the_matches_of_a_text(spark):
+    import time
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "token=abcdef1 " * n, 0)], "doc_id long, text string, n_chars int").coalesce(1)
+        began = time.time()
+        out = redacted(docs).selectExpr("length(text) AS n", "size(split(text, 'secret')) AS k").first()
+        assert tuple(out) == (9 * n, n + 1)
+        return time.time() - began
+
+    took(2000)
+    short, long = took(32_000), took(64_000)
+    assert long < 2.2 * short
+
+
+def battery(v):
+    """p-value of a token, from the definitions of the tests."""
+    import math
+
+    names = ((r"[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", str.lower), (r"[A-Z2-7]+=*", string.ascii_uppercase + "234567", str), (r"[0-9a-z]+|[0-9A-Z]+", string.digits + string.ascii_lowercase, str.lower), (r".*", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", str))
+    alphabet, fold = next((a, f) for p, a, f in names if re.fullmatch(p, v))
+    x = [alphabet.index(c) for c in fold(v).translate(str.maketrans("-_", "+/")) if c in alphabet]
+    n, k = len(x), len(alphabet)
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * max(-8, min(8, z)) + 0.070565 * max(-8, min(8, z)) ** 3))
+    chi = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    p1 = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    turns = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(x, x[1:]))
+    p2 = min(1, 2 * tail(abs((turns - (n - 1) / 2) / math.sqrt((n - 1) / 4))))
+    mean, var = (k - 1) / 2, (k * k - 1) / 12
+    p3 = min(1, 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / var / math.sqrt(n - 1))))
+    h = -sum(math.log(max(p, 1e-30)) for p in (p1, p2, p3))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_p_values_match_their_definitions(spark):
+    from vistaframe.llm.secret_scan import _scanned
+
+    r = random.Random(8)
+    pools = ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.ascii_letters + string.digits + "+/_-", "aB1"]
+    tokens = ["".join(r.choices(r.choice(pools), k=r.randrange(20, 90))) for _ in range(200)]
+    got = _scanned(spark.createDataFrame([(t,) for t in tokens], "text string")).select("text", "base", "tested").collect()
+    seen = 0
+    for x in got:
+        base = brute(x.text)
+        for t in x.tested:
+            seen += 1
+            assert (t.s, t.e) == (0, len(x.text)) and not any(s < t.e and t.s < e for s, _, e in base)
+            assert abs(t.p - battery(x.text)) < 1e-9
+    assert seen > 100

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vistaframe.llm.common import written
+
 # fixed values: the base patterns
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -32,25 +34,53 @@ MIXED = r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]|[a-z][A-Z].*[a-z][A-Z]"
 #: Steps between p-values, least and largest threshold, accepted share of tokens that aren't random.
 STEPS, LEAST_P, MOST_P, FALSE_SHARE = 100, 0.01, 0.5, 0.05
 KINDS = (*PATTERNS, "random")
+_OWN = ("_text", "_token", "_assign", "_access", "_hex", "_m", "_v", "_e", "_part", "_events", "_top", "_tops", "_cuts")
 
-_SPANS = "array<struct<s:int,e:int,v:string>>"
-
+_EMPTY = "CAST(array() AS array<struct<s:int,e:int,v:string>>)"
 
-def _located(text: Column, pattern: str, value: int = 0) -> Column:
-    """(s, e, v) of each match, leftmost first, without overlaps: what lies between matches gives their
-    places in code points; v is the group `value`."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(gaps.alias("g"), matches.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("v"))
-    zipped = F.filter(zipped, lambda x: x["m"].isNotNull())
 
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))).alias("out"))
+def _running(df: DataFrame, column: str, step: str) -> DataFrame:
+    """df with the array of ints `column` replaced by its running values: step is SQL of the value so far ({a}, at
+    first 0) and the next item ({y}).
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    An array grows by copies, so it is built in parts, each from the value at which the part before ends. With parts
+    of cbrt(2 n) items the copies are fewest.
+    """
+    every = f"sequence(0, size({column}) - 1, _part)"
+    # items are read by their places: to slice an array takes time for all of it
+    places = f"sequence(i, least(i + _part, size({column})) - 1)"
+    ends = f"aggregate({every}, array(0), (h, i) -> array_append(h, aggregate({places}, element_at(h, -1), (a, j) -> {step.format(a='a', y=f'{column}[j]')})))"
+    grown = f"aggregate({places}, array(v), (h, j) -> array_append(h, {step.format(a='element_at(h, -1)', y=f'{column}[j]')}))"
+    df = df.withColumn("_part", F.expr(f"CAST(greatest(1, ceil(cbrt(2 * size({column})))) AS INT)"))
+    # the parts' first values come as a lambda's argument, so that they are computed once
+    parts = f"zip_with({every}, {ends}, (i, v) -> IF(i IS NULL, CAST(array() AS array<int>), slice({grown}, 2, _part)))"
+    return df.withColumn(column, F.expr(f"IF(size({column}) = 0, CAST(array() AS array<int>), flatten({parts}))")).drop("_part")
+
+
+def _located(df: DataFrame, name: str, pattern: str, value: int = 0) -> DataFrame:
+    """df (_text) with the column `name`: (s, e, v) of each match, leftmost first, without overlaps. What lies between
+    matches gives their places in code points; v is the group `value`."""
+    text, has = F.col("_text"), F.col("_text").rlike(pattern)
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_m", F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn("_v", F.when(has & F.lit(value > 0), F.regexp_extract_all(text, F.lit(pattern), F.lit(value))).otherwise(F.col("_m")))
+    df = df.withColumn("_e", F.when(has, F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size("_m")), "_m", lambda g, m: F.length(g) + F.length(m))).otherwise(F.array().cast("array<int>")))
+    df = _running(df, "_e", "{a} + {y}")
+    spans = "transform(arrays_zip(_e, _m, _v), x -> named_struct('s', x._e - length(x._m), 'e', x._e, 'v', x._v))"
+    return df.withColumn(name, F.expr(f"IF(size(_e) = 0, {_EMPTY}, {spans})")).drop("_m", "_v", "_e")
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """df with the spans of _token that overlap none of `base`: in one sweep over the starts of base spans and the
+    ends of tokens, the furthest end of the base spans that start before a token's end mustn't be past its start."""
+    events = "array_sort(concat(transform(_token, x -> named_struct('at', x.e, 'base', 0, 'e', 0)), transform(base, b -> named_struct('at', b.s, 'base', 1, 'e', b.e))))"
+    df = df.withColumn("_events", F.expr(f"IF(size(_token) = 0, NULL, {events})")).withColumn("_top", F.expr("coalesce(transform(_events, x -> x.e), CAST(array() AS array<int>))"))
+    df = _running(df, "_top", "greatest({a}, {y})")
+    # tokens don't overlap one another, so their ends come in their own order
+    tops = "transform(filter(arrays_zip(_events, _top), x -> x._events.base = 0), x -> x._top)"
+    kept = f"transform(filter(arrays_zip(_token, _tops), x -> x._tops <= x._token.s), x -> x._token)"
+    df = df.withColumn("_tops", F.expr(f"IF(size(_token) = 0, CAST(array() AS array<int>), {tops})"))
+    return df.withColumn("_token", F.expr(f"IF(size(_token) = 0, _token, {kept})")).drop("_events", "_top", "_tops")
 
 
 def _steps() -> list[tuple[str, str]]:
@@ -84,15 +114,17 @@ def _steps() -> list[tuple[str, str]]:
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """docs with base (kind, s, e of all base spans, in order) and tested (s, e, id, enc, len, p of other tokens)."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_assign", F.filter(_located(text, PATTERNS["assign"], 2), lambda x: F.length(x["v"]) >= LEAST_VALUE))
-    out = out.withColumns({f"_{k}": _located(text, PATTERNS[k]) for k in ("access", "hex")} | {"_token": _located(text, TOKEN)})
+    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    for k, pattern in PATTERNS.items():
+        out = _located(out, f"_{k}", pattern, 2 if k == "assign" else 0)
+    out = _located(out, "_token", TOKEN).drop("_text")
+    out = out.withColumn("_assign", F.expr(f"filter(_assign, x -> length(x.v) >= {LEAST_VALUE})"))
     ranked = [F.expr(f"transform(_{k}, x -> named_struct('s', x.s, 'kind', {i}, 'e', x.e))") for i, k in enumerate(PATTERNS)]
-    out = out.withColumn("base", F.array_sort(F.concat(*ranked)))
-    out = out.withColumn("_token", F.expr(rf"filter(_token, x -> x.v RLIKE '{MIXED}' AND NOT exists(base, b -> b.s < x.e AND x.s < b.e))"))
+    out = out.withColumn("base", F.array_sort(F.concat(*ranked))).drop("_assign", "_access", "_hex")
+    out = _apart(out.withColumn("_token", F.expr(rf"filter(_token, x -> x.v RLIKE '{MIXED}')")))
     for step, part in _steps():
         out = out.withColumn("_token", F.expr(f"transform(_token, x -> {step.replace('{enc}', part).replace('{a}', part)})"))
-    return out.withColumnRenamed("_token", "tested").drop("_assign", "_access", "_hex")
+    return out.withColumnRenamed("_token", "tested")
 
 
 def thresholds(tally: list[tuple[str, int, int, int]]) -> dict[tuple[str, int], float]:
@@ -123,17 +155,16 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     has LEAST_VALUE characters or more. spans adds tokens of 20 characters or more that overlap none and
     pass for random. A null or empty text has none. Columns of docs named so are replaced.
     """
-    docs = docs.drop("base_spans", "spans", "base", "tested", "_token", "_assign", "_access", "_hex")
-    tokens = _scanned(docs.select("text")).select(F.explode("tested").alias("x"))
+    docs = docs.drop("base_spans", "spans", "base", "tested", *_OWN)
+    scanned = written(_scanned(docs))
+    tokens = scanned.select(F.explode("tested").alias("x"))
     # a token counts once, however often it is copied: copies aren't spread over p
     step = F.floor(F.col("x.p") * STEPS).cast("int").alias("step")
     counts = tokens.select("x.enc", "x.len", "x.id", step).distinct().groupBy("enc", "len", "step").count()
     least = thresholds([tuple(r) for r in counts.collect()])
     pass_ = " OR ".join(f"(x.enc = '{enc}' AND x.len = {length} AND x.p >= {p})" for (enc, length), p in sorted(least.items())) or "false"
-    out = _scanned(docs)
     found = F.expr(f"transform(filter(tested, x -> {pass_}), x -> named_struct('s', x.s, 'kind', {len(PATTERNS)}, 'e', x.e))")
-    out = out.withColumn("spans", F.array_sort(F.concat("base", found))).drop("tested")
-    return out.withColumnRenamed("base", "base_spans")
+    return scanned.withColumn("spans", F.array_sort(F.concat("base", found))).drop("tested").withColumnRenamed("base", "base_spans")
 
 
 def as_text(spans: str) -> Column:
@@ -145,13 +176,15 @@ def as_text(spans: str) -> Column:
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """`docs` with its text's spans replaced by `mark` (overlapping spans by one) and n_chars counted anew."""
 
-    def cut(acc, x):
-        start = F.greatest(acc["at"], x["s"])
-        piece = F.when(x["s"] >= acc["at"], F.concat(F.substr(F.col("text"), acc["at"] + 1, start - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    scanned = secret_spans(docs)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("spans", zero, cut, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    clean = scanned.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).drop("spans", "base_spans")
+    x = secret_spans(docs).withColumn("_e", F.expr("transform(spans, x -> x.e)"))
+    x = _running(x, "_e", "greatest({a}, {y})")
+    # before: where the text that isn't yet copied begins. A substring is found from its text's start on, so spans
+    # are cut by parts of the text.
+    before = "transform(spans, (x, i) -> named_struct('s', x.s, 'b', IF(i = 0, 0, _e[i - 1]), 'e', _e[i]))"
+    x = x.withColumn("_cuts", F.expr(before)).withColumn("_part", F.expr("CAST(greatest(1, ceil(sqrt(size(spans)))) AS INT)"))
+    x = x.withColumn("_cuts", F.expr("IF(size(_cuts) = 0, NULL, transform(sequence(0, size(_cuts) - 1, _part), i -> transform(sequence(i, least(i + _part, size(_cuts)) - 1), j -> _cuts[j])))"))
+    x = x.withColumn("_cuts", F.expr("transform(_cuts, c -> named_struct('c', c, 'b', c[0].b, 't', substring(text, c[0].b + 1, element_at(c, -1).e - c[0].b)))"))
+    piece = f"IF(y.s >= y.b, concat(substring(x.t, y.b - x.b + 1, y.s - y.b), '{mark}'), '')"
+    whole = f"concat(array_join(transform(_cuts, x -> array_join(transform(x.c, y -> {piece}), '')), ''), substring(text, element_at(_e, -1) + 1))"
+    clean = x.withColumn("text", F.expr(f"IF(size(spans) > 0, {whole}, text)")).drop("spans", "base_spans", "_e", "_cuts", "_part")
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
