@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from vistaframe.llm.substring_dedup import COVER, PERIOD, without_repeats
 
 
@@ -26,7 +28,9 @@ def test_cover():
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("rows_a_batch", [10000, 3])
+def test_matches_brute_force(spark, rows_a_batch):
+    """Small batches part the rows of a passage and of a document."""
     r = random.Random(5)
     word = lambda: f"w{r.randrange(10**5)}"
     passages = [[word() for _ in range(n)] for n in (32, 33, 36, 39, 40, 41, 60, 120)]
@@ -40,7 +44,11 @@ def test_matches_brute_force(spark):
     rows += [(200, None), (201, ""), (None, rows[5][1]), (202, " ".join(["a"] * 500)), (203, " ".join(["a"] * 45)), (5, rows[5][1]), (6, " ".join(passages[7])), (204, " ".join(passages[7]))]
     r.shuffle(rows)
     docs = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, kept string").repartition(5)
-    got = sorted((tuple(x) for x in without_repeats(docs, 40).collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        got = sorted((tuple(x) for x in without_repeats(docs, 40).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute(rows, 40)
 
 

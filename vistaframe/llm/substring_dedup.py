@@ -19,6 +19,9 @@ from vistaframe.llm.common import U, WordHash, added, blocks, listed, mix, space
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 
+#: Bytes of text whose passages are compared within a task.
+SHARED_BYTES = 32 << 20
+
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -45,94 +48,100 @@ def cover_positions(n: int) -> np.ndarray:
     return at[at < n]
 
 
+def _blocked(batches, size):
+    """The batches cut into blocks of at most SHARED_BYTES, or of one row."""
+    for b in batches:
+        for at in blocks(size(b), SHARED_BYTES):
+            yield b.iloc[at]
+
+
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(h, doc_id, tk, pos, shared): an anchor that two documents of a batch hold is shared without a
-    shuffle; of each anchor of a batch, one row goes on to meet the other batches'."""
+    """(h, doc_id, tk, shared, meets): each anchor of a document once. One that two documents of a block hold is
+    shared without a shuffle, and one of its rows goes on to meet the other blocks'."""
 
     anchor = width - PERIOD + 1
 
     def find(batches):
         hashes, rolling = WordHash(), Windows(BASES[0])
-        for b in batches:
-            h, row, pos = [], [], []
-            texts = b.text.tolist()
-            for i, t in enumerate(texts):
+        for b in _blocked(batches, lambda b: b.text.str.len().fillna(0)):
+            h, row = [], []
+            for i, t in enumerate(b.text):
                 w = spaced_words(t)
-                if len(w) < width:
-                    continue
-                x = rolling.of(hashes.of(w), anchor)
-                p = cover_positions(len(x))
-                h.append(x[p])
-                row.append(np.full(len(p), i))
-                pos.append(p)
+                if len(w) >= width:
+                    x = rolling.of(hashes.of(w), anchor)
+                    h.append(np.unique(x[cover_positions(len(x))]))
+                    row.append(np.full(len(h[-1]), i))
             if not h:
                 continue
-            h, row, pos = np.concatenate(h), np.concatenate(row), np.concatenate(pos)
+            h, row = np.concatenate(h), np.concatenate(row)
             ids = b.doc_id.to_numpy()
             order = np.lexsort((ids[row], h))
-            h, row, pos = h[order], row[order], pos[order]
+            h, row = h[order], row[order]
             d = ids[row]
             new = np.r_[True, h[1:] != h[:-1]]
             start = np.flatnonzero(new)
             stop = np.r_[start[1:], len(h)] - 1
-            many = (d[start] != d[stop])[np.cumsum(new) - 1]
-            # the first row of a group speaks for it; a group within one document sends all its rows
-            send = new | ~many
-            out = send | many
-            key = np.where(send, h.view(np.int64), mix((pos.astype(U) << U(40)) ^ d.astype(U)).view(np.int64))
-            yield pd.DataFrame({"h": key[out], "doc_id": d[out], "tk": b.tk.to_numpy()[row[out]], "pos": pos[out].astype(np.int32), "shared": many[out], "meets": send[out]})
+            shared = (d[start] != d[stop])[np.cumsum(new) - 1]
+            # of a shared anchor the first row speaks for the block; rows of one id with different texts all go on
+            yield pd.DataFrame({"h": h.view(np.int64), "doc_id": d, "tk": b.tk.to_numpy()[row], "shared": shared, "meets": new | ~shared})
 
-    return docs.mapInPandas(find, "h long, doc_id long, tk long, pos int, shared boolean, meets boolean")
-
-
-def _runs(batches, key: str):
-    """The sorted rows of the batches, cut only between keys."""
-    rest = None
-    for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        if not len(b):
-            continue
-        k = b[key].to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))
-        rest = b.iloc[cut:]
-        if cut:
-            yield b.iloc[:cut]
-    if rest is not None and len(rest):
-        yield rest
+    return docs.mapInPandas(find, "h long, doc_id long, tk long, shared boolean, meets boolean")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
-    """(doc_id, tk, pos) of anchors that occur in two documents."""
+    """(doc_id, tk, h) of anchors that occur in two documents. Of a key only the rows of its smallest document wait
+    for the next batch; a block sends one row a key if it has several, so no key has many rows."""
 
     def meet(batches):
-        for b in _runs(batches, "h"):
+        key, first, many, waiting = None, None, False, []
+        for b in batches:
+            if not len(b):
+                continue
             h, d = b.h.to_numpy(), b.doc_id.to_numpy()
             new = np.r_[True, h[1:] != h[:-1]]
+            group = np.cumsum(new) - 1
             start = np.flatnonzero(new)
             stop = np.r_[start[1:], len(h)] - 1
-            many = (d[start] != d[stop])[np.cumsum(new) - 1]
-            yield b.loc[many | b.shared.to_numpy(), ["doc_id", "tk", "pos"]]
-
-    meeting = anchors.where("meets").repartition("h").sortWithinPartitions("h", "doc_id").mapInPandas(meet, "doc_id long, tk long, pos int")
-    return meeting.union(anchors.where("NOT meets").select("doc_id", "tk", "pos"))
+            low, on = d[start].copy(), h[0] == key
+            if on:
+                low[0] = first
+            several = d[stop] != low
+            several[0] |= on and many
+            if on and several[0]:
+                yield from waiting
+            if not on or several[0]:
+                waiting = []
+            out = several[group] | b.shared.to_numpy()
+            yield b.loc[out, ["doc_id", "tk", "h"]]
+            key, first, many = h[-1], low[-1], bool(several[-1])
+            if len(start) > 1:
+                waiting = []
+            if not many:
+                waiting.append(b.loc[(group == group[-1]) & ~out, ["doc_id", "tk", "h"]])
+
+    meeting = anchors.where("meets").repartition("h").sortWithinPartitions("h", "doc_id").mapInPandas(meet, "doc_id long, tk long, h long")
+    return meeting.union(anchors.where("NOT meets").select("doc_id", "tk", "h"))
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(h, c, doc_id, tk, pos, known): the windows around shared anchors, each once for a document. Of a
-    batch, the smallest document of each window goes on; the others repeat it (known)."""
+    """(h, c, doc_id, tk, pos, known): the windows around a document's shared anchors (spots), each once for a
+    document. Of a block, the smallest document of each window goes on; the others repeat it (known)."""
+
+    anchor = width - PERIOD + 1
 
     def find(batches):
         hashes, one, two = WordHash(), Windows(BASES[0]), Windows(BASES[1])
-        for b in batches:
+        for b in _blocked(batches, lambda b: b.text.str.len() + 8 * b.spots.str.len()):
             ids, tks = b.doc_id.to_numpy(), b.tk.to_numpy()
             h, c, row, pos = [], [], [], []
             for i, (t, spots) in enumerate(zip(b.text, b.spots)):
                 a = hashes.of(spaced_words(t))
+                at = one.of(a, anchor)
+                at = (p := cover_positions(len(at)))[np.isin(at[p], np.asarray(spots, np.int64).view(U))]
                 x = one.of(a, width)
                 marks = np.zeros(len(x) + 1, np.int32)
-                spots = np.asarray(spots)
-                np.add.at(marks, np.clip(spots - PERIOD + 1, 0, len(x)), 1)
-                np.add.at(marks, np.minimum(spots + 1, len(x)), -1)
+                np.add.at(marks, np.clip(at - PERIOD + 1, 0, len(x)), 1)
+                np.add.at(marks, np.minimum(at + 1, len(x)), -1)
                 p = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
                 _, first = np.unique(x[p], return_index=True)
                 p = p[first]
@@ -147,8 +156,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
             h, c, row, pos = h[order], c[order], row[order], pos[order]
             d = ids[row]
             new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-            low = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = d > low
+            known = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
             # documents that are already known to repeat a window need no meeting: any key will do
             key = np.where(known, mix((pos.astype(U) << U(40)) ^ d.astype(U)), h).view(np.int64)
             yield pd.DataFrame({"h": key, "c": c, "doc_id": d, "tk": tks[row], "pos": pos.astype(np.int32), "known": known})
@@ -157,14 +165,22 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """(doc_id, tk, pos) of windows that also start in a smaller document."""
+    """(doc_id, tk, pos) of windows that also start in a smaller document; between batches only the last window
+    and its smallest document are kept."""
 
     def meet(batches):
-        for b in _runs(batches, "h"):
+        last = None
+        for b in batches:
+            if not len(b):
+                continue
             h, c, d = b.h.to_numpy(), b.c.to_numpy(), b.doc_id.to_numpy()
             new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-            low = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+            low = d[np.flatnonzero(new)].copy()
+            if last is not None and last[:2] == (h[0], c[0]):
+                low[0] = last[2]
+            low = low[np.cumsum(new) - 1]
             yield b.loc[d > low, ["doc_id", "tk", "pos"]]
+            last = h[-1], c[-1], low[-1]
 
     meeting = windows.where("NOT known").repartition("h").sortWithinPartitions("h", "c", "doc_id").mapInPandas(meet, "doc_id long, tk long, pos int")
     return meeting.union(windows.where("known").select("doc_id", "tk", "pos"))
@@ -217,7 +233,7 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     first = written(texts.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = written(texts.join(listed(first), "md5").where("doc_id > first").select("doc_id", "tk").distinct())
     firsts = known.join(listed(copies), ["doc_id", "tk"], "left_anti")
-    spots = written(_shared(written(_anchors(firsts, width))).groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("spots")))
+    spots = written(_shared(written(_anchors(firsts, width))).groupBy("doc_id", "tk").agg(F.collect_set("h").alias("spots")))
     near = known.join(listed(spots.select("doc_id", "tk")), ["doc_id", "tk"], "left_semi").join(spots, ["doc_id", "tk"])
     repeated = _repeated(written(_windows(near, width))).groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("spots"))
     marks = written(repeated.withColumn("whole", F.lit(False)).union(copies.select("doc_id", "tk", F.lit(None).cast("array<int>").alias("spots"), F.lit(True).alias("whole"))))
