@@ -62,3 +62,22 @@ def test_matches_brute_force(spark, group, monkeypatch):
 
 def test_empty_table(spark):
     assert shingle_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sites_with_a_common_template(spark, monkeypatch):
+    """Crowded shingles among documents that mostly don't link, with some pairs and chains that do."""
+    monkeypatch.setattr(shingle_join, "NODE", 8)
+    monkeypatch.setattr(shingle_join, "HOT", 3)
+    r = random.Random(12)
+    rows = []
+    for site in range(3):
+        template = [f"s{site}t{j}" for j in range(100)]
+        for i in range(50):
+            own = [f"s{site}d{i}w{j}" for j in range(r.choice([3, 9, 16, 17]))]
+            rows.append((site * 1000 + i, " ".join(template + own)))
+            for k in range(r.choice([0, 0, 1, 3])):
+                rows.append((site * 1000 + 100 + 4 * i + k, " ".join(template + own[: -1 - k] + ["new"] * r.randrange(3))))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x) for x in shingle_components(docs, 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85)

@@ -1,9 +1,11 @@
 """N-gram Jaccard join by signature trees.
 
 Documents whose shingle sets are equal count as one. Each set gives a prefix of its shingles, those
-found often in some input batch coming last: two sets that are similar enough share a shingle of both
-prefixes. Pairs that share one are pruned by token bitmaps, what is left is gathered into clusters,
-and each cluster is joined by trees whose nodes hold OR-combined bitmaps and size ranges.
+found often in some input batch coming last: of two sets that are similar enough, the smaller one has a shingle in
+the first part of its prefix that is in the other's prefix too. Pairs that share one are pruned by place and token
+bitmaps. Crowded shingles are cut into nodes of bounded size, joined by trees whose nodes hold OR-combined bitmaps
+and size ranges; what is found in a node goes on as one entry with the bitmaps and ranges of all of it, until a
+shingle has one node. The clusters so gathered are joined by the same trees, with exact overlaps.
 """
 
 from __future__ import annotations
@@ -25,6 +27,12 @@ BITS = 1024
 RUN = 32
 #: Documents in one tree.
 NODE = 256
+#: Nodes that a frequent shingle would fill at least to be cut into nodes at once, without meeting in one task.
+HOT = 4
+#: Bits of an entry's place in its prefix, below its size.
+PLACE = 28
+#: Bytes of shingle sets, and rows, that a task joins at once.
+PACK_BYTES, PACK_ROWS = 8 << 20, 512
 #: Shingles kept in the list of frequent ones. It only orders the prefixes: results don't depend on it.
 FREQUENT = 1 << 18
 FANOUT = 8
@@ -76,16 +84,25 @@ def folded(maps) -> np.ndarray:
     return np.stack([m if len(m) == least else np.bitwise_or.reduce(m.reshape(-1, least)) for m in maps])
 
 
+def hidden(sizes: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Tokens of each set that share a bit with others."""
+    return sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
+
+
 def alike(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
 class Tree:
-    """Leaves are documents in order of size; each higher node covers FANOUT nodes below it."""
+    """Leaves are documents, or groups of them, in order of size; each higher node covers FANOUT nodes below it.
+
+    lo, hi: least and largest size; spare: most tokens of a document that its bitmap hides.
+    """
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
-        spare = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)  # tokens hidden by shared bits
-        self.levels = [(maps, sizes, sizes, spare)]
+    def __init__(self, maps: np.ndarray, lo: np.ndarray, hi: np.ndarray | None = None, spare: np.ndarray | None = None):
+        if hi is None:
+            hi, spare = lo, hidden(lo, maps)
+        self.levels = [(maps, lo, hi, spare)]
         while len(self.levels[-1][1]) > 1:
             m, lo, hi, sp = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
@@ -157,7 +174,7 @@ def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarr
         for x in (("label", labels[i]), ("id", ids[i])):
             joined.join(at, seen.setdefault(x, at))
     out = []
-    tree = Tree(sizes[order], folded([bitmap(sets[i]) for i in order]))
+    tree = Tree(folded([bitmap(sets[i]) for i in order]), sizes[order])
     for x, y in tree.candidates(percent, joined):
         i, j = order[x], order[y]
         if (asked[i] or asked[j]) and joined.top(x) != joined.top(y):
@@ -168,8 +185,8 @@ def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarr
     return out
 
 
-def _frequent(docs: DataFrame, k: int) -> list:
-    """Shingles found in many documents of some batch, with the sum of those counts."""
+def _frequent(docs: DataFrame, k: int) -> pd.DataFrame:
+    """(token, n): shingles found in many documents of some batch, with the sum of those counts."""
 
     def count(batches):
         hashes = WordHash()
@@ -185,7 +202,7 @@ def _frequent(docs: DataFrame, k: int) -> list:
             yield pd.DataFrame({"token": h[start[often]].view(np.int64), "n": n[often]})
 
     rows = docs.select("text").mapInPandas(count, "token long, n long")
-    return rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    return rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
 
 
 def _described(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
@@ -223,71 +240,137 @@ def _described(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     return added(docs.select("doc_id", "text"), ["text"], "n long, sig_a long, sig_b long, prefix array<long>, bits binary", make, drop=("text",))
 
 
+def _first(n, percent: int):
+    """How many shingles a document of n has in the first part of its prefix: enough to meet all that are as large
+    or larger."""
+    return n + 1 - -(-2 * percent * n // (100 + percent))
+
+
+def _may_meet(n_a, at_a, n_b, at_b, percent: int):
+    """Whether documents of sizes n_a <= n_b may be similar enough, if the first shingle that they share is at
+    these places of their prefixes."""
+    needed = -(-percent * (n_a + n_b) // (100 + percent))
+    return (at_a < _first(n_a, percent)) & (100 * n_a >= percent * n_b) & (np.minimum(n_a - at_a, n_b - at_b) >= needed)
+
+
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, token, n, crowd) of sorted entries: pairs of documents that share a prefix shingle; where more
-    than RUN do, each of them alone, marked as one of a crowd."""
+    """(a, b, token, node) of sorted entries (token, size, doc_id): pairs of documents that may be similar by a
+    prefix shingle that they share; where more than RUN do, each of them alone, in nodes in order of size. Pairs have
+    no node."""
 
     def meet(batches):
         rest = np.empty((0, 3), np.int64)
-        crowded = None  # the shingle of a crowd still coming in
+        crowded, met, wanted = None, 0, False  # the shingle of a crowd still coming in, its rows, whether it has a first
 
         def pairs(run: np.ndarray, out: list):
-            n = run[:, 1]
-            for i in range(len(run) - 1):
-                last = np.searchsorted(n, n[i] * 100 // percent, side="right")
-                partners = run[i + 1 : last, 2]
-                out.append(np.stack([np.full_like(partners, run[i, 2]), partners, run[i + 1 : last, 0], run[i + 1 : last, 1], np.zeros_like(partners)], axis=1))
+            n, at = run[:, 1] >> PLACE, run[:, 1] & ((1 << PLACE) - 1)
+            i, j = np.triu_indices(len(run), 1)
+            ok = _may_meet(n[i], at[i], n[j], at[j], percent)
+            out.append(np.stack([run[i[ok], 2], run[j[ok], 2], run[i[ok], 0], np.full(ok.sum(), -1)], axis=1))
+
+        def crowd(run: np.ndarray, out: list):
+            nonlocal crowded, met, wanted
+            if crowded is None or crowded != run[0, 0]:
+                crowded, met, wanted = run[0, 0], 0, False
+            n, at = run[:, 1] >> PLACE, run[:, 1] & ((1 << PLACE) - 1)
+            # a document meets none if neither it nor one before it has the shingle in its first part
+            use = np.logical_or.accumulate((at < _first(n, percent)) | wanted)
+            run = run[use]
+            wanted = wanted or bool(use.any())
+            node = (met + np.arange(len(run))) // NODE
+            met += len(run)
+            out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], node], axis=1))
 
         def work(rows: np.ndarray, last: bool):
-            nonlocal crowded, rest
-            out: list = [np.empty((0, 5), np.int64)]
+            nonlocal rest
+            out: list = [np.empty((0, 4), np.int64)]
             cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True]) if len(rows) else np.array([0])
             size = np.diff(cut)
             for i in np.flatnonzero((size > 1) | (np.arange(len(size)) == len(size) - 1) | (np.arange(len(size)) == 0)).tolist():
                 s, e = int(cut[i]), int(cut[i + 1])
-                if e - s > RUN or crowded == rows[s, 0]:
-                    crowded = rows[s, 0]
-                    run = rows[s:e]
-                    out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], run[:, 1], np.ones(e - s, np.int64)], axis=1))
+                if e - s > RUN or crowded is not None and crowded == rows[s, 0]:
+                    crowd(rows[s:e], out)
                 elif not last and e == len(rows):
                     rest = rows[s:]
                 elif e - s > 1:
                     pairs(rows[s:e], out)
-            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "n", "crowd"])
+            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "node"])
 
         for b in batches:
-            rows = np.concatenate([rest, b[["token", "n", "doc_id"]].to_numpy(np.int64)])
+            rows = np.concatenate([rest, b[["token", "size", "doc_id"]].to_numpy(np.int64)])
             rest = rows[:0]
             yield work(rows, False)
         yield work(rest, True)
 
-    return entries.mapInPandas(meet, "a long, b long, token long, n long, crowd long")
+    return entries.mapInPandas(meet, "a long, b long, token long, node long")
 
 
-def _crowds(members: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each shingle (token) with many documents (a), edges that join the documents that aren't
-    pruned from one another. Only documents of one size band or of neighbouring ones are compared."""
-    width = 1.0001 * math.log(100 / percent)
-    band = F.floor(F.log("n") / width).cast("int")
-    rows = members.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("a").alias("doc_id"))
-    rows = rows.join(described.select("doc_id", "n", "bits"), "doc_id")
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("token", "band"), F.lit(max(1, members.count() // 1024))))
+def _packed(rows: DataFrame, keys: list[str], bytes_of: str) -> DataFrame:
+    """rows with pack: groups by `keys` dealt to tasks by bytes and rows. A group has about NODE rows at most."""
+    n, size = rows.agg(F.count("*"), F.sum(F.length(bytes_of))).first()
+    packs = max(1, n // PACK_ROWS, (size or 0) // PACK_BYTES)
+    return rows.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
+
+
+def _in_nodes(rows: DataFrame, key: str, by: str, seed: int) -> DataFrame:
+    """Adds nodes (how many trees of NODE rows the key takes) and node (the one of this row)."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / NODE).cast("long").alias("nodes"))
+    return rows.join(sizes, key).withColumn("node", F.pmod(F.xxhash64(by, F.lit(seed)), "nodes"))
+
+
+def _grouped(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, a, b, lo, hi, spare, bits) of rows (token, node, head, lo, hi, spare, bits): in each node, edges that join
+    what isn't pruned from one another (without bits), and one row for each group so joined: its head (a), size range,
+    and OR-combined bitmap of BITS bits."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
-        for _, g in pdf.groupby(["token", "band"], sort=False):
-            if len(g) < 2:
-                continue
-            g = g.sort_values(["n", "doc_id"], kind="stable")
-            ids = g.doc_id.tolist()
+        for (token, _), g in pdf.groupby(["token", "node"], sort=False):
+            g = g.sort_values(["lo", "head"], kind="stable")
+            ids, lo, hi = g["head"].tolist(), g.lo.to_numpy(np.int64), g.hi.to_numpy(np.int64)
+            maps = folded(g.bits)
+            spare = np.where(lo == hi, hidden(lo, maps), g.spare.to_numpy(np.int64))
             joined = Joined(len(ids))
-            tree = Tree(g.n.to_numpy(np.int64), folded(g.bits))
-            for i, j in tree.candidates(percent, joined):
+            for i, j in Tree(maps, lo, hi, spare).candidates(percent, joined):
                 if joined.join(i, j):
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    out.append((token, ids[i], ids[j], 0, 0, 0, None))
+            short = folded([*maps, np.zeros(BITS // 64, U)])[:-1]
+            spare = np.where(lo == hi, hidden(lo, short), spare)
+            tops = joined.tops()
+            for t in np.unique(tops).tolist():
+                of = tops == t
+                out.append((token, min(i for i, o in zip(ids, of.tolist()) if o), 0, int(lo[of].min()), int(hi[of].max()), int(spare[of].max()), np.bitwise_or.reduce(short[of]).tobytes()))
+        return pd.DataFrame(out, columns=["token", "a", "b", "lo", "hi", "spare", "bits"]).astype({c: "int64" for c in ("token", "a", "b", "lo", "hi", "spare")})
+
+    packed = _packed(rows.select("token", "node", "head", "lo", "hi", "spare", "bits"), ["token", "node"], "bits")
+    return packed.groupBy("pack").applyInPandas(join, "token long, a long, b long, lo long, hi long, spare long, bits binary")
+
 
-    return rows.groupBy("pack").applyInPandas(join, "a long, b long")
+def _crowds(members: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for the nodes (token, node) of each crowded shingle, edges that join the documents (a) that aren't
+    pruned from one another.
+
+    What a node joins goes on as one row to the next round's nodes. No group is larger than a node; a shingle of
+    whose rows fewer than half are joined in a round is joined as a whole: that only makes a cluster larger.
+    """
+    rows = members.select("token", "node", F.col("a").alias("head")).join(described.select(F.col("doc_id").alias("head"), F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).cast("long").alias("spare"), "bits"), "head")
+    found = written(_grouped(rows, percent))
+    edges = found.where("bits IS NULL").select("a", "b")
+    several = members.groupBy("token").agg(F.countDistinct("node").alias("nodes")).where("nodes > 1").select("token")
+    heads = written(found.where("bits IS NOT NULL").join(several, "token", "left_semi").select("token", F.col("a").alias("head"), "lo", "hi", "spare", "bits"))
+    seed = 10
+    while heads.limit(1).count():
+        before = written(_in_nodes(heads, "token", "head", seed))
+        found = written(_grouped(before, percent))
+        edges = edges.union(found.where("bits IS NULL").select("a", "b"))
+        after = found.where("bits IS NOT NULL")
+        n = before.groupBy("token").agg(F.count("*").alias("n"), F.max("nodes").alias("nodes")).where("nodes > 1")
+        state = written(n.join(after.groupBy("token").agg(F.count("*").alias("left"), F.min("a").alias("low")), "token"))
+        stuck = after.join(state.where("2 * left > n").select("token", "low"), "token").select("a", F.col("low").alias("b")).where("a <> b")
+        edges = edges.union(stuck)
+        heads = written(after.join(state.where("2 * left <= n AND left > 1").select("token"), "token", "left_semi").select("token", F.col("a").alias("head"), "lo", "hi", "spare", "bits"))
+        seed += 1
+    return edges
 
 
 def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
@@ -309,8 +392,7 @@ def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
 
 def _solved(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Links (a, b) within each group by `keys`; small groups are handed out together."""
-    total = rows.count()
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(max(1, total // 512)))).select("pack", *keys, "doc_id", "label", "asked", "tokens")
+    rows = _packed(rows.select(*keys, "doc_id", "label", "asked", "tokens"), keys, "tokens")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
@@ -323,12 +405,6 @@ def _solved(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.groupBy("pack").applyInPandas(solve, "a long, b long")
 
 
-def _in_nodes(rows: DataFrame, seed: int) -> DataFrame:
-    """Adds nodes (how many trees the cluster takes) and node (the one of this document)."""
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / NODE).cast("long").alias("nodes"))
-    return rows.join(sizes, "cluster").withColumn("node", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "nodes"))
-
-
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links).withColumnsRenamed({"node": "doc_id", "label": "found"})
     return rows.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
@@ -339,9 +415,10 @@ def _links(clustered: DataFrame, percent: int) -> DataFrame:
 
     Clusters over NODE documents: trees of NODE documents first, then one document of each component
     found is compared across trees until one tree holds them. Last, each document outside a cluster's
-    largest component is compared with all others, so no link between components is missed.
+    largest component is compared with the others of its band of sizes and the next ones, so no link between
+    components is missed.
     """
-    start = _in_nodes(clustered, 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)})
+    start = _in_nodes(clustered, "cluster", "doc_id", 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)})
     start = written(start)
     links = written(_solved(start, ["cluster", "node"], percent))
     big = start.where("nodes > 1").drop("node", "nodes")
@@ -352,7 +429,7 @@ def _links(clustered: DataFrame, percent: int) -> DataFrame:
     while True:
         labelled = written(_labelled(big, links))
         heads = labelled.where("doc_id = label")
-        heads = written(_in_nodes(heads, 1))
+        heads = written(_in_nodes(heads, "cluster", "doc_id", 1))
         n, most = heads.agg(F.count("*"), F.max("nodes")).first()
         if n > left // 2:
             break
@@ -362,19 +439,22 @@ def _links(clustered: DataFrame, percent: int) -> DataFrame:
             break
         left = n
     main = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    parts = labelled.join(main, "cluster")
-    out = _in_nodes(parts.where("label <> main"), 2).withColumnsRenamed({"node": "o", "nodes": "os"})
-    out = written(out)
+    # documents whose bands aren't neighbours differ too much in size
+    band = F.floor(F.log(F.length("tokens") / 8) / (1.0001 * math.log(100 / percent))).cast("int")
+    parts = labelled.join(main, "cluster").withColumn("band", band)
+    out = parts.where("label <> main").withColumn("key", F.xxhash64("cluster", "band"))
+    out = written(_in_nodes(out, "key", "doc_id", 2).withColumnsRenamed({"node": "o", "nodes": "os", "key": "of"}))
     if out.limit(1).count() == 0:
         return links
-    counts = out.select("cluster", "os").distinct()
-    every = written(_in_nodes(parts.join(counts, "cluster"), 3))
-    trees = every.select("cluster", "nodes").distinct()
-    one = out.join(trees, "cluster").withColumn("node", F.explode(F.sequence(F.lit(0), F.col("nodes") - 1))).withColumn("asked", F.lit(True))
-    two = every.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1))).withColumn("asked", F.lit(False))
-    cols = ["cluster", "o", "node", "doc_id", "label", "asked", "tokens"]
-    met = one.select(cols).union(two.select(cols))
-    return links.union(_solved(met, ["cluster", "o", "node"], percent))
+    near = out.select("cluster", "band", "of", "os").distinct().withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    # an outsider of the next band is met by way of its own neighbours, so each pair of bands meets once or twice
+    every = parts.join(near.select("cluster", "band").distinct(), ["cluster", "band"], "left_semi").withColumn("key", F.xxhash64("cluster", "band"))
+    every = written(_in_nodes(every, "key", "doc_id", 3))
+    trees = every.select("cluster", "band", "key", "nodes").distinct().join(near, ["cluster", "band"])
+    one = out.drop("cluster", "band").join(trees.select("cluster", "of", "key", "nodes"), "of").withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1))).withColumn("asked", F.lit(True))
+    two = every.drop("nodes").join(near, ["cluster", "band"]).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1))).withColumn("asked", F.lit(False))
+    cols = ["of", "o", "key", "node", "doc_id", "label", "asked", "tokens"]
+    return links.union(_solved(one.select(cols).union(two.select(cols)), ["of", "o", "key", "node"], percent))
 
 
 def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -389,8 +469,9 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     often = _frequent(docs, k)
-    by_token = sorted((r.token & ((1 << 64) - 1), len(often) - i) for i, r in enumerate(often))
-    frequent = spark.sparkContext.broadcast((np.array([t for t, _ in by_token], U), np.array([r for _, r in by_token], np.int64)))
+    token = often.token.to_numpy(np.int64).view(U)
+    order = np.argsort(token)
+    frequent = spark.sparkContext.broadcast((token[order], (len(often) - order).astype(np.int64)))
     described = written(_described(docs, k, percent, frequent))
     sig = ["sig_a", "sig_b", "n"]
     known = described.where("doc_id IS NOT NULL AND n > 0")
@@ -399,9 +480,15 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     firsts = known.join(listed(copies.drop("first")), ["doc_id", *sig], "left_anti")
     repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    entries = firsts.select(F.explode("prefix").alias("token"), "n", "doc_id").repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    met = written(_meetings(entries, percent))
-    edges = _pruned(met.where("crowd = 0").select("a", "b").distinct(), known, percent).union(_crowds(met.where("crowd = 1"), known, percent))
+    size = (F.col("n") * (1 << PLACE) + F.col("place")).alias("size")
+    entries = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id").select("token", size, "doc_id")
+    # what is known to be crowded doesn't meet in one task: its documents go to nodes at once
+    hot = often[often.n >= HOT * NODE]
+    hot = spark.createDataFrame([(int(t), -(-int(c) // NODE)) for t, c in zip(hot.token, hot.n)], "token long, nodes long")
+    cold = entries.join(F.broadcast(hot), "token", "left_anti").repartition("token").sortWithinPartitions("token", "size", "doc_id")
+    crowded = entries.join(F.broadcast(hot), "token").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "token", F.pmod(F.xxhash64("doc_id"), "nodes").alias("node"))
+    met = written(_meetings(cold, percent).union(crowded))
+    edges = _pruned(met.where("node < 0").select("a", "b").distinct(), known, percent).union(_crowds(met.where("node >= 0"), known, percent))
     clusters = written(components(edges).toDF("doc_id", "cluster"))
 
     def sets(batches):
