@@ -77,7 +77,7 @@ class WordHash(dict):
     """64-bit hashes of words, remembered for a bounded vocabulary."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:  # some 25 MB; to hash a word again takes little
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -3,9 +3,8 @@
 Documents whose shingle sets are equal count as one. Each set gives a prefix of its shingles, those
 found often in some input batch coming last: of two sets that are similar enough, the smaller one has a shingle in
 the first part of its prefix that is in the other's prefix too. Pairs that share one are pruned by place and token
-bitmaps. Crowded shingles are cut into nodes of bounded size, joined by trees whose nodes hold OR-combined bitmaps
-and size ranges; what is found in a node goes on as one entry with the bitmaps and ranges of all of it, until a
-shingle has one node. The clusters so gathered are joined by the same trees, with exact overlaps.
+bitmaps; the documents of a crowded shingle are pruned by trees whose nodes hold OR-combined bitmaps and size
+ranges. What is left is gathered into clusters, and each cluster is joined by the same trees, with exact overlaps.
 """
 
 from __future__ import annotations
@@ -23,11 +22,13 @@ from vistaframe.llm.common import U, WordHash, added, blocks, components, listed
 
 #: Bits of the shortest token bitmap.
 BITS = 1024
-#: Documents that share a prefix shingle and are paired at once; more are clustered as a whole.
-RUN = 32
+#: The same, and bits for each shingle, of the bitmaps that part large clusters.
+FINE_BITS, FINE_EACH = 4096, 8
+#: Documents that share a prefix shingle and are paired at once; more are joined by trees.
+RUN = 16
 #: Documents in one tree.
 NODE = 256
-#: Nodes that a frequent shingle would fill at least to be cut into nodes at once, without meeting in one task.
+#: Trees that a frequent shingle's documents fill at least to be known as a crowd without meeting in one task.
 HOT = 4
 #: Bits of an entry's place in its prefix, below its size.
 PLACE = 28
@@ -69,12 +70,12 @@ def rolled(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
     return mix(h)
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """BITS bits or two to four for each token, as 64-bit words."""
-    n = max(BITS, 2 << (len(tokens) - 1).bit_length()) if len(tokens) else BITS
-    bits = np.zeros(n, bool)
-    bits[(tokens >> U(7)) % U(n)] = True
-    return np.packbits(bits).view(U)
+def bitmap(tokens: np.ndarray, bits: int = BITS, each: int = 2) -> np.ndarray:
+    """`bits` bits, or `each` to twice as many for each token, as 64-bit words."""
+    n = max(bits, each << (len(tokens) - 1).bit_length()) if len(tokens) else bits
+    marks = np.zeros(n, bool)
+    marks[(tokens >> U(7)) % U(n)] = True
+    return np.packbits(marks).view(U)
 
 
 def folded(maps) -> np.ndarray:
@@ -84,25 +85,16 @@ def folded(maps) -> np.ndarray:
     return np.stack([m if len(m) == least else np.bitwise_or.reduce(m.reshape(-1, least)) for m in maps])
 
 
-def hidden(sizes: np.ndarray, maps: np.ndarray) -> np.ndarray:
-    """Tokens of each set that share a bit with others."""
-    return sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
-
-
 def alike(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
 class Tree:
-    """Leaves are documents, or groups of them, in order of size; each higher node covers FANOUT nodes below it.
-
-    lo, hi: least and largest size; spare: most tokens of a document that its bitmap hides.
-    """
+    """Leaves are documents in order of size; each higher node covers FANOUT nodes below it, with their OR-combined
+    bitmap, least and largest size and most tokens that a document's bitmap hides."""
 
-    def __init__(self, maps: np.ndarray, lo: np.ndarray, hi: np.ndarray | None = None, spare: np.ndarray | None = None):
-        if hi is None:
-            hi, spare = lo, hidden(lo, maps)
-        self.levels = [(maps, lo, hi, spare)]
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
+        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1).astype(np.int64))]
         while len(self.levels[-1][1]) > 1:
             m, lo, hi, sp = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
@@ -161,12 +153,12 @@ class Joined:
         return i != j
 
 
-def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the documents into their components: pairs already joined are passed over.
+def linked(ids: list[int], labels: list, sizes: np.ndarray, maps: list, asked: np.ndarray, percent: int, sets: list | None = None) -> list[tuple[int, int]]:
+    """Links that join the documents into their components: pairs already joined are passed over. Without sets, a
+    pair that the bitmaps don't prune counts as a link.
 
     Only pairs with an `asked` document are compared. Documents with one label start out joined.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable").tolist()
     joined = Joined(len(ids))
     seen: dict = {}
@@ -174,12 +166,11 @@ def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarr
         for x in (("label", labels[i]), ("id", ids[i])):
             joined.join(at, seen.setdefault(x, at))
     out = []
-    tree = Tree(folded([bitmap(sets[i]) for i in order]), sizes[order])
+    tree = Tree(sizes[order], folded([maps[i] for i in order]))
     for x, y in tree.candidates(percent, joined):
         i, j = order[x], order[y]
         if (asked[i] or asked[j]) and joined.top(x) != joined.top(y):
-            overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if alike(overlap, int(sizes[i]), int(sizes[j]), percent):
+            if sets is None or alike(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(sizes[i]), int(sizes[j]), percent):
                 joined.join(x, y)
                 out.append((ids[i], ids[j]))
     return out
@@ -254,32 +245,29 @@ def _may_meet(n_a, at_a, n_b, at_b, percent: int):
 
 
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, token, node) of sorted entries (token, size, doc_id): pairs of documents that may be similar by a
-    prefix shingle that they share; where more than RUN do, each of them alone, in nodes in order of size. Pairs have
-    no node."""
+    """(a, b, token, crowd) of sorted entries (token, size, doc_id): pairs of documents that may be similar by a
+    prefix shingle that they share; where more than RUN do, each of them alone, marked as one of a crowd."""
 
     def meet(batches):
         rest = np.empty((0, 3), np.int64)
-        crowded, met, wanted = None, 0, False  # the shingle of a crowd still coming in, its rows, whether it has a first
+        crowded, wanted = None, False  # the shingle of a crowd still coming in, whether one has it in its first part
 
         def pairs(run: np.ndarray, out: list):
             n, at = run[:, 1] >> PLACE, run[:, 1] & ((1 << PLACE) - 1)
             i, j = np.triu_indices(len(run), 1)
             ok = _may_meet(n[i], at[i], n[j], at[j], percent)
-            out.append(np.stack([run[i[ok], 2], run[j[ok], 2], run[i[ok], 0], np.full(ok.sum(), -1)], axis=1))
+            out.append(np.stack([run[i[ok], 2], run[j[ok], 2], run[i[ok], 0], np.zeros(ok.sum(), np.int64)], axis=1))
 
         def crowd(run: np.ndarray, out: list):
-            nonlocal crowded, met, wanted
+            nonlocal crowded, wanted
             if crowded is None or crowded != run[0, 0]:
-                crowded, met, wanted = run[0, 0], 0, False
+                crowded, wanted = run[0, 0], False
             n, at = run[:, 1] >> PLACE, run[:, 1] & ((1 << PLACE) - 1)
             # a document meets none if neither it nor one before it has the shingle in its first part
             use = np.logical_or.accumulate((at < _first(n, percent)) | wanted)
             run = run[use]
             wanted = wanted or bool(use.any())
-            node = (met + np.arange(len(run))) // NODE
-            met += len(run)
-            out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], node], axis=1))
+            out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], np.ones(len(run), np.int64)], axis=1))
 
         def work(rows: np.ndarray, last: bool):
             nonlocal rest
@@ -294,7 +282,7 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
                     rest = rows[s:]
                 elif e - s > 1:
                     pairs(rows[s:e], out)
-            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "node"])
+            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "crowd"])
 
         for b in batches:
             rows = np.concatenate([rest, b[["token", "size", "doc_id"]].to_numpy(np.int64)])
@@ -302,7 +290,7 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
             yield work(rows, False)
         yield work(rest, True)
 
-    return entries.mapInPandas(meet, "a long, b long, token long, node long")
+    return entries.mapInPandas(meet, "a long, b long, token long, crowd long")
 
 
 def _packed(rows: DataFrame, keys: list[str], bytes_of: str) -> DataFrame:
@@ -318,61 +306,6 @@ def _in_nodes(rows: DataFrame, key: str, by: str, seed: int) -> DataFrame:
     return rows.join(sizes, key).withColumn("node", F.pmod(F.xxhash64(by, F.lit(seed)), "nodes"))
 
 
-def _grouped(rows: DataFrame, percent: int) -> DataFrame:
-    """(token, a, b, lo, hi, spare, bits) of rows (token, node, head, lo, hi, spare, bits): in each node, edges that join
-    what isn't pruned from one another (without bits), and one row for each group so joined: its head (a), size range,
-    and OR-combined bitmap of BITS bits."""
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        for (token, _), g in pdf.groupby(["token", "node"], sort=False):
-            g = g.sort_values(["lo", "head"], kind="stable")
-            ids, lo, hi = g["head"].tolist(), g.lo.to_numpy(np.int64), g.hi.to_numpy(np.int64)
-            maps = folded(g.bits)
-            spare = np.where(lo == hi, hidden(lo, maps), g.spare.to_numpy(np.int64))
-            joined = Joined(len(ids))
-            for i, j in Tree(maps, lo, hi, spare).candidates(percent, joined):
-                if joined.join(i, j):
-                    out.append((token, ids[i], ids[j], 0, 0, 0, None))
-            short = folded([*maps, np.zeros(BITS // 64, U)])[:-1]
-            spare = np.where(lo == hi, hidden(lo, short), spare)
-            tops = joined.tops()
-            for t in np.unique(tops).tolist():
-                of = tops == t
-                out.append((token, min(i for i, o in zip(ids, of.tolist()) if o), 0, int(lo[of].min()), int(hi[of].max()), int(spare[of].max()), np.bitwise_or.reduce(short[of]).tobytes()))
-        return pd.DataFrame(out, columns=["token", "a", "b", "lo", "hi", "spare", "bits"]).astype({c: "int64" for c in ("token", "a", "b", "lo", "hi", "spare")})
-
-    packed = _packed(rows.select("token", "node", "head", "lo", "hi", "spare", "bits"), ["token", "node"], "bits")
-    return packed.groupBy("pack").applyInPandas(join, "token long, a long, b long, lo long, hi long, spare long, bits binary")
-
-
-def _crowds(members: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for the nodes (token, node) of each crowded shingle, edges that join the documents (a) that aren't
-    pruned from one another.
-
-    What a node joins goes on as one row to the next round's nodes. No group is larger than a node; a shingle of
-    whose rows fewer than half are joined in a round is joined as a whole: that only makes a cluster larger.
-    """
-    rows = members.select("token", "node", F.col("a").alias("head")).join(described.select(F.col("doc_id").alias("head"), F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).cast("long").alias("spare"), "bits"), "head")
-    found = written(_grouped(rows, percent))
-    edges = found.where("bits IS NULL").select("a", "b")
-    several = members.groupBy("token").agg(F.countDistinct("node").alias("nodes")).where("nodes > 1").select("token")
-    heads = written(found.where("bits IS NOT NULL").join(several, "token", "left_semi").select("token", F.col("a").alias("head"), "lo", "hi", "spare", "bits"))
-    seed = 10
-    while heads.limit(1).count():
-        before = written(_in_nodes(heads, "token", "head", seed))
-        found = written(_grouped(before, percent))
-        edges = edges.union(found.where("bits IS NULL").select("a", "b"))
-        after = found.where("bits IS NOT NULL")
-        n = before.groupBy("token").agg(F.count("*").alias("n"), F.max("nodes").alias("nodes")).where("nodes > 1")
-        state = written(n.join(after.groupBy("token").agg(F.count("*").alias("left"), F.min("a").alias("low")), "token"))
-        stuck = after.join(state.where("2 * left > n").select("token", "low"), "token").select("a", F.col("low").alias("b")).where("a <> b")
-        edges = edges.union(stuck)
-        heads = written(after.join(state.where("2 * left <= n AND left > 1").select("token"), "token", "left_semi").select("token", F.col("a").alias("head"), "lo", "hi", "spare", "bits"))
-        seed += 1
-    return edges
-
-
 def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     d = described.select("doc_id", "n", "bits")
     x = pairs.join(d.toDF("a", "n_a", "bits_a"), "a").join(d.toDF("b", "n_b", "bits_b"), "b")
@@ -390,16 +323,18 @@ def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     return x.mapInPandas(prune, "a long, b long")
 
 
-def _solved(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) within each group by `keys`; small groups are handed out together."""
-    rows = _packed(rows.select(*keys, "doc_id", "label", "asked", "tokens"), keys, "tokens")
+def _solved(rows: DataFrame, keys: list[str], percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) within each group by `keys` of rows (doc_id, n, data, label, asked): data is the set of shingles if
+    exact, else the bitmap. Small groups are handed out together."""
+    rows = _packed(rows.select(*keys, "doc_id", "n", "data", "label", "asked"), keys, "data")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         for _, g in pdf.groupby(keys, sort=False):
             if len(g) > 1:
-                sets = [np.frombuffer(t, U) for t in g.tokens]
-                out += linked(g.doc_id.tolist(), g.label.tolist(), sets, g.asked.to_numpy(), percent)
+                sets = [np.frombuffer(t, U) for t in g.data] if exact else None
+                maps = list(map(bitmap, sets)) if exact else g.data.tolist()
+                out += linked(g.doc_id.tolist(), g.label.tolist(), g.n.to_numpy(np.int64), maps, g.asked.to_numpy(), percent, sets)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return rows.groupBy("pack").applyInPandas(solve, "a long, b long")
@@ -410,17 +345,16 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
 
 
-def _links(clustered: DataFrame, percent: int) -> DataFrame:
-    """Links that join each cluster's documents into their components.
+def _links(clustered: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links that join each cluster's documents (cluster, doc_id, n, data as for _solved) into their components.
 
     Clusters over NODE documents: trees of NODE documents first, then one document of each component
     found is compared across trees until one tree holds them. Last, each document outside a cluster's
-    largest component is compared with the others of its band of sizes and the next ones, so no link between
-    components is missed.
+    largest component is compared with the others, or, where many are outside, with those of its band of sizes and
+    the next ones. So no link between components is missed, and no tree has more than twice NODE documents.
     """
-    start = _in_nodes(clustered, "cluster", "doc_id", 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)})
-    start = written(start)
-    links = written(_solved(start, ["cluster", "node"], percent))
+    start = written(_in_nodes(clustered, "cluster", "doc_id", 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)}))
+    links = written(_solved(start, ["cluster", "node"], percent, exact))
     big = start.where("nodes > 1").drop("node", "nodes")
     if big.limit(1).count() == 0:
         return links
@@ -428,33 +362,51 @@ def _links(clustered: DataFrame, percent: int) -> DataFrame:
     left = big.count()
     while True:
         labelled = written(_labelled(big, links))
-        heads = labelled.where("doc_id = label")
-        heads = written(_in_nodes(heads, "cluster", "doc_id", 1))
+        heads = labelled.groupBy("cluster", "label").agg(F.min("doc_id").alias("doc_id")).drop("label")
+        heads = written(_in_nodes(labelled.join(heads, ["cluster", "doc_id"], "left_semi"), "cluster", "doc_id", 1))
         n, most = heads.agg(F.count("*"), F.max("nodes")).first()
         if n > left // 2:
             break
-        links = written(links.union(_solved(heads, ["cluster", "node"], percent)))
+        links = written(links.union(_solved(heads, ["cluster", "node"], percent, exact)))
         if most == 1:
             labelled = written(_labelled(big, links))
             break
         left = n
     main = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    # documents whose bands aren't neighbours differ too much in size
-    band = F.floor(F.log(F.length("tokens") / 8) / (1.0001 * math.log(100 / percent))).cast("int")
-    parts = labelled.join(main, "cluster").withColumn("band", band)
-    out = parts.where("label <> main").withColumn("key", F.xxhash64("cluster", "band"))
-    out = written(_in_nodes(out, "key", "doc_id", 2).withColumnsRenamed({"node": "o", "nodes": "os", "key": "of"}))
+    parts = labelled.join(main, "cluster")
+    # documents whose bands aren't neighbours differ too much in size; outsiders that one tree holds need no bands
+    band = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int")
+    few = parts.where("label <> main").groupBy("cluster").agg((F.count("*") <= NODE).alias("few"))
+    parts = written(parts.join(few, "cluster").withColumn("band", F.when(F.col("few"), 0).otherwise(band)).drop("few"))
+    out = parts.where("label <> main").withColumn("of", F.xxhash64("cluster", "band"))
+    out = written(_in_nodes(out, "of", "doc_id", 2).withColumnsRenamed({"node": "o", "nodes": "os"}))
     if out.limit(1).count() == 0:
         return links
     near = out.select("cluster", "band", "of", "os").distinct().withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
-    # an outsider of the next band is met by way of its own neighbours, so each pair of bands meets once or twice
     every = parts.join(near.select("cluster", "band").distinct(), ["cluster", "band"], "left_semi").withColumn("key", F.xxhash64("cluster", "band"))
     every = written(_in_nodes(every, "key", "doc_id", 3))
     trees = every.select("cluster", "band", "key", "nodes").distinct().join(near, ["cluster", "band"])
-    one = out.drop("cluster", "band").join(trees.select("cluster", "of", "key", "nodes"), "of").withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1))).withColumn("asked", F.lit(True))
+    one = out.join(trees.select("of", "key", "nodes"), "of").withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1))).withColumn("asked", F.lit(True))
     two = every.drop("nodes").join(near, ["cluster", "band"]).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1))).withColumn("asked", F.lit(False))
-    cols = ["of", "o", "key", "node", "doc_id", "label", "asked", "tokens"]
-    return links.union(_solved(one.select(cols).union(two.select(cols)), ["of", "o", "key", "node"], percent))
+    cols = ["of", "o", "key", "node", "doc_id", "n", "data", "label", "asked"]
+    return links.union(_solved(one.select(cols).union(two.select(cols)), ["of", "o", "key", "node"], percent, exact))
+
+
+def _parted(clustered: DataFrame, percent: int) -> DataFrame:
+    """clustered, its clusters over NODE documents parted by longer bitmaps, which prune more than those by which
+    they were gathered; documents then alone link with none."""
+    big = clustered.join(clustered.groupBy("cluster").count().where(F.col("count") > NODE).select("cluster"), "cluster", "left_semi")
+    if big.limit(1).count() == 0:
+        return clustered
+
+    def make():
+        return lambda sets: ([bitmap(np.frombuffer(t, U), FINE_BITS, FINE_EACH).tobytes() for t in sets],)
+
+    fine = added(big, ["data"], "fine binary", make, drop=("data",)).withColumnRenamed("fine", "data")
+    parts = written(components(_links(written(fine), percent, exact=False)).toDF("doc_id", "part"))
+    rest = clustered.join(big.select("cluster").distinct(), "cluster", "left_anti")
+    again = big.join(listed(parts), "doc_id").select(F.col("part").alias("cluster"), "doc_id", "n", "data")
+    return rest.select("cluster", "doc_id", "n", "data").union(again)
 
 
 def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -482,13 +434,15 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     again = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     size = (F.col("n") * (1 << PLACE) + F.col("place")).alias("size")
     entries = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id").select("token", size, "doc_id")
-    # what is known to be crowded doesn't meet in one task: its documents go to nodes at once
+    # what is known to be crowded doesn't meet in one task
     hot = often[often.n >= HOT * NODE]
-    hot = spark.createDataFrame([(int(t), -(-int(c) // NODE)) for t, c in zip(hot.token, hot.n)], "token long, nodes long")
-    cold = entries.join(F.broadcast(hot), "token", "left_anti").repartition("token").sortWithinPartitions("token", "size", "doc_id")
-    crowded = entries.join(F.broadcast(hot), "token").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "token", F.pmod(F.xxhash64("doc_id"), "nodes").alias("node"))
-    met = written(_meetings(cold, percent).union(crowded))
-    edges = _pruned(met.where("node < 0").select("a", "b").distinct(), known, percent).union(_crowds(met.where("node >= 0"), known, percent))
+    hot = F.broadcast(spark.createDataFrame([(int(t),) for t in hot.token], "token long"))
+    cold = entries.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "size", "doc_id")
+    met = _meetings(cold, percent).union(entries.join(hot, "token").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "token", F.lit(1).cast("long").alias("crowd")))
+    met = written(met)
+    crowds = met.where("crowd = 1").select(F.col("token").alias("cluster"), F.col("a").alias("doc_id"))
+    crowds = crowds.join(known.select("doc_id", "n", F.col("bits").alias("data")), "doc_id")
+    edges = _pruned(met.where("crowd = 0").select("a", "b").distinct(), known, percent).union(_links(crowds, percent, exact=False))
     clusters = written(components(edges).toDF("doc_id", "cluster"))
 
     def sets(batches):
@@ -496,11 +450,13 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         for b in batches:
             for at in blocks(b.text.str.len().to_numpy()):
                 s = b.iloc[at]
-                yield pd.DataFrame({"cluster": s.cluster.to_numpy(), "doc_id": s.doc_id.to_numpy(), "tokens": [x.tobytes() for x in shingles(s.text.tolist(), k, hashes)]})
+                found = shingles(s.text.tolist(), k, hashes)
+                yield pd.DataFrame({"cluster": s.cluster.to_numpy(), "doc_id": s.doc_id.to_numpy(), "n": [len(x) for x in found], "data": [x.tobytes() for x in found]})
 
     members = docs.join(listed(clusters), "doc_id").select("cluster", "doc_id", "text")
-    clustered = written(members.mapInPandas(sets, "cluster long, doc_id long, tokens binary").where("length(tokens) > 0"))
-    labels = written(components(_links(clustered, percent).union(again)).toDF("first", "label"))
+    clustered = written(members.mapInPandas(sets, "cluster long, doc_id long, n long, data binary").where("n > 0"))
+    clustered = written(_parted(clustered, percent))
+    labels = written(components(_links(clustered, percent, exact=True).union(again)).toDF("first", "label"))
     by_set = same.join(labels, "first", "left").select(*sig, F.coalesce("label", "first").alias("of_set"))
     rows = described.select("doc_id", *sig).join(by_set, sig, "left").join(labels.withColumnsRenamed({"first": "doc_id", "label": "of_doc"}), "doc_id", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "of_set", "doc_id")).alias("component_id"))
