@@ -67,7 +67,6 @@ def test_empty_table(spark):
 def test_sites_with_a_common_template(spark, monkeypatch):
     """Crowded shingles among documents that mostly don't link, with some pairs and chains that do."""
     monkeypatch.setattr(shingle_join, "NODE", 8)
-    monkeypatch.setattr(shingle_join, "HOT", 3)
     r = random.Random(12)
     rows = []
     for site in range(3):

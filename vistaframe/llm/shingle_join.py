@@ -2,9 +2,9 @@
 
 Documents whose shingle sets are equal count as one. Each set gives a prefix of its shingles, those
 found often in some input batch coming last: of two sets that are similar enough, the smaller one has a shingle in
-the first part of its prefix that is in the other's prefix too. Pairs that share one are pruned by place and token
-bitmaps; the documents of a crowded shingle are pruned by trees whose nodes hold OR-combined bitmaps and size
-ranges. What is left is gathered into clusters, and each cluster is joined by the same trees, with exact overlaps.
+the first part of its prefix that is in the other's prefix too. Pairs that share one are pruned by its place in both
+and by token bitmaps, what is left is gathered into clusters, and each cluster is joined by trees whose nodes hold
+OR-combined bitmaps and size ranges.
 """
 
 from __future__ import annotations
@@ -22,20 +22,16 @@ from vistaframe.llm.common import U, WordHash, added, blocks, components, listed
 
 #: Bits of the shortest token bitmap.
 BITS = 1024
-#: The same, and bits for each shingle, of the bitmaps that part large clusters.
-FINE_BITS, FINE_EACH = 4096, 8
-#: Documents that share a prefix shingle and are paired at once; more are joined by trees.
-RUN = 16
+#: Documents that share a prefix shingle and are paired at once; more are clustered as a whole.
+RUN = 32
 #: Documents in one tree.
 NODE = 256
-#: Trees that a frequent shingle's documents fill at least to be known as a crowd without meeting in one task.
-HOT = 4
-#: Bits of an entry's place in its prefix, below its size.
-PLACE = 28
-#: Bytes of shingle sets, and rows, that a task joins at once.
-PACK_BYTES, PACK_ROWS = 8 << 20, 512
 #: Shingles kept in the list of frequent ones. It only orders the prefixes: results don't depend on it.
 FREQUENT = 1 << 18
+#: Bytes of shingle sets that a task joins at once.
+PACK_BYTES = 8 << 20
+#: Bits of an entry's place in its prefix, below its size.
+PLACE = 28
 FANOUT = 8
 
 
@@ -70,12 +66,12 @@ def rolled(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
     return mix(h)
 
 
-def bitmap(tokens: np.ndarray, bits: int = BITS, each: int = 2) -> np.ndarray:
-    """`bits` bits, or `each` to twice as many for each token, as 64-bit words."""
-    n = max(bits, each << (len(tokens) - 1).bit_length()) if len(tokens) else bits
-    marks = np.zeros(n, bool)
-    marks[(tokens >> U(7)) % U(n)] = True
-    return np.packbits(marks).view(U)
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits or two to four for each token, as 64-bit words."""
+    n = max(BITS, 2 << (len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    bits = np.zeros(n, bool)
+    bits[(tokens >> U(7)) % U(n)] = True
+    return np.packbits(bits).view(U)
 
 
 def folded(maps) -> np.ndarray:
@@ -90,11 +86,11 @@ def alike(overlap, size_a, size_b, percent: int):
 
 
 class Tree:
-    """Leaves are documents in order of size; each higher node covers FANOUT nodes below it, with their OR-combined
-    bitmap, least and largest size and most tokens that a document's bitmap hides."""
+    """Leaves are documents in order of size; each higher node covers FANOUT nodes below it."""
 
     def __init__(self, sizes: np.ndarray, maps: np.ndarray):
-        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1).astype(np.int64))]
+        spare = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)  # tokens hidden by shared bits
+        self.levels = [(maps, sizes, sizes, spare)]
         while len(self.levels[-1][1]) > 1:
             m, lo, hi, sp = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
@@ -153,12 +149,12 @@ class Joined:
         return i != j
 
 
-def linked(ids: list[int], labels: list, sizes: np.ndarray, maps: list, asked: np.ndarray, percent: int, sets: list | None = None) -> list[tuple[int, int]]:
-    """Links that join the documents into their components: pairs already joined are passed over. Without sets, a
-    pair that the bitmaps don't prune counts as a link.
+def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the documents into their components: pairs already joined are passed over.
 
     Only pairs with an `asked` document are compared. Documents with one label start out joined.
     """
+    sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable").tolist()
     joined = Joined(len(ids))
     seen: dict = {}
@@ -166,11 +162,12 @@ def linked(ids: list[int], labels: list, sizes: np.ndarray, maps: list, asked: n
         for x in (("label", labels[i]), ("id", ids[i])):
             joined.join(at, seen.setdefault(x, at))
     out = []
-    tree = Tree(sizes[order], folded([maps[i] for i in order]))
+    tree = Tree(sizes[order], folded([bitmap(sets[i]) for i in order]))
     for x, y in tree.candidates(percent, joined):
         i, j = order[x], order[y]
         if (asked[i] or asked[j]) and joined.top(x) != joined.top(y):
-            if sets is None or alike(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(sizes[i]), int(sizes[j]), percent):
+            overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if alike(overlap, int(sizes[i]), int(sizes[j]), percent):
                 joined.join(x, y)
                 out.append((ids[i], ids[j]))
     return out
@@ -245,8 +242,9 @@ def _may_meet(n_a, at_a, n_b, at_b, percent: int):
 
 
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, token, crowd) of sorted entries (token, size, doc_id): pairs of documents that may be similar by a
-    prefix shingle that they share; where more than RUN do, each of them alone, marked as one of a crowd."""
+    """(a, b, token, n, crowd) of sorted entries (token, size, doc_id): pairs of documents that may be similar by a
+    prefix shingle that they share; where more
+    than RUN do, each of them alone, marked as one of a crowd."""
 
     def meet(batches):
         rest = np.empty((0, 3), np.int64)
@@ -256,7 +254,8 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
             n, at = run[:, 1] >> PLACE, run[:, 1] & ((1 << PLACE) - 1)
             i, j = np.triu_indices(len(run), 1)
             ok = _may_meet(n[i], at[i], n[j], at[j], percent)
-            out.append(np.stack([run[i[ok], 2], run[j[ok], 2], run[i[ok], 0], np.zeros(ok.sum(), np.int64)], axis=1))
+            i, j = i[ok], j[ok]
+            out.append(np.stack([run[i, 2], run[j, 2], run[i, 0], n[i], np.zeros_like(i)], axis=1))
 
         def crowd(run: np.ndarray, out: list):
             nonlocal crowded, wanted
@@ -265,13 +264,13 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
             n, at = run[:, 1] >> PLACE, run[:, 1] & ((1 << PLACE) - 1)
             # a document meets none if neither it nor one before it has the shingle in its first part
             use = np.logical_or.accumulate((at < _first(n, percent)) | wanted)
-            run = run[use]
             wanted = wanted or bool(use.any())
-            out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], np.ones(len(run), np.int64)], axis=1))
+            run, n = run[use], n[use]
+            out.append(np.stack([run[:, 2], run[:, 2], run[:, 0], n, np.ones(len(run), np.int64)], axis=1))
 
         def work(rows: np.ndarray, last: bool):
             nonlocal rest
-            out: list = [np.empty((0, 4), np.int64)]
+            out: list = [np.empty((0, 5), np.int64)]
             cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True]) if len(rows) else np.array([0])
             size = np.diff(cut)
             for i in np.flatnonzero((size > 1) | (np.arange(len(size)) == len(size) - 1) | (np.arange(len(size)) == 0)).tolist():
@@ -282,7 +281,7 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
                     rest = rows[s:]
                 elif e - s > 1:
                     pairs(rows[s:e], out)
-            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "crowd"])
+            return pd.DataFrame(np.concatenate(out), columns=["a", "b", "token", "n", "crowd"])
 
         for b in batches:
             rows = np.concatenate([rest, b[["token", "size", "doc_id"]].to_numpy(np.int64)])
@@ -290,20 +289,33 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
             yield work(rows, False)
         yield work(rest, True)
 
-    return entries.mapInPandas(meet, "a long, b long, token long, crowd long")
+    return entries.mapInPandas(meet, "a long, b long, token long, n long, crowd long")
 
 
-def _packed(rows: DataFrame, keys: list[str], bytes_of: str) -> DataFrame:
-    """rows with pack: groups by `keys` dealt to tasks by bytes and rows. A group has about NODE rows at most."""
-    n, size = rows.agg(F.count("*"), F.sum(F.length(bytes_of))).first()
-    packs = max(1, n // PACK_ROWS, (size or 0) // PACK_BYTES)
-    return rows.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs)))
+def _crowds(members: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each shingle (token) with many documents (a), edges that join the documents that aren't
+    pruned from one another. Only documents of one size band or of neighbouring ones are compared."""
+    width = 1.0001 * math.log(100 / percent)
+    band = F.floor(F.log("n") / width).cast("int")
+    rows = members.select("token", F.explode(F.array(band, band + 1)).alias("band"), F.col("a").alias("doc_id"))
+    rows = rows.join(described.select("doc_id", "n", "bits"), "doc_id")
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64("token", "band"), F.lit(max(1, members.count() // 1024))))
 
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list = []
+        for _, g in pdf.groupby(["token", "band"], sort=False):
+            if len(g) < 2:
+                continue
+            g = g.sort_values(["n", "doc_id"], kind="stable")
+            ids = g.doc_id.tolist()
+            joined = Joined(len(ids))
+            tree = Tree(g.n.to_numpy(np.int64), folded(g.bits))
+            for i, j in tree.candidates(percent, joined):
+                if joined.join(i, j):
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-def _in_nodes(rows: DataFrame, key: str, by: str, seed: int) -> DataFrame:
-    """Adds nodes (how many trees of NODE rows the key takes) and node (the one of this row)."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / NODE).cast("long").alias("nodes"))
-    return rows.join(sizes, key).withColumn("node", F.pmod(F.xxhash64(by, F.lit(seed)), "nodes"))
+    return rows.groupBy("pack").applyInPandas(join, "a long, b long")
 
 
 def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
@@ -323,38 +335,44 @@ def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     return x.mapInPandas(prune, "a long, b long")
 
 
-def _solved(rows: DataFrame, keys: list[str], percent: int, exact: bool) -> DataFrame:
-    """Links (a, b) within each group by `keys` of rows (doc_id, n, data, label, asked): data is the set of shingles if
-    exact, else the bitmap. Small groups are handed out together."""
-    rows = _packed(rows.select(*keys, "doc_id", "n", "data", "label", "asked"), keys, "data")
+def _solved(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) within each group by `keys`; small groups are handed out together."""
+    total = rows.count()
+    packs = max(1, total // 512, (rows.agg(F.sum(F.length("tokens"))).first()[0] or 0) // PACK_BYTES)
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs))).select("pack", *keys, "doc_id", "label", "asked", "tokens")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         for _, g in pdf.groupby(keys, sort=False):
             if len(g) > 1:
-                sets = [np.frombuffer(t, U) for t in g.data] if exact else None
-                maps = list(map(bitmap, sets)) if exact else g.data.tolist()
-                out += linked(g.doc_id.tolist(), g.label.tolist(), g.n.to_numpy(np.int64), maps, g.asked.to_numpy(), percent, sets)
+                sets = [np.frombuffer(t, U) for t in g.tokens]
+                out += linked(g.doc_id.tolist(), g.label.tolist(), sets, g.asked.to_numpy(), percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return rows.groupBy("pack").applyInPandas(solve, "a long, b long")
 
 
+def _in_nodes(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds nodes (how many trees the cluster takes) and node (the one of this document)."""
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / NODE).cast("long").alias("nodes"))
+    return rows.join(sizes, "cluster").withColumn("node", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "nodes"))
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links).withColumnsRenamed({"node": "doc_id", "label": "found"})
     return rows.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
 
 
-def _links(clustered: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links that join each cluster's documents (cluster, doc_id, n, data as for _solved) into their components.
+def _links(clustered: DataFrame, percent: int) -> DataFrame:
+    """Links that join each cluster's documents into their components.
 
     Clusters over NODE documents: trees of NODE documents first, then one document of each component
     found is compared across trees until one tree holds them. Last, each document outside a cluster's
-    largest component is compared with the others, or, where many are outside, with those of its band of sizes and
-    the next ones. So no link between components is missed, and no tree has more than twice NODE documents.
+    largest component is compared with all others, so no link between components is missed.
     """
-    start = written(_in_nodes(clustered, "cluster", "doc_id", 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)}))
-    links = written(_solved(start, ["cluster", "node"], percent, exact))
+    start = _in_nodes(clustered, 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)})
+    start = written(start)
+    links = written(_solved(start, ["cluster", "node"], percent))
     big = start.where("nodes > 1").drop("node", "nodes")
     if big.limit(1).count() == 0:
         return links
@@ -362,51 +380,30 @@ def _links(clustered: DataFrame, percent: int, exact: bool) -> DataFrame:
     left = big.count()
     while True:
         labelled = written(_labelled(big, links))
-        heads = labelled.groupBy("cluster", "label").agg(F.min("doc_id").alias("doc_id")).drop("label")
-        heads = written(_in_nodes(labelled.join(heads, ["cluster", "doc_id"], "left_semi"), "cluster", "doc_id", 1))
+        heads = labelled.where("doc_id = label")
+        heads = written(_in_nodes(heads, 1))
         n, most = heads.agg(F.count("*"), F.max("nodes")).first()
         if n > left // 2:
             break
-        links = written(links.union(_solved(heads, ["cluster", "node"], percent, exact)))
+        links = written(links.union(_solved(heads, ["cluster", "node"], percent)))
         if most == 1:
             labelled = written(_labelled(big, links))
             break
         left = n
     main = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     parts = labelled.join(main, "cluster")
-    # documents whose bands aren't neighbours differ too much in size; outsiders that one tree holds need no bands
-    band = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int")
-    few = parts.where("label <> main").groupBy("cluster").agg((F.count("*") <= NODE).alias("few"))
-    parts = written(parts.join(few, "cluster").withColumn("band", F.when(F.col("few"), 0).otherwise(band)).drop("few"))
-    out = parts.where("label <> main").withColumn("of", F.xxhash64("cluster", "band"))
-    out = written(_in_nodes(out, "of", "doc_id", 2).withColumnsRenamed({"node": "o", "nodes": "os"}))
+    out = _in_nodes(parts.where("label <> main"), 2).withColumnsRenamed({"node": "o", "nodes": "os"})
+    out = written(out)
     if out.limit(1).count() == 0:
         return links
-    near = out.select("cluster", "band", "of", "os").distinct().withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
-    every = parts.join(near.select("cluster", "band").distinct(), ["cluster", "band"], "left_semi").withColumn("key", F.xxhash64("cluster", "band"))
-    every = written(_in_nodes(every, "key", "doc_id", 3))
-    trees = every.select("cluster", "band", "key", "nodes").distinct().join(near, ["cluster", "band"])
-    one = out.join(trees.select("of", "key", "nodes"), "of").withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1))).withColumn("asked", F.lit(True))
-    two = every.drop("nodes").join(near, ["cluster", "band"]).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1))).withColumn("asked", F.lit(False))
-    cols = ["of", "o", "key", "node", "doc_id", "n", "data", "label", "asked"]
-    return links.union(_solved(one.select(cols).union(two.select(cols)), ["of", "o", "key", "node"], percent, exact))
-
-
-def _parted(clustered: DataFrame, percent: int) -> DataFrame:
-    """clustered, its clusters over NODE documents parted by longer bitmaps, which prune more than those by which
-    they were gathered; documents then alone link with none."""
-    big = clustered.join(clustered.groupBy("cluster").count().where(F.col("count") > NODE).select("cluster"), "cluster", "left_semi")
-    if big.limit(1).count() == 0:
-        return clustered
-
-    def make():
-        return lambda sets: ([bitmap(np.frombuffer(t, U), FINE_BITS, FINE_EACH).tobytes() for t in sets],)
-
-    fine = added(big, ["data"], "fine binary", make, drop=("data",)).withColumnRenamed("fine", "data")
-    parts = written(components(_links(written(fine), percent, exact=False)).toDF("doc_id", "part"))
-    rest = clustered.join(big.select("cluster").distinct(), "cluster", "left_anti")
-    again = big.join(listed(parts), "doc_id").select(F.col("part").alias("cluster"), "doc_id", "n", "data")
-    return rest.select("cluster", "doc_id", "n", "data").union(again)
+    counts = out.select("cluster", "os").distinct()
+    every = written(_in_nodes(parts.join(counts, "cluster"), 3))
+    trees = every.select("cluster", "nodes").distinct()
+    one = out.join(trees, "cluster").withColumn("node", F.explode(F.sequence(F.lit(0), F.col("nodes") - 1))).withColumn("asked", F.lit(True))
+    two = every.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1))).withColumn("asked", F.lit(False))
+    cols = ["cluster", "o", "node", "doc_id", "label", "asked", "tokens"]
+    met = one.select(cols).union(two.select(cols))
+    return links.union(_solved(met, ["cluster", "o", "node"], percent))
 
 
 def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -433,16 +430,9 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     size = (F.col("n") * (1 << PLACE) + F.col("place")).alias("size")
-    entries = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id").select("token", size, "doc_id")
-    # what is known to be crowded doesn't meet in one task
-    hot = often[often.n >= HOT * NODE]
-    hot = F.broadcast(spark.createDataFrame([(int(t),) for t in hot.token], "token long"))
-    cold = entries.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "size", "doc_id")
-    met = _meetings(cold, percent).union(entries.join(hot, "token").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "token", F.lit(1).cast("long").alias("crowd")))
-    met = written(met)
-    crowds = met.where("crowd = 1").select(F.col("token").alias("cluster"), F.col("a").alias("doc_id"))
-    crowds = crowds.join(known.select("doc_id", "n", F.col("bits").alias("data")), "doc_id")
-    edges = _pruned(met.where("crowd = 0").select("a", "b").distinct(), known, percent).union(_links(crowds, percent, exact=False))
+    entries = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id").select("token", size, "doc_id").repartition("token").sortWithinPartitions("token", "size", "doc_id")
+    met = written(_meetings(entries, percent))
+    edges = _pruned(met.where("crowd = 0").select("a", "b").distinct(), known, percent).union(_crowds(met.where("crowd = 1"), known, percent))
     clusters = written(components(edges).toDF("doc_id", "cluster"))
 
     def sets(batches):
@@ -450,13 +440,11 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         for b in batches:
             for at in blocks(b.text.str.len().to_numpy()):
                 s = b.iloc[at]
-                found = shingles(s.text.tolist(), k, hashes)
-                yield pd.DataFrame({"cluster": s.cluster.to_numpy(), "doc_id": s.doc_id.to_numpy(), "n": [len(x) for x in found], "data": [x.tobytes() for x in found]})
+                yield pd.DataFrame({"cluster": s.cluster.to_numpy(), "doc_id": s.doc_id.to_numpy(), "tokens": [x.tobytes() for x in shingles(s.text.tolist(), k, hashes)]})
 
     members = docs.join(listed(clusters), "doc_id").select("cluster", "doc_id", "text")
-    clustered = written(members.mapInPandas(sets, "cluster long, doc_id long, n long, data binary").where("n > 0"))
-    clustered = written(_parted(clustered, percent))
-    labels = written(components(_links(clustered, percent, exact=True).union(again)).toDF("first", "label"))
+    clustered = written(members.mapInPandas(sets, "cluster long, doc_id long, tokens binary").where("length(tokens) > 0"))
+    labels = written(components(_links(clustered, percent).union(again)).toDF("first", "label"))
     by_set = same.join(labels, "first", "left").select(*sig, F.coalesce("label", "first").alias("of_set"))
     rows = described.select("doc_id", *sig).join(by_set, sig, "left").join(labels.withColumnsRenamed({"first": "doc_id", "label": "of_doc"}), "doc_id", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "of_set", "doc_id")).alias("component_id"))
