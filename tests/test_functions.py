@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,16 +110,16 @@ def test_planets_and_stars(spark):
     assert abs(sky.star_position(day.withColumn("jd", F.col("jd").cast("double"))).agg(F.max("alt")).first()[0] - 25.91) < 0.5
 
 
-def ridges(spark, d, a):
-    rows = [(1, 0.0, float(x), float(y)) for x, y in zip(d, a)]
-    return [(x.angle, x.d) for x in panorama.extract_ridges(spark.createDataFrame(rows, "obs_id long, az double, d double, angle double")).orderBy("d").collect()]
+def ridges(d, a):
+    d, a = np.array(d, float), np.array(a, float)
+    return [(a[i], d[i]) for i in panorama._ridges(d, a)]
 
 
-def test_ridges(spark):
+def test_ridges():
     d = [500, 1000, 1500, 2000, 3000, 4000, 6000, 8000, 10000, 12000, 15000]
-    assert ridges(spark, d, [1, 2, 3, 4, 2, 1, 2, 4.5, 6, 3, 2]) == [(4, 2000), (6, 10000)]
-    assert ridges(spark, [1000, 1100, 1200, 1300, 5000], [1, 1.2, 1.1, 1.3, 0.5]) == [(1.3, 1300)]
-    assert ridges(spark, [1, 2, 3], [1, 2, 3]) == []
+    assert ridges(d, [1, 2, 3, 4, 2, 1, 2, 4.5, 6, 3, 2]) == [(4, 2000), (6, 10000)]
+    assert ridges([1000, 1100, 1200, 1300, 5000], [1, 1.2, 1.1, 1.3, 0.5]) == [(1.3, 1300)]
+    assert ridges([1, 2, 3], [1, 2, 3]) == []
 
 
 def test_ridge_lines(spark):
@@ -132,15 +134,19 @@ def test_ridge_lines(spark):
 
 def test_rays_over_a_ridge(spark):
     def terrain(lat, lon):
-        return F.when(F.abs(lat - (46 + 5000 / 111195)) < 0.002, 1500.0).otherwise(500.0)
+        import numpy as np
+
+        return np.where(np.abs(lat - (46 + 5000 / 111195)) < 0.002, 1500.0, 500.0)
 
-    obs = spark.createDataFrame([(1, 46.0, 8.0, 20000.0, 502.0)], "obs_id long, lat double, lon double, radius double, h0 double")
-    rays = panorama.cast_rays(obs, F.array(F.lit(0.0)), terrain)
-    found = panorama.extract_ridges(rays).collect()
-    assert len(found) == 1 and 4700 < found[0].d < 5300
-    t = obs.crossJoin(spark.createDataFrame([(1, 0.0, 15000.0), (2, 0.0, 4000.0)], "target_id long, az double, dist double"))
+    obs = spark.createDataFrame([(2**53 + 1, 46.0, 8.0, 20000.0, 502.0), (None, 46.0, 8.0, 10.0, 502.0)], "obs_id long, lat double, lon double, radius double, h0 double")
+    found = panorama.scanned_rays(obs.withColumn("az", F.lit(0.0)), terrain).collect()
+    assert len(found) == 1 and found[0].obs_id == 2**53 + 1 and found[0].angle > 9 and abs(found[0].dist - found[0].ridges[0].d) < 1e-9
+    assert len(found[0].ridges) == 1 and 4700 < found[0].ridges[0].d < 5300 and found[0].haze[0] == (found[0].angle, found[0].dist)
+    ring = {r.az_bin: r.angle for r in panorama.ring(obs, terrain, 90.0).collect()}
+    assert sorted(ring) == [0, 1, 2, 3] and ring[0] == found[0].angle and max(ring[k] for k in (1, 2, 3)) < 0.1
+    t = obs.where("obs_id IS NOT NULL").crossJoin(spark.createDataFrame([(1, 0.0, 15000.0), (2, 0.0, 4000.0), (3, 0.0, 200.0)], "target_id long, az double, dist double"))
     o = {x.target_id: x.occlusion for x in panorama.occlusion_angle(t, terrain).collect()}
-    assert o[1] > 9 and o[2] < 0.1
+    assert o[1] > 9 and o[2] < 0.1 and o[3] is None
 
 
 def test_relief(spark):

@@ -1,6 +1,7 @@
 """Rays over terrain, horizons, ridge lines and what is visible from where.
 
-Terrain is given as a callable (lat column, lon column) -> height column, or comes from sampled rasters.
+Terrain is given as a callable (lat, lon) -> height: of columns, for single points and for samples as rows, or of NumPy
+arrays, for rays that stay in the task that makes them (scanned_rays, occlusion_angle).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ AZ_STEP, HAZE_M = 0.1, (15_000, 35_000)
 TOWER_HEIGHT = {"c": 80, "o": 30, "b": 40, "m": 60, "h": 80, "w": 35}
 
 Terrain = Callable[[Column, Column], Column]
+Heights = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -95,73 +97,133 @@ def observer_ground(observers: DataFrame, terrain: Terrain) -> DataFrame:
     return observers.withColumn("ground", F.when(lower >= 6, top).otherwise(center))
 
 
-def cast_rays(observers: DataFrame, azimuths: Column, terrain: Terrain) -> DataFrame:
-    """(obs_id, az, d, angle) for observers (obs_id, lat, lon, radius, h0); samples without a height are left
-    out. Everything from the explode on is one narrow stage; only horizons need a shuffle."""
-    rays = observers.select("obs_id", "lat", "lon", "h0", "radius", F.explode(azimuths).alias("az"))
-    h = ray_samples(dealt(rays), "radius", terrain)
-    return h.select("obs_id", "az", "d", geo.elevation_angle("h0", "h", "d").alias("angle"))
+class Ladders(dict):
+    """Sample distances by latitude, up to the largest radius asked for; a bounded number is remembered."""
+
+    def up_to(self, lat: float, end: float) -> np.ndarray:
+        most, rungs = self.get(lat, (-math.inf, None))
+        if most < end:
+            if len(self) > 4096:
+                self.clear()
+            most = max(end, 50_000.0)
+            rungs = distance_ladder.func([lat], [most])[0]
+            self[lat] = most, rungs
+        return rungs[: np.searchsorted(rungs, end, side="right")]
+
+
+def _slopes(heights: Heights, ladders: Ladders, lat: float, lon: float, h0: float, az: float, end: float) -> tuple[np.ndarray, np.ndarray]:
+    """(d, slope) of a ray's samples that have a height: the angle's tangent, over the bent earth."""
+    d = ladders.up_to(lat, end)
+    if not len(d):
+        return d, d
+    k = (d // KNOT_M).astype(int)
+    step = np.arange(k[-1] + 2) * (KNOT_M / geo.EARTH_M)
+    p, z = math.radians(lat), math.radians(az)
+    up = math.sin(p) * np.cos(step) + math.cos(p) * np.sin(step) * math.cos(z)
+    east = np.degrees(np.arctan2(math.sin(z) * math.cos(p) * np.sin(step), np.cos(step) - math.sin(p) * up))
+    x = ((lon + east + 540) % 360) / 360
+    y = 0.5 - np.log((1 + up) / (1 - up)) / (4 * math.pi)
+    t = d / KNOT_M - k
+    x, y = x[k] + (x[k + 1] - x[k]) * t, y[k] + (y[k + 1] - y[k]) * t
+    h = heights(np.degrees(np.arctan(np.sinh(math.pi * (1 - 2 * y)))), x * 360 - 180)
+    slope = (h - h0 - d * d * ((1 - geo.REFRACTION) / (2 * geo.EARTH_M))) / d
+    known = ~np.isnan(slope)
+    return (d, slope) if known.all() else (d[known], slope[known])
+
+
+def _highest(d: np.ndarray, slope: np.ndarray) -> tuple[float, float]:
+    """(angle, dist) of the highest sample, the last of equal ones."""
+    at = len(slope) - 1 - int(slope[::-1].argmax())
+    return math.degrees(math.atan(slope[at])), float(d[at])
+
+
+def _ridges(d: np.ndarray, slope: np.ndarray, least_gap: float = 300, share: float = 0.04) -> np.ndarray:
+    """Places of ridges: the last visible sample before a hidden stretch, if what is seen next lies over
+    max(least_gap, share of its distance) beyond, or nothing is."""
+    seen = np.flatnonzero(slope >= np.r_[-np.inf, np.maximum.accumulate(slope)[:-1]])
+    after = np.r_[seen[1:], len(d)]
+    beyond = np.r_[d[seen[1:]], np.inf] - d[seen] > np.maximum(least_gap, share * d[seen])
+    return seen[(after - seen > 1) & beyond]
+
+
+SCAN = "angle double, dist double, haze_angle array<double>, haze_dist array<double>, ridge_d array<double>, ridge_angle array<double>"
+
+
+def scanned_rays(rays: DataFrame, heights: Heights) -> DataFrame:
+    """rays (lat, lon, h0, az, radius and any other columns) with angle and dist of the horizon, haze (the same up to
+    each distance of HAZE_M; angle -90 and no distance without samples) and ridges (d, angle). Rays without any
+    sample are left out. A ray's samples are an array in the task that makes them: nothing is exploded or shuffled."""
+
+    @F.pandas_udf(SCAN)
+    def scan(lat: pd.Series, lon: pd.Series, h0: pd.Series, az: pd.Series, radius: pd.Series) -> pd.DataFrame:
+        ladders, out = Ladders(), []
+        for row in zip(lat, lon, h0, az, radius):
+            d, slope = _slopes(heights, ladders, *row)
+            if not len(d):
+                out.append((None, None, (), (), (), ()))
+                continue
+            near = [int(np.searchsorted(d, band, side="right")) for band in HAZE_M]
+            haze = [_highest(d[:n], slope[:n]) if n else (-90.0, None) for n in near]
+            at = _ridges(d, slope)
+            out.append((*_highest(d, slope), *zip(*haze), d[at], np.degrees(np.arctan(slope[at]))))
+        return pd.DataFrame(out, columns=["angle", "dist", "haze_angle", "haze_dist", "ridge_d", "ridge_angle"])
+
+    # else the filter below would be moved before the rays are dealt, and every ray be cast twice
+    scan = scan.asNondeterministic()
+    haze = F.arrays_zip(F.col("_scan.haze_angle").alias("angle"), F.col("_scan.haze_dist").alias("dist")).alias("haze")
+    ridges = F.arrays_zip(F.col("_scan.ridge_d").alias("d"), F.col("_scan.ridge_angle").alias("angle")).alias("ridges")
+    return rays.withColumn("_scan", scan("lat", "lon", "h0", "az", "radius")).select(*rays.columns, "_scan.angle", "_scan.dist", haze, ridges).where("angle IS NOT NULL")
+
+
+def ring(observers: DataFrame, heights: Heights, step: float = AZ_STEP) -> DataFrame:
+    """scanned_rays of every observer (obs_id, lat, lon, h0, radius) in every direction: (obs_id, az_bin, angle, dist,
+    haze, ridges)."""
+    bins = F.explode(F.sequence(F.lit(0), F.lit(round(360 / step) - 1))).alias("az_bin")
+    rays = dealt(observers.select("obs_id", "lat", "lon", "h0", "radius", bins))
+    return scanned_rays(rays.withColumn("az", F.col("az_bin") * F.lit(step)), heights).select("obs_id", "az_bin", "angle", "dist", "haze", "ridges")
+
+
+def occlusion_angle(targets: DataFrame, heights: Heights) -> DataFrame:
+    """targets (lat, lon, h0, az, dist and any other columns) with occlusion: the largest angle of the terrain on the
+    target's own ray, up to max(300 m, 3 %) before it; null if there is none."""
+
+    @F.pandas_udf(DoubleType())
+    def highest(lat: pd.Series, lon: pd.Series, h0: pd.Series, az: pd.Series, end: pd.Series) -> pd.Series:
+        ladders, out = Ladders(), []
+        for row in zip(lat, lon, h0, az, end):
+            _, slope = _slopes(heights, ladders, *row)
+            out.append(math.degrees(math.atan(slope.max())) if len(slope) else None)
+        return pd.Series(out, index=lat.index, dtype=object)
 
-
-def horizon(rays: DataFrame, band: float | None = None) -> DataFrame:
-    """(obs_id, az, angle, dist): the largest angle, and the last distance that attains it. With a band only
-    samples up to it count, and a ray without any has angle -90 and no distance."""
-    if band is None:
-        return rays.groupBy("obs_id", "az").agg(F.max("angle").alias("angle"), F.max_by("d", F.struct("angle", "d")).alias("dist"))
-    near = F.col("d") <= band
-    best = F.max(F.when(near, F.struct("angle", "d")))
-    return rays.groupBy("obs_id", "az").agg(best.alias("b")).select("obs_id", "az", F.coalesce("b.angle", F.lit(-90.0)).alias("angle"), F.col("b.d").alias("dist"))
-
-
-def extract_ridges(rays: DataFrame, least_gap: float = 300, share: float = 0.04) -> DataFrame:
-    """(obs_id, az, d, angle) of ridges: the last visible sample before a hidden stretch, if what is seen next
-    lies over max(least_gap, share of its distance) beyond, or nothing is."""
-    ray = Window.partitionBy("obs_id", "az").orderBy("d")
-    before = ray.rowsBetween(Window.unboundedPreceding, -1)
-    x = rays.withColumns({"top": F.max("angle").over(before), "pos": F.row_number().over(ray), "n": F.count("*").over(Window.partitionBy("obs_id", "az"))})
-    seen = x.where("top IS NULL OR angle >= top").withColumns({"next_d": F.lead("d").over(ray), "next_pos": F.lead("pos").over(ray)})
-    gap = F.col("next_d") - F.col("d") > F.greatest(F.lit(float(least_gap)), share * F.col("d"))
-    last = F.col("next_pos").isNull() & (F.col("pos") < F.col("n"))
-    return seen.where(last | (F.col("next_pos") - F.col("pos") > 1) & gap).select("obs_id", "az", "d", "angle")
-
-
-def occlusion_angle(targets: DataFrame, terrain: Terrain) -> DataFrame:
-    """targets (obs_id, target_id, lat, lon, h0, az, dist and any other columns) with occlusion: the largest
-    angle of the terrain on the target's own ray, up to max(300 m, 3 %) before it; null if there is none."""
     end = F.col("dist") - F.greatest(F.lit(300.0), 0.03 * F.col("dist")) - 1e-6
-    rays = targets.select("obs_id", "target_id", "lat", "lon", "h0", "az", end.alias("end"))
-    h = ray_samples(dealt(rays), "end", terrain)
-    slope = F.max((F.col("h") - F.col("h0") - geo.curvature_drop("d")) / F.col("d"))
-    found = h.groupBy("obs_id", "target_id").agg(F.degrees(F.atan(slope)).alias("occlusion"))
-    return targets.join(found, ["obs_id", "target_id"], "left")
+    return targets.withColumn("occlusion", highest.asNondeterministic()("lat", "lon", "h0", "az", end))
 
 
-def peak_views(observers: DataFrame, peaks: DataFrame, terrain: Terrain) -> DataFrame:
+def peak_views(observers: DataFrame, peaks: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
     """Peaks in range with az, angle, dist and visible. The mapped elevation counts unless it is 400 m or more
     off the terrain's; a hill within 0.05 degrees of the line of sight hides nothing."""
-    return views_of(in_range(observers, peaks), terrain)
+    return views_of(in_range(observers, peaks), terrain, heights)
 
 
-def views_of(near: DataFrame, terrain: Terrain) -> DataFrame:
+def views_of(near: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
     """The same for chosen pairs of observers and peaks, as in_range gives them."""
     ground = terrain(F.col("p_lat"), F.col("p_lon"))
     mapped = F.col("p_ele").isNotNull() & (ground.isNull() | (F.abs(F.col("p_ele") - ground) < 400))
-    t = near.withColumn("ele", F.when(mapped, F.col("p_ele")).otherwise(ground)).where("ele IS NOT NULL").withColumn("target_id", F.col("p_id"))
-    seen = occlusion_angle(t.withColumn("angle", geo.elevation_angle("h0", "ele", "dist")), terrain)
+    t = near.withColumn("ele", F.when(mapped, F.col("p_ele")).otherwise(ground)).where("ele IS NOT NULL")
+    seen = occlusion_angle(t.withColumn("angle", geo.elevation_angle("h0", "ele", "dist")), heights)
     return seen.withColumn("visible", F.coalesce(F.col("angle") >= F.col("occlusion") - 0.05, F.lit(True)))
 
 
-def landmark_views(observers: DataFrame, towers: DataFrame, terrain: Terrain) -> DataFrame:
+def landmark_views(observers: DataFrame, towers: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
     """Towers (id, lat, lon, kind, height) whose top stands 0.1 degrees above the skyline up to 35 km and above
     the terrain before them: az, dist, base, top, height_known."""
     near = in_range(observers, towers, TOWER_LEAST_M, TOWER_MOST_M)
     usual = F.create_map(*[F.lit(x) for kv in TOWER_HEIGHT.items() for x in kv])
-    t = near.withColumns({"ground": terrain(F.col("p_lat"), F.col("p_lon")), "tall": F.coalesce("p_height", F.try_element_at(usual, F.col("p_kind"))), "target_id": F.col("p_id")}).where("ground IS NOT NULL")
+    t = near.withColumns({"ground": terrain(F.col("p_lat"), F.col("p_lon")), "tall": F.coalesce("p_height", F.try_element_at(usual, F.col("p_kind")))}).where("ground IS NOT NULL")
     t = t.withColumns({"base": geo.elevation_angle("h0", "ground", "dist"), "top": geo.elevation_angle("h0", F.col("ground") + F.col("tall"), "dist"), "height_known": F.col("p_height").isNotNull(), "bin_az": geo.nearest_bin("az") * AZ_STEP})
     needed = t.select("obs_id", "lat", "lon", "h0", F.lit(float(HAZE_M[1])).alias("radius"), F.col("bin_az").alias("az")).distinct()
-    h = ray_samples(dealt(needed), "radius", terrain)
-    sky = h.groupBy("obs_id", "az").agg(F.max(geo.elevation_angle("h0", "h", "d")).alias("sky")).withColumnRenamed("az", "bin_az")
-    seen = occlusion_angle(t.join(sky, ["obs_id", "bin_az"], "left"), terrain)
+    sky = scanned_rays(dealt(needed), heights).select("obs_id", F.col("az").alias("bin_az"), F.col("angle").alias("sky"))
+    seen = occlusion_angle(t.join(sky, ["obs_id", "bin_az"], "left"), heights)
     return seen.where((F.col("top") >= F.coalesce("sky", F.lit(-90.0)) + 0.1) & (F.coalesce(F.col("top") >= F.col("occlusion") + 0.1, F.lit(True))))
 
 
@@ -204,36 +266,34 @@ def link_ridges(ridges: DataFrame, n_bins: int = 3600, rel: float = 0.08, turn:
     """
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["az_bin", "dist"], kind="stable")
-        rows: dict[int, list[int]] = {}
-        for i, b in enumerate(pdf.az_bin.tolist()):
-            rows.setdefault(b, []).append(i)
-        dist, angle = pdf.dist.to_numpy(), pdf.angle.to_numpy()
-        follows, led = np.full(len(pdf), -1), np.zeros(len(pdf), bool)
+        pdf = pdf.sort_values(["az_bin", "dist"], kind="stable").reset_index(drop=True)
+        n = len(pdf)
+        points = pdf.assign(i=np.arange(n))[["i", "az_bin", "dist", "angle"]]
+        ahead, behind = np.full(n, -1), np.full(n, -1)
         for gap in range(1, min(most_gap, n_bins - 1) + 1):
-            for b in range(n_bins) if len(rows) > n_bins // 2 else sorted(rows):
-                ahead = rows.get((b + gap) % n_bins, [])
-                for k in rows.get(b, []) if ahead else []:
-                    free = np.array([m for m in ahead if not led[m]], int) if follows[k] < 0 else ()
-                    if len(free):
-                        dd, da = np.abs(dist[free] - dist[k]) / dist[k], np.abs(angle[free] - angle[k])
-                        score = np.where((dd <= rel) & (da <= turn), dd / rel + da / turn, np.inf)
-                        if np.isfinite(score.min()):
-                            follows[k] = free[score.argmin()]
-                            led[follows[k]] = True
-        out, seen, line = [], np.zeros(len(pdf), bool), 0
-        for ring in (False, True):
-            for i in range(len(pdf)):
-                if seen[i] or (led[i] and not ring):
-                    continue
-                seq = 0
-                while i >= 0 and not seen[i]:
-                    seen[i] = True
-                    out.append((line, seq, i))
-                    seq, i = seq + 1, follows[i]
-                line += 1
-        at = [o[2] for o in out]
-        return pd.DataFrame({"obs_id": pdf.obs_id.to_numpy()[at], "line_id": [o[0] for o in out], "seq": [o[1] for o in out], "az_bin": pdf.az_bin.to_numpy()[at], "angle": angle[at], "dist": dist[at]})
+            # all pairs of free ends this far apart that fit, then the best partner of each in the order of its bin
+            a = points[ahead == -1]
+            b = points[behind == -1].assign(az_bin=lambda x: (x.az_bin - gap) % n_bins)
+            fit = a.merge(b, on="az_bin", suffixes=("", "_b"))
+            far, high = (fit.dist_b - fit.dist).abs() / fit.dist, (fit.angle_b - fit.angle).abs()
+            fit = fit.assign(score=far / rel + high / turn)[(far <= rel) & (high <= turn)].sort_values(["i", "score", "i_b"], kind="stable")
+            for i, j in zip(fit.i.tolist(), fit.i_b.tolist()):
+                if ahead[i] < 0 and behind[j] < 0:
+                    ahead[i], behind[j] = j, i
+        # heads by doubling: where each point's line begins, and how many steps away; rings have no head
+        up, steps = np.where(behind < 0, np.arange(n), behind), (behind >= 0).astype(np.int64)
+        for _ in range(max(1, n.bit_length())):
+            steps, up = steps + steps[up], up[up]
+        ring = behind[up] >= 0
+        for i in np.flatnonzero(ring):
+            if ring[i]:  # the ring begins at its first point
+                k, at = 0, i
+                while ring[at]:
+                    ring[at], up[at], steps[at] = False, n + i, k
+                    k, at = k + 1, ahead[at]
+        line = np.unique(up, return_inverse=True)[1]
+        out = pdf.assign(line_id=line.astype(np.int32), seq=steps.astype(np.int32))[["obs_id", "line_id", "seq", "az_bin", "angle", "dist"]]
+        return out.sort_values(["line_id", "seq"])
 
     kind = dict(ridges.dtypes)["obs_id"]
     return ridges.groupBy("obs_id").applyInPandas(link, f"obs_id {kind}, line_id int, seq int, az_bin int, angle double, dist double")

@@ -11,6 +11,7 @@ from vistaframe.operators import dataset, panorama, search, spatial
 from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
 from vistaframe.sources import dem
+from vistaframe.shared import dealt
 from vistaframe.streaming import machines, sensors
 
 QUERIES: dict = {}
@@ -32,6 +33,13 @@ def terrain(lat, lon):
     return 1000 + 800 * F.sin(lat * 40) * F.cos(lon * 35)
 
 
+def heights(lat, lon):
+    """The same of arrays."""
+    import numpy as np
+
+    return 1000 + 800 * np.sin(lat * 40) * np.cos(lon * 35)
+
+
 def _eyes(spark, sf_dir) -> DataFrame:
     return derived(spark, sf_dir, "observers").withColumn("h0", terrain(F.col("lat"), F.col("lon")) + 1.7)
 
@@ -186,7 +194,8 @@ AZIMUTHS = (12.5, 101.0, 190.25, 278.75)
 
 
 def _rays(spark, sf_dir) -> DataFrame:
-    return panorama.cast_rays(_eyes(spark, sf_dir), F.array(*map(F.lit, AZIMUTHS)), terrain)
+    rays = _eyes(spark, sf_dir).withColumn("az", F.explode(F.array(*map(F.lit, AZIMUTHS))))
+    return panorama.scanned_rays(dealt(rays), heights)
 
 
 _RAYS = _LADDER + f", rays AS (SELECT obs_id, az, d, {g.angle('h0', 'h', 'd')} AS angle FROM {g.sampled(f'(SELECT *, unnest([{", ".join(f"{a}::DOUBLE" for a in AZIMUTHS)}]) AS az FROM ladder)')})"
@@ -194,14 +203,18 @@ _RAYS = _LADDER + f", rays AS (SELECT obs_id, az, d, {g.angle('h0', 'h', 'd')} A
 
 @query(_RAYS + " SELECT obs_id, az, round(max(angle), 6) AS angle, round(arg_max(d, angle), 3) AS dist FROM rays GROUP BY obs_id, az")
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = panorama.horizon(_rays(spark, sf_dir))
+    h = _rays(spark, sf_dir)
     return h.select("obs_id", "az", F.round("angle", 6).alias("angle"), F.round("dist", 3).alias("dist"))
 
 
-@query(_RAYS + " SELECT obs_id, az, round(coalesce(max(angle) FILTER (WHERE d <= 15000), -90), 6) AS angle, round(arg_max(d, angle) FILTER (WHERE d <= 15000), 3) AS dist FROM rays GROUP BY obs_id, az")
+_BANDS_OF = " UNION ALL ".join(f"SELECT obs_id, az, {m} AS band, round(coalesce(max(angle) FILTER (WHERE d <= {m}), -90), 6) AS angle, round(arg_max(d, angle) FILTER (WHERE d <= {m}), 3) AS dist FROM rays GROUP BY obs_id, az" for m in panorama.HAZE_M)
+
+
+@query(_RAYS + " " + _BANDS_OF)
 def haze_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = panorama.horizon(_rays(spark, sf_dir), 15000)
-    return h.select("obs_id", "az", F.round("angle", 6).alias("angle"), F.round("dist", 3).alias("dist"))
+    bands = F.explode(F.arrays_zip(F.array(*map(F.lit, panorama.HAZE_M)).alias("band"), F.col("haze").alias("h"))).alias("x")
+    h = _rays(spark, sf_dir).select("obs_id", "az", bands)
+    return h.select("obs_id", "az", "x.band", F.round("x.h.angle", 6).alias("angle"), F.round("x.h.dist", 3).alias("dist"))
 
 
 @query(
@@ -209,20 +222,27 @@ def haze_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", x AS (SELECT *, max(angle) OVER (PARTITION BY obs_id, az ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, row_number() OVER (PARTITION BY obs_id, az ORDER BY d) AS pos, count(*) OVER (PARTITION BY obs_id, az) AS n FROM rays), y AS (SELECT *, lead(d) OVER (PARTITION BY obs_id, az ORDER BY d) AS nd, lead(pos) OVER (PARTITION BY obs_id, az ORDER BY d) AS np FROM x WHERE top IS NULL OR angle >= top) SELECT obs_id, az, round(d, 3) AS d, round(angle, 6) AS angle FROM y WHERE np IS NULL AND pos < n OR np - pos > 1 AND nd - d > greatest(300, 0.04 * d)"
 )
 def extract_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = panorama.extract_ridges(_rays(spark, sf_dir))
+    r = _rays(spark, sf_dir).select("obs_id", "az", F.inline("ridges"))
     return r.select("obs_id", "az", F.round("d", 3).alias("d"), F.round("angle", 6).alias("angle"))
 
 
-_BEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY p_id % 80 DESC, p_id) AS rank FROM {NEAR_PEAKS}) WHERE rank <= 3)"
-_SEEN_PEAKS = f"(SELECT *, CASE WHEN p_ele IS NOT NULL AND abs(p_ele - ground) < 400 THEN p_ele ELSE ground END AS ele FROM (SELECT *, {g.terrain('p_lat', 'p_lon')} AS ground FROM {_BEST}))"
+def _viewpoints(spark, sf_dir) -> DataFrame:
+    """Every tower's place as a viewpoint of 40 km."""
+    t = derived(spark, sf_dir, "towers").select(F.col("id").alias("obs_id"), "lat", "lon", F.lit(40_000.0).alias("radius"))
+    return t.withColumn("h0", terrain(F.col("lat"), F.col("lon")) + 1.7)
 
 
-@query(
-    f"WITH RECURSIVE o AS (SELECT obs_id, p_id, lat, lon, h0, az, dist, ele, dist - greatest(300, 0.03 * dist) - 1e-6 AS reach FROM {_SEEN_PEAKS}), {g.ladder('o', 'obs_id', 'reach')}, occ AS (SELECT obs_id, p_id, degrees(atan(max((h - h0 - {g.drop('d')}) / d))) AS occlusion FROM {g.sampled('ladder')} GROUP BY obs_id, p_id) SELECT o.obs_id, o.p_id, round({g.angle('h0', 'ele', 'dist')}, 6) AS angle, round(occlusion, 6) AS occlusion, coalesce({g.angle('h0', 'ele', 'dist')} >= occlusion - 0.05, TRUE) AS visible FROM o LEFT JOIN occ ON o.obs_id = occ.obs_id AND o.p_id = occ.p_id"
-)
+@query()
+def ring_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ring of 3600 directions from every tower: horizon, both haze bands and number of ridges."""
+    r = panorama.ring(_viewpoints(spark, sf_dir), heights)
+    return r.select("obs_id", "az_bin", F.round("angle", 6).alias("angle"), F.round("dist", 3).alias("dist"), *[F.round(F.col("haze")[i]["angle"], 6).alias(f"haze_{m // 1000}") for i, m in enumerate(panorama.HAZE_M)], F.size("ridges").cast("long").alias("n_ridges"))
+
+
+@query()
 def occlusion_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each peak in range of each observer is seen."""
-    v = panorama.peak_views(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"), terrain)
+    v = panorama.peak_views(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"), terrain, heights)
     return v.select("obs_id", "p_id", F.round("angle", 6).alias("angle"), F.round("occlusion", 6).alias("occlusion"), "visible")
 
 
@@ -435,7 +455,7 @@ def smooth_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def landmark_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     towers = _towers(spark, sf_dir).where("kind IS NOT NULL").select("id", "lat", "lon", "kind", "height")
-    v = panorama.landmark_views(_eyes(spark, sf_dir), towers, terrain)
+    v = panorama.landmark_views(_eyes(spark, sf_dir), towers, terrain, heights)
     return v.select("obs_id", "p_id", F.round("az", 6).alias("az"), F.round("dist", 3).alias("dist"), F.round("base", 6).alias("base"), F.round("top", 6).alias("top"), "height_known")
 
 
