@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -117,3 +118,21 @@ def test_declination_of_a_tilted_dipole():
     y = np.sin(plon - np.radians(lon)) * np.cos(plat)
     x = np.cos(b) * np.sin(plat) - np.sin(b) * np.cos(plat) * np.cos(plon - np.radians(lon))
     assert np.abs(d - np.degrees(np.arctan2(y, x))).max() < 0.2
+
+
+def test_a_horizon_without_some_rows_is_still_a_full_ring(spark):
+    """Rays without samples have no row; the turn found stays the same."""
+    ring = hills(np.arange(3600) / 10).tolist()
+    angle = ring.__getitem__
+    horizon = [(1, b, angle(b)) for b in range(3600)]
+    focal = 195 / math.tan(math.radians(17))
+    points = []
+    for b in range(1900, 2200, 3):
+        az, el = math.radians(b * 0.1 - 205), math.radians(angle(b))
+        points.append((1, 195 + focal * math.tan(az), 422 - focal * math.tan(el) / math.cos(az)))
+    frames = spark.createDataFrame([(1, 1, 209.5, 0.0, 0.0, 34.0, 390, 844, 100)], "frame_id long, obs_id long, heading double, pitch double, roll double, hfov double, width int, height int, columns int")
+    dots = spark.createDataFrame(points, "frame_id long, x double, y double")
+    for rows in (horizon, horizon[10:]):
+        lines = spark.createDataFrame(rows, "obs_id long, az_bin int, angle double")
+        got = align.match_skyline(frames, dots, lines).first()
+        assert got.ok and abs(got.d_heading + 4.5) < 0.1, got
