@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from vistaframe.functions.magnetic import field, read_coefficients
-from vistaframe.operators import align
+from vistaframe.operators import align, skyfit
 from vistaframe.streaming import machines
 
 
@@ -20,9 +20,8 @@ def seen(horizon, heading, pitch, roll, hfov, width=390, height=844, n=160):
     xs, ys = np.linspace(1, width - 1, n), []
     rows = np.linspace(0, height, 6001)
     for x in xs:
-        s = align.Skyline(np.full(len(rows), x), rows, horizon, heading, pitch, roll, hfov, width, height)
-        az, el = s.directions(0, 1)
-        ys.append(rows[np.abs(el - s.at(heading + az)).argmin()])
+        az, el = skyfit.rays(np.full(len(rows), x), rows, pitch, roll, hfov, width, height)
+        ys.append(rows[np.abs(el - skyfit.on_ring(horizon, heading + az)).argmin()])
     return xs, np.array(ys)
 
 

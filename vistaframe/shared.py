@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a short list (8 to 24 bytes each) that may be broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -38,3 +41,27 @@ def dealt(rows: DataFrame) -> DataFrame:
     work. The rows themselves are small."""
     spark = rows.sparkSession
     return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def by_row(df: DataFrame, takes: list[str], gives: str, f: Callable[[dict], dict]) -> DataFrame:
+    """df with the columns `takes` replaced by `gives` (DDL), which f makes of each row's values.
+
+    The other columns pass through as Arrow data, so that ids stay exact beside nulls."""
+    kept = [x for x in df.schema.fields if x.name not in takes]
+    new = StructType.fromDDL(gives).fields
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for b in batches:
+            given = [f({t: _plain(b.column(t)[i]) for t in takes}) for i in range(b.num_rows)]
+            cols = [b.column(x.name) for x in kept] + [pa.array([g[x.name] for g in given], to_arrow_type(x.dataType)) for x in new]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.name for x in [*kept, *new]])
+
+    return df.mapInArrow(run, StructType([*kept, *new]))
+
+
+def _plain(value: pa.Scalar):
+    if isinstance(value, (pa.ListScalar, pa.LargeListScalar)) and value.is_valid and not pa.types.is_nested(value.type.value_type):
+        return value.values.to_numpy(zero_copy_only=False)
+    return value.as_py()
