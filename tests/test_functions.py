@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vistaframe.functions import geo, sky, text
 from vistaframe.operators import panorama, search
-from vistaframe.streaming import sensors
+from vistaframe.streaming import fusion, sensors
 
 A, B = (47.0566, 8.4851), (46.979, 8.2552)
 
@@ -165,28 +165,74 @@ def test_ground_of_a_cone(spark):
     assert abs(panorama.observer_ground(o, lambda a, b: 1000 + (a - 46) * 50_000).first().ground - 1000) < 1e-6
 
 
-def test_filters():
+def test_smoothing_holds_a_noisy_heading():
     import random
 
-    r, s, out = random.Random(1), sensors.Smoother(), []
+    r, state, out, machine = random.Random(1), None, [], fusion.smoothing()
     for i in range(900):
-        h, _, _ = s.update((90 + r.uniform(-2, 2)) % 360, 0, 0, i * 1000 / 60)
-        out.append(h)
+        state, e = machine(state, {"t_ms": i * 1000 / 60, "heading": (90 + r.uniform(-2, 2)) % 360, "pitch": 0.0, "roll": 0.0})
+        out.append(e["s_heading"])
     assert max(abs(x - 90) for x in out[600:]) < 0.3
-    f = sensors.HeadingFusion()
-    assert f.gyroscope(10, 0) is None
-    f.compass(50, 10)
-    assert f.gyroscope(10, 20) == pytest.approx(50)
+
+
+def test_fused_headings_equal_a_plain_loop(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+    rows = [(d, t, r.choice(["compass", "gyro", "gyro"]), r.uniform(0, 360)) for d in range(4) for t in sorted(r.sample(range(9000), 80))]
+    got = {(x.device_id, x.t_ms): x.fused for x in fusion.heading_fusion(spark.createDataFrame(rows, "device_id long, t_ms long, kind string, heading double")).collect()}
+    for d in range(4):
+        offset, gyro, when = None, None, 0
+        for _, t, kind, h in (x for x in rows if x[0] == d):
+            if kind == "gyro":
+                gyro = (h, t)
+                want = None if offset is None else (h + offset) % 360
+                assert (got[d, t] is None) == (want is None) and (want is None or abs((got[d, t] - want + 180) % 360 - 180) < 1e-9)
+            elif gyro and t - gyro[1] <= 200:
+                seen = (h - gyro[0] + 180) % 360 - 180
+                step = 0 if offset is None else ((seen - offset + 180) % 360 - 180) * (1 - math.exp(-min(1, (t - when) / 1000) / 4))
+                offset, when = (seen if offset is None else offset + step), t
+    assert any(v is not None for v in got.values())
+
+
+def test_orientation_routes(spark):
+    e = [
+        (0, "relative", 10.0, None), (100, "absolute", 50.0, None), (150, "relative", 12.0, None), (200, "absolute", 52.0, None),
+        (220, "relative", 12.0, None), (300, "absolute", 52.0, None), (900, "absolute", 60.0, None), (5000, "relative", 20.0, None), (5100, "relative", 20.0, 90.0), (5200, "relative", None, None),
+    ]
+    rows = [(1, t, k, 0.0, h, 1.0, 2.0, c, 5.0, False) for t, k, h, c in e]
+    df = spark.createDataFrame(rows, "device_id long, t_ms long, kind string, alpha double, heading double, pitch double, roll double, compass_heading double, accuracy double, held boolean")
+    got = sorted((r.t_ms, r.route, r.out_heading) for r in fusion.orientation_route(df).collect())
+    assert [g[1] for g in got] == ["relative", "absolute", None, None, "fused", None, "absolute", "relative", "compass", None]
+    assert got[4][2] == pytest.approx(52.0) and got[8][2] == pytest.approx(110.0)
+
+
+def test_posture_takes_what_was_learned(spark):
+    e = [(0, "p|level", False), (1, "l|level", False), (2, "l|level", False), (3, "p|level", True), (4, "l|level", False), (30_100, "p|level", False), (30_200, "l|up", False)]
+    events = spark.createDataFrame([(1, *x) for x in e], "device_id long, t_ms long, posture string, matched boolean")
+    learned = spark.createDataFrame([(1, "l|level", 20.0, -30.0), (1, "p|level", 5.0, None)], "device_id long, posture string, heading double, pitch double")
+    got = [(r.set_heading, r.set_pitch) for r in fusion.apply_posture(events, learned).orderBy("t_ms").collect()]
+    assert got == [(5.0, None), (None, -20.0), (None, None), (None, None), (None, None), (5.0, None), (None, None)]
+
+
+def test_replay_keeps_long_values_beside_nulls(spark):
+    from vistaframe.streaming import machines
+
+    big = [2**53 + 1, None, 2**53 + 3]
+    df = spark.createDataFrame([(k, t, b, 30.0) for k in (2**53 + 1, 2**53 + 3) for t, b in enumerate(big)], "k long, t_ms long, n long, pitch double")
+    got = sorted((r.k, r.t_ms, r.n, r.band) for r in machines.replay(df, "k", machines.pitch_band).collect())
+    assert got == [(k, t, b, "up") for k in (2**53 + 1, 2**53 + 3) for t, b in enumerate(big)]
 
 
 def test_stream_equals_table(spark, tmp_path):
     rows = [(d, t * 17, float((d * 40 + t * 3) % 360), float(t % 9), float(t % 4)) for d in range(3) for t in range(60)]
-    df = spark.createDataFrame(rows, sensors.SMOOTH_SCHEMA)
-    want = {(x.device_id, x.t_ms): (x.heading, x.pitch, x.roll) for x in sensors.smooth_angles(df).collect()}
+    df = spark.createDataFrame(rows, "device_id long, t_ms long, heading double, pitch double, roll double")
+    want = {(x.device_id, x.t_ms): (x.heading, x.pitch, x.roll) for x in fusion.smooth_angles(df).collect()}
     for k in range(3):
         df.where(f"t_ms >= {k * 340} AND t_ms < {(k + 1) * 340}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = sensors.smooth_angles_stream(stream).writeStream.format("memory").queryName("smoothed").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q = fusion.smooth_angles(stream, streaming=True).writeStream.format("memory").queryName("smoothed").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
     got = {(x.device_id, x.t_ms): (x.heading, x.pitch, x.roll) for x in spark.table("smoothed").collect()}

@@ -12,7 +12,7 @@ from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
 from vistaframe.sources import dem
 from vistaframe.shared import dealt
-from vistaframe.streaming import machines, sensors
+from vistaframe.streaming import fusion, machines, sensors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -444,12 +444,12 @@ def haze_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = derived(spark, sf_dir, "orient")
     kind = F.when(F.col("event_id") % 3 == 0, "compass").otherwise("gyro")
-    return sensors.heading_fusion(o.select("device_id", F.col("t_ms").cast("long").alias("t_ms"), kind.alias("kind"), F.col("alpha").alias("heading")))
+    return fusion.heading_fusion(o.select("device_id", F.col("t_ms").cast("long").alias("t_ms"), kind.alias("kind"), F.col("alpha").alias("heading")))
 
 
 @query()
 def smooth_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensors.smooth_angles(_angles(spark, sf_dir).select("device_id", F.col("t_ms").cast("long").alias("t_ms"), "heading", "pitch", "roll"))
+    return fusion.smooth_angles(_angles(spark, sf_dir).select("device_id", F.col("t_ms").cast("long").alias("t_ms"), "heading", "pitch", "roll"))
 
 
 @query()

@@ -7,12 +7,14 @@ event is a dict of the row. Events of a key are taken in the order of t_ms.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from vistaframe.streaming.sensors import _delta
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StructType
 
 Machine = Callable[[dict | None, dict], tuple[dict | None, dict]]
 
@@ -27,6 +29,11 @@ UNVERIFIED_MS = 60_000
 TILT_MS, TILT_KEPT = 180_000, 40
 
 
+def turn(a: float, b: float) -> float:
+    """Degrees from b to a, the shorter way."""
+    return 180 - (180 - a + b) % 360
+
+
 def pitch_band(state, e):
     """band of a pitch: down, level or up; the last one holds within 3 degrees of a border."""
     p, was = e["pitch"], (state or {}).get("band")
@@ -55,21 +62,19 @@ def confirm_heading(state, e):
     if abs(e["d_heading"]) < SURE_DEG:
         return state, {"confirmed": True}
     t, target = e["t_ms"], e["offset"] + e["d_heading"]
-    ok = state is not None and t - state["t"] < CONFIRM_MS and abs(_delta(target, state["target"])) < AGREE_DEG
+    ok = state is not None and t - state["t"] < CONFIRM_MS and abs(turn(target, state["target"])) < AGREE_DEG
     return {"target": target, "t": t}, {"confirmed": ok}
 
 
 def apply_correction(state, e):
     """offsets after half of each correction: heading round the ring, pitch within 20 degrees."""
     s = state or {"heading": 0.0, "pitch": 0.0}
-    h = _delta(s["heading"] + SHARE * e["d_heading"], 0)
+    h = turn(s["heading"] + SHARE * e["d_heading"], 0)
     p = max(-PITCH_MOST, min(PITCH_MOST, s["pitch"] + SHARE * e["d_pitch"]))
     return {"heading": h, "pitch": p}, {"offset_heading": h, "offset_pitch": p}
 
 
 def _metres(a: dict, b: dict) -> float:
-    import math
-
     p, q = math.radians(a["lat"]), math.radians(b["lat"])
     x = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
     return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(x)))
@@ -78,7 +83,7 @@ def _metres(a: dict, b: dict) -> float:
 def training_sampler(state, e):
     """kept: 20 s after the last one kept, if moved over 200 m, turned over 8 degrees or 2 minutes have passed."""
     keep = state is None or e["t_ms"] - state["t_ms"] >= SAMPLE_MS and (
-        _metres(state, e) > SAMPLE_M or abs(_delta(e["heading"], state["heading"])) > SAMPLE_DEG or e["t_ms"] - state["t_ms"] > SAMPLE_MOST_MS
+        _metres(state, e) > SAMPLE_M or abs(turn(e["heading"], state["heading"])) > SAMPLE_DEG or e["t_ms"] - state["t_ms"] > SAMPLE_MOST_MS
     )
     return ({k: e[k] for k in ("t_ms", "lat", "lon", "heading")} if keep else state), {"kept": keep}
 
@@ -102,8 +107,6 @@ def unverified_heading(state, e):
 def tilt_calibration(state, e):
     """fov (mean of up to ten calibrations) and tilt of a line through the last samples with the same fov; both
     null where there is none. tan(fov / 2) grows with the line's slope."""
-    import math
-
     s = state or {"samples": [], "fov": e["fov"], "n": 0}
     samples = [x for x in s["samples"] if e["t_ms"] - x[0] < TILT_MS and x[3] == s["fov"]][-TILT_KEPT:]
     samples.append([e["t_ms"], e["axis"], e["pitch"], s["fov"]])
@@ -135,37 +138,60 @@ OUTPUTS = {
 }
 
 
-def _schema(events: DataFrame, machine: Machine) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", " + OUTPUTS[machine]
+def replay(events: DataFrame, key: str, machine: Machine, gives: str | None = None) -> DataFrame:
+    """events (key, t_ms and what the machine reads) with the machine's outputs (`gives`, DDL).
 
+    Rows of equal time are taken in the order of their other columns. Partitions are sorted by Spark, which spills,
+    and read batch by batch: a task holds a batch and the machine's state, however many rows a key has."""
+    new = StructType.fromDDL(gives or OUTPUTS[machine]).fields
+    order = [f.name for f in events.schema.fields if f.name not in (key, "t_ms") and not isinstance(f.dataType, MapType)]
 
-def _run(pdf: pd.DataFrame, machine: Machine, state):
-    pdf = pdf.sort_values("t_ms", kind="stable")
-    out = []
-    for e in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-        state, given = machine(state, e)
-        out.append(given)
-    added = pd.DataFrame(out, index=pdf.index)
-    return pd.concat([pdf, added], axis=1), state
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        first, at, state = True, None, None
+        for b in batches:
+            out = []
+            for e in b.to_pylist():
+                if first or e[key] != at:
+                    first, at, state = False, e[key], None
+                state, given = machine(state, e)
+                out.append(given)
+            added = [pa.array([g[f.name] for g in out], to_arrow_type(f.dataType)) for f in new]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *(f.name for f in new)])
 
-def replay(events: DataFrame, key: str, machine: Machine) -> DataFrame:
-    """events (key, t_ms and what the machine reads) with the machine's outputs; a task holds one key's rows."""
-    return events.groupBy(key).applyInPandas(lambda pdf: _run(pdf, machine, None)[0], _schema(events, machine))
+    return events.repartition(key).sortWithinPartitions(key, "t_ms", *order).mapInArrow(run, StructType([*events.schema.fields, *new]))
 
 
-def stream(events: DataFrame, key: str, machine: Machine) -> DataFrame:
-    """The same on a stream; events not later than a key's last one are dropped."""
+def stream(events: DataFrame, key: str, machine: Machine, gives: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """The same on a stream; events not later than a key's last one are dropped. With ttl_ms, a key without events
+    for so long (by the clock) is forgotten and starts anew."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    new = StructType.fromDDL(gives or OUTPUTS[machine]).fields
+    # pandas would make doubles of long values beside nulls
+    longs = [f.name for f in events.schema.fields if isinstance(f.dataType, LongType) and f.name not in (key, "t_ms")]
+    x = events.withColumns({c: F.col(c).cast("string") for c in longs})
+    schema = StructType([*x.schema.fields, *new])
+
     def step(_, batches, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
         last, state = json.loads(held.get[0]) if held.exists else (None, None)
-        pdf = pd.concat(list(batches))
+        pdf = pd.concat(list(batches)).sort_values("t_ms", kind="stable")
         if last is not None:
             pdf = pdf[pdf.t_ms > last]
         if len(pdf):
-            out, state = _run(pdf, machine, state)
-            held.update((json.dumps([int(out.t_ms.max()), state]),))
-            yield out
-
-    return events.groupBy(key).applyInPandasWithState(step, _schema(events, machine), "held string", "append", GroupStateTimeout.NoTimeout)
+            out = []
+            for e in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                state, given = machine(state, {**e, **{c: None if e[c] is None else int(e[c]) for c in longs}})
+                out.append(given)
+            held.update((json.dumps([int(pdf.t_ms.max()), state]),))
+            yield pd.concat([pdf, pd.DataFrame(out, index=pdf.index, columns=[f.name for f in new])], axis=1)
+        if ttl_ms and held.exists:
+            held.setTimeoutDuration(ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    got = x.groupBy(key).applyInPandasWithState(step, schema, "held string", "append", timeout)
+    return got.withColumns({c: F.col(c).cast("long") for c in longs})
