@@ -127,3 +127,29 @@ def test_merge_equals_the_whole_loop(spark):
                     keep["qid"] = keep["qid"] or drop["qid"]
                     gone.add(drop["id"])
     assert gone and got == {v["id"]: (v["ele"], v["qid"], v["names"]) for v in recs if v["id"] not in gone}
+
+
+def test_tiles_are_written_and_only_changes_rewritten(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    t = spark.createDataFrame([(46.1234567, 8.5, 45, "t", 'A "q"'), (46.2, 8.1, None, "c", None), (-0.5, 7.9999999, 20, "t", "B")], "lat double, lon double, height int, kind string, name string")
+    rows = dataset.landmark_tile_rows(t)
+    dataset.write_tiles(rows, str(tmp_path / "lm"))
+    assert sorted(p.name for p in (tmp_path / "lm").glob("tile=*")) == ["tile=-1_8", "tile=46_8"]
+    back = sorted((r.lat, r.lon, r.height, r.kind, r.name) for r in readers.read_landmark_tiles(spark, str(tmp_path / "lm" / "*")).collect())
+    assert back == [(-0.5, 8.0, 20, "t", "B"), (46.12346, 8.5, 45, "t", 'A "q"'), (46.2, 8.1, None, "c", "")]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "lm").rglob("part-*")}
+    old = spark.createDataFrame(rows.collect(), rows.schema)
+    new = old.where("tile = '46_8'").union(spark.createDataFrame([("1_1", "[]")], old.schema)).union(old.where("tile != '46_8'").withColumn("rows", F.lit("[]")))
+    dataset.write_tiles(new, str(tmp_path / "lm"), old)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "lm").rglob("part-*")}
+    kept = {p for p in before if after.get(p) == before[p]}
+    assert {p.parent.name for p in kept} == {"tile=46_8"} and {p.parent.name for p in after} == {"tile=46_8", "tile=-1_8", "tile=1_1"}
+
+
+def test_progress_of_tiles(spark):
+    from vistaframe.operators import panorama
+
+    needed = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "obs_id long, tile string")
+    got = spark.createDataFrame([("a", True), ("b", False)], "tile string, ok boolean")
+    assert sorted(map(tuple, panorama.tile_progress(needed, got).collect())) == [(1, 3, 2, 1), (2, 1, 1, 0)]

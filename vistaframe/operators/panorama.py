@@ -214,6 +214,17 @@ def views_of(near: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
     return seen.withColumn("visible", F.coalesce(F.col("angle") >= F.col("occlusion") - 0.05, F.lit(True)))
 
 
+def visible_count(views: DataFrame) -> DataFrame:
+    """(obs_id, peaks, visible) of views (obs_id, visible): peaks in range and those of them that can be seen."""
+    return views.groupBy("obs_id").agg(F.count("*").alias("peaks"), F.count_if("visible").alias("visible"))
+
+
+def tile_progress(needed: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(obs_id, total, done, failed) of the tiles each observer needs (obs_id, tile) and those fetched (tile, ok)."""
+    x = needed.distinct().join(fetched.groupBy("tile").agg(F.bool_or("ok").alias("ok")), "tile", "left")
+    return x.groupBy("obs_id").agg(F.count("*").alias("total"), F.count("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 def landmark_views(observers: DataFrame, towers: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
     """Towers (id, lat, lon, kind, height) whose top stands 0.1 degrees above the skyline up to 35 km and above
     the terrain before them: az, dist, base, top, height_known."""

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from vistaframe.functions import geo, sky, text
 from vistaframe.functions.steps import nested
-from vistaframe.operators import dataset, panorama, search, spatial
+from vistaframe.operators import align, dataset, evidence, panorama, search, spatial
 from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
 from vistaframe.sources import dem
-from vistaframe.shared import dealt
+from vistaframe.shared import dealt, written
 from vistaframe.streaming import fusion, machines, sensors
 
 QUERIES: dict = {}
@@ -551,24 +551,36 @@ for _m in machines.OUTPUTS:
     _machine(_m.__name__)
 
 
+_CAMERA = ["0D AS roll", "34D AS hfov", "390 AS width", "844 AS height"]
+
+
+def _skyline(frames: DataFrame, horizon: DataFrame, turn: float, tilt: float) -> DataFrame:
+    """Points (frame_id, x, y) of the horizon as cameras see it that stand `turn` and `tilt` off the sensors of frames."""
+    true = frames.withColumns({"heading": F.col("heading") + turn, "pitch": F.col("pitch") + tilt})
+    bins = horizon.where("angle IS NOT NULL AND az_bin % 2 = 0").select("obs_id", (F.col("az_bin") * 0.1).alias("az"), "angle")
+    p = dealt(true).join(bins, "obs_id").where(F.abs(geo.delta_deg("az", "heading")) < 16)
+    p = p.withColumn("p", geo.project("az", "angle", "heading", "pitch", "roll", "hfov", "width", "height"))
+    return p.select("frame_id", "p.x", "p.y").where("x BETWEEN 0 AND 390 AND y BETWEEN 0 AND 844")
+
+
+def _ranges(spark, sf_dir) -> DataFrame:
+    """Horizons of suppliers that look alike nowhere on the ring."""
+    h = _horizon(spark, sf_dir).where("angle IS NOT NULL")
+    az = "radians(az_bin * 0.1 + obs_id * 37)"
+    return h.withColumn("angle", F.expr(f"2.5 + 1.2 * sin(3.6 * {az}) + 0.8 * sin(14.1 * {az} + 1) + 0.5 * sin(23.3 * {az} + 2)"))
+
+
 @query()
 def match_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of suppliers' horizons whose skyline points are the horizon's own, seen by a sensor that is off."""
-    from vistaframe.operators import align
-
-    frames = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS frame_id", "s_suppkey AS obs_id", "s_suppkey * 37 % 360 + 4.5D AS heading", "1D AS pitch", "0D AS roll", "34D AS hfov", "390 AS width", "844 AS height", "160 AS columns")
-    true = frames.withColumns({"heading": F.col("heading") - 4.5, "pitch": F.lit(1.8)})
-    bins = _horizon(spark, sf_dir).where("angle IS NOT NULL AND az_bin % 2 = 0").select("obs_id", (F.col("az_bin") * 0.1).alias("az"), "angle")
-    p = true.join(bins, "obs_id").where(F.abs(geo.delta_deg("az", "heading")) < 16)
-    p = p.withColumn("p", geo.project("az", "angle", "heading", "pitch", "roll", "hfov", "width", "height")).select("frame_id", "p.x", "p.y").where("x BETWEEN 0 AND 390 AND y BETWEEN 0 AND 844")
-    return align.match_skyline(frames, p, _horizon(spark, sf_dir))
+    frames = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS frame_id", "s_suppkey AS obs_id", "s_suppkey * 37 % 360 + 4.5D AS heading", "1D AS pitch", *_CAMERA, "160 AS columns")
+    h = _ranges(spark, sf_dir)
+    return align.match_skyline(frames, _skyline(frames, h, -4.5, 0.8), h)
 
 
 @query()
 def match_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as frames, orders as the stars seen; every third star is a blob, off by the same shift."""
-    from vistaframe.operators import align
-
     stars = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS frame_id", "o_orderkey AS star", "o_orderkey * 7919 % 6000 / 100D + 150 AS az", "o_orderkey * 104729 % 5500 / 100D + 5 AS alt")
     blobs = stars.where("star % 3 > 0").selectExpr("frame_id", "az + 4D AS az", "alt - 1.5D AS el", "star % 17 + 0D AS contrast")
     return align.match_stars(blobs, stars)
@@ -577,8 +589,6 @@ def match_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def thin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the peaks in range of every observer, on a strip of four pixels a degree."""
-    from vistaframe.operators import align
-
     near = spatial.in_range(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"))
     score = spatial.label_score(F.col("p_id") % 80, F.lit(0.0), F.coalesce("p_ele", F.lit(0.0)))
     labels = near.select("obs_id", F.col("p_id").alias("id"), (F.col("az") * 4).alias("x"), F.lit(False).alias("selected"), (F.col("p_id") % 3 > 0).alias("visible"), score.alias("score"))
@@ -630,3 +640,98 @@ def above_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     sun = sky.sun_position(derived(spark, sf_dir, "times")).withColumn("obs_id", F.col("id") % n + 1)
     return night.above_terrain(sun, _horizon(spark, sf_dir)).select("id", F.round("az", 6).alias("az"), F.round("alt", 6).alias("alt"))
+
+
+@query()
+def match_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' frames, 0.8 degrees low, over their horizons drawn flat to a fifth."""
+    frames = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS frame_id", "s_suppkey AS obs_id", "s_suppkey * 37 % 360 + 0D AS heading", "1D AS pitch", *_CAMERA, "160 AS columns")
+    low = _horizon(spark, sf_dir).withColumn("angle", F.col("angle") / 5)
+    return evidence.match_pitch(frames, _skyline(frames, low, 0, 0.8), low)
+
+
+@query()
+def match_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' horizons as profiles turned by 6 degrees and 0.4 low, against the horizons."""
+    h = _horizon(spark, sf_dir)
+    seen = h.where("az_bin % 5 = 0 AND az_bin BETWEEN 900 AND 1900 AND angle IS NOT NULL").select(F.col("obs_id").alias("device_id"), "obs_id", (F.col("az_bin") * 0.1 - 6).alias("az"), (F.col("angle") - 0.4).alias("el"))
+    return evidence.match_profile(seen, h)
+
+
+@query()
+def search_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 160 columns in a frame of every customer over suppliers' horizons."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    frames = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS frame_id", f"c_custkey % {n} + 1 AS obs_id", "c_custkey * 7 % 360 + 0D AS heading", "2D AS pitch", *_CAMERA)
+    return evidence.search_windows(dealt(frames), _horizon(spark, sf_dir))
+
+
+_SPIKES = doubles("SELECT o_custkey AS frame_id, o_orderkey AS spike, (o_custkey * 7 + o_orderkey * 7919 % 2800 / 100.0) % 360 + 1 AS az, o_orderkey % 37 / 10.0 AS top FROM {orders}")
+_TOWERS = doubles("SELECT p_partkey % (SELECT count(*) FROM {supplier}) + 1 AS obs_id, p_partkey AS name, p_partkey * 7919 % 36000 / 100.0 + 0.003 AS az, 0.5 AS base, p_partkey % 31 / 10.0 AS top, 2000.0 + p_partkey % 20000 AS dist, p_partkey % 3 = 0 AS height_known FROM {part}")
+_SNAPS = doubles("SELECT c_custkey AS frame_id, c_custkey % (SELECT count(*) FROM {supplier}) + 1 AS obs_id, c_custkey * 7 % 360 + 14.0 AS heading, 34.0 AS hfov FROM {customer}")
+
+
+def _tower_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    frames = spark.sql(_SNAPS, customer=read("customer"), supplier=read("supplier"))
+    spikes, towers = spark.sql(_SPIKES, orders=read("orders")), spark.sql(_TOWERS, part=read("part"), supplier=read("supplier"))
+    return frames, evidence.tower_groups(frames, spikes, towers)
+
+
+_PAIRS = f"(SELECT f.frame_id, f.obs_id, f.heading, f.hfov / 2 AS half, s.spike, t.name, {g.delta('t.az', 's.az')} AS turn FROM ({_SPIKES.replace('{orders}', 'orders')}) s JOIN ({_SNAPS.replace('{customer}', 'customer').replace('{supplier}', 'supplier')}) f ON s.frame_id = f.frame_id JOIN ({_TOWERS.replace('{part}', 'part').replace('{supplier}', 'supplier')}) t ON t.obs_id = f.obs_id WHERE abs({g.delta('t.az', 's.az')}) <= 21 AND CASE WHEN t.height_known THEN abs(s.top - t.top) <= 1.2::DOUBLE ELSE s.top >= t.base - 0.5::DOUBLE AND s.top <= t.base + degrees(atan(300 / t.dist)) + 1.2::DOUBLE END)"
+
+
+@query(
+    f"WITH p AS MATERIALIZED {_PAIRS}, gr AS (SELECT a.frame_id, any_value(a.obs_id) AS obs_id, any_value(a.heading) AS heading, any_value(a.half) AS half, a.turn AS pair, a.spike, a.name, avg(b.turn) AS turn, least(count(DISTINCT b.name), count(DISTINCT b.spike)) AS k FROM p a JOIN p b ON a.frame_id = b.frame_id AND abs(a.turn - b.turn) <= 0.25 GROUP BY a.frame_id, a.turn, a.spike, a.name), "
+    f"e AS (SELECT gr.frame_id, gr.pair, gr.spike, gr.name, any_value(gr.turn) AS turn, any_value(k) AS k, count_if(abs({g.delta('t.az - gr.turn', 'gr.heading')}) < half - 1) AS expected FROM gr JOIN ({_TOWERS.replace('{part}', 'part').replace('{supplier}', 'supplier')}) t ON t.obs_id = gr.obs_id GROUP BY gr.frame_id, gr.pair, gr.spike, gr.name), "
+    "s AS (SELECT frame_id, pair, turn, CASE WHEN 3 * k >= 2 * expected THEN k ELSE 0 END AS k FROM e), best AS (SELECT frame_id, arg_min(turn, (-k, pair)) AS turn, max(k) AS k, count(*) AS n FROM s GROUP BY frame_id) "
+    "SELECT best.frame_id, round(best.turn, 6) AS d_heading, CAST(best.k AS BIGINT) AS k, CAST((SELECT coalesce(max(s.k), 0) FROM s WHERE s.frame_id = best.frame_id AND abs(s.turn - best.turn) > 1) AS BIGINT) AS rival, n FROM best"
+)
+def tower_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' frames whose orders are spikes, against parts as towers."""
+    x = _tower_groups(spark, sf_dir)[1]
+    return x.select("frame_id", F.round("d_heading", 6).alias("d_heading"), F.col("k").cast("long").alias("k"), F.col("rival").cast("long").alias("rival"), "n")
+
+
+@query()
+def match_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames with the silhouettes at the turns of their best groups."""
+    frames, groups = _tower_groups(spark, sf_dir)
+    frames = frames.drop("hfov").selectExpr("*", "2D AS pitch", *_CAMERA)
+    h = _ranges(spark, sf_dir)
+    groups = written(groups)
+    fits = evidence.silhouettes(groups, frames, _skyline(frames, h, 3, 0), h)
+    return evidence.match_landmarks(groups, fits, frames.select("frame_id", F.lit(0.05).alias("best_cost")))
+
+
+@query()
+def orientation_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as absolute, relative and compass readings of their devices."""
+    a = _angles(spark, sf_dir)
+    x = a.selectExpr("device_id", "CAST(t_ms * 7 AS BIGINT) AS t_ms", "IF(event_id % 5 = 0, 'absolute', 'relative') AS kind", "alpha", "heading", "pitch", "roll", "IF(event_id % 11 = 1, event_id % 360 + 0D, NULL) AS compass_heading", "event_id % 13 - 2D AS accuracy", "event_id % 17 = 0 AS held")
+    return fusion.orientation_route(x).select("device_id", "t_ms", "route", *[F.round(c, 9).alias(c) for c in ("out_heading", "out_pitch", "out_roll")])
+
+
+_POSTURES = doubles("SELECT user_id AS device_id, event_id * 1000 AS t_ms, concat(CASE WHEN event_id % 7 < 4 THEN 'p' ELSE 'l' END, '|', CASE WHEN value < 20 THEN 'down' WHEN value < 80 THEN 'level' ELSE 'up' END) AS posture, event_id % 9 = 0 AS matched FROM {events}")
+_LEARNED = doubles("SELECT DISTINCT user_id AS device_id, concat(CASE WHEN user_id % 2 = 0 THEN 'p' ELSE 'l' END, '|level') AS posture, user_id % 37 - 18.0 AS heading, user_id % 53 - 26.0 AS pitch FROM {events}")
+
+
+@query(
+    f"WITH e AS ({_POSTURES.replace('{events}', 'events')}), w AS (SELECT *, posture IS DISTINCT FROM lag(posture) OVER d AND coalesce(t_ms - max(CASE WHEN matched THEN t_ms END) OVER d >= 30000, true) AS go FROM e WINDOW d AS (PARTITION BY device_id ORDER BY t_ms)) SELECT w.device_id, t_ms, CASE WHEN go AND abs(heading) <= 15 THEN heading END AS set_heading, CASE WHEN go AND pitch IS NOT NULL THEN greatest(-20, least(20, pitch)) END AS set_pitch FROM w LEFT JOIN ({_LEARNED.replace('{events}', 'events')}) l ON l.device_id = w.device_id AND l.posture = w.posture"
+)
+def apply_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return fusion.apply_posture(spark.sql(_POSTURES, events=e), spark.sql(_LEARNED, events=e)).select("device_id", "t_ms", "set_heading", "set_pitch")
+
+
+@query(f"SELECT concat(floor(round(lat, 5))::BIGINT, '_', floor(round(lon, 5))::BIGINT) AS tile, count(*) AS n, max(name) AS last_name FROM {oracle('towers')} GROUP BY 1")
+def landmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _towers(spark, sf_dir).withColumn("kind", F.coalesce("kind", F.lit("t")))
+    rows = F.from_json("rows", "array<array<string>>")
+    return dataset.landmark_tile_rows(t).select("tile", F.size(rows).cast("long").alias("n"), F.array_max(F.transform(rows, lambda r: r[4])).alias("last_name"))
+
+
+@query(f"SELECT obs_id, count(*) AS peaks, CAST(count_if(visible) AS BIGINT) AS visible FROM (SELECT obs_id, p_id % 3 > 0 AND p_ele IS NOT NULL AS visible FROM {NEAR_PEAKS}) GROUP BY obs_id")
+def visible_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = spatial.in_range(_eyes(spark, sf_dir), derived(spark, sf_dir, "peaks"))
+    return panorama.visible_count(near.select("obs_id", (F.col("p_id") % 3 > 0).alias("_v"), "p_ele").withColumn("visible", F.col("_v") & F.col("p_ele").isNotNull()))
