@@ -529,40 +529,65 @@ def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip(frames, _horizon(spark, sf_dir))
 
 
-def _machine_events(spark, sf_dir) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.selectExpr(
-        "user_id AS device_id", "event_id * 1000 AS t_ms", "value * 0.4 - 20 AS correction", "value * 0.9 - 45 AS pitch", "value * 0.1 - 5 AS d_heading", "value * 0.02 - 1 AS d_pitch", "0D AS offset",
-        "46D + event_id % 40 * 0.001D AS lat", "8D AS lon", "value * 3.6 AS heading", "event_id % 130 + 0D AS accuracy", "event_id % 9 = 0 AS matched", "event_id % 80 - 10D AS sun_alt", "60D AS fov", "event_id % 300 / 10D - 15 AS axis",
-    )
+_MACHINE = doubles(
+    "SELECT user_id AS device_id, event_id * 1000 AS t_ms, value * 0.4 - 20 AS correction, value * 0.9 - 45 AS pitch, value * 0.1 - 5 AS d_heading, value * 0.02 - 1 AS d_pitch, 0.0 AS offset_now, "
+    "46.0 + event_id % 40 * 0.001 AS lat, 8.0 AS lon, value * 3.6 AS heading, event_id % 130 + 0.0 AS accuracy, event_id % 9 = 0 AS matched, event_id % 80 - 10.0 AS sun_alt, 60.0 AS fov, event_id % 300 / 10.0 - 15 AS axis FROM {events}"
+)
+_STEPS = f"e AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t_ms) AS n FROM ({_MACHINE.replace('{events}', 'events')}))"
+
+
+def _folded(state: dict[str, tuple[str, str]], out: str) -> str:
+    """SQL that walks the events (e) of each device one by one with a state (r): its first and its next values."""
+    first, then = (", ".join(f"{v[i]} AS {k}" for k, v in state.items()) for i in (0, 1))
+    return f"WITH RECURSIVE {_STEPS}, r AS (SELECT device_id, t_ms AS now_ms, n, {first} FROM e WHERE n = 1 UNION ALL SELECT e.device_id, e.t_ms, e.n, {then} FROM r JOIN e ON e.device_id = r.device_id AND e.n = r.n + 1) SELECT device_id, now_ms AS t_ms, {out} FROM r"
+
+
+def _kept(wanted: str, usable: str = "true") -> dict[str, tuple[str, str]]:
+    """A state that holds time, place and heading of the last event kept."""
+    go = f"({usable}) AND (r.s_t IS NULL OR ({wanted}))"
+    cols = {"s_t": "t_ms", "s_lat": "lat", "s_lon": "lon", "s_heading": "heading"}
+    return {"go": (usable, go)} | {k: (f"CASE WHEN {usable} THEN {c} END", f"CASE WHEN {go} THEN e.{c} ELSE r.{k} END") for k, c in cols.items()}
+
+
+_BAND = "CASE WHEN e.pitch < -20 THEN 'down' WHEN e.pitch > 20 THEN 'up' ELSE 'level' END"
+_ENDED = "CASE WHEN e.t_ms <= r.until THEN r.until ELSE 0 END"
+_SIZE = "abs(e.correction)"
+_WAY = g.distance("r.s_lat", "r.s_lon", "e.lat", "e.lon")
+_MACHINE_SQL = {
+    "pitch_band": _folded({"band": (_BAND, f"CASE WHEN r.band != {_BAND} AND abs(abs(e.pitch) - 20) < 3 AND (r.band = 'level' OR {_BAND} = 'level') AND (CASE WHEN e.pitch < 0 THEN 'up' ELSE 'down' END) NOT IN (r.band, {_BAND}) THEN r.band ELSE {_BAND} END")}, "band"),
+    "compass_disturbed": _folded(
+        {
+            "big": (f"CASE WHEN {_SIZE} > 15 THEN t_ms END", f"CASE WHEN {_SIZE} > 15 THEN e.t_ms WHEN {_SIZE} < 8 THEN NULL ELSE r.big END"),
+            "until": ("0::BIGINT", f"CASE WHEN {_SIZE} > 15 AND e.t_ms - r.big < 180000 THEN e.t_ms + 180000 WHEN {_SIZE} < 8 THEN 0 ELSE {_ENDED} END"),
+        },
+        "until > 0 AS disturbed",
+    ),
+    "apply_correction": _folded(
+        {"h": (g.delta("0.5 * d_heading", "0"), g.delta("r.h + 0.5 * e.d_heading", "0")), "p": ("greatest(-20, least(20, 0.5 * d_pitch))", "greatest(-20, least(20, r.p + 0.5 * e.d_pitch))")},
+        "round(h, 6) AS offset_heading, round(p, 6) AS offset_pitch",
+    ),
+    "recompute_trigger": _folded(_kept(f"e.t_ms - r.s_t >= 15000 AND {_WAY} >= 120", "e.accuracy <= 100"), "go AS recompute"),
+    "training_sampler": _folded(_kept(f"e.t_ms - r.s_t >= 20000 AND ({_WAY} > 200 OR abs({g.delta('e.heading', 'r.s_heading')}) > 8 OR e.t_ms - r.s_t > 120000)"), "go AS kept"),
+    "confirm_heading": f"WITH {_STEPS}, big AS (SELECT device_id, n, t_ms - lag(t_ms) OVER w < 15000 AND abs({g.delta('d_heading', 'lag(d_heading) OVER w')}) < 1 AS ok FROM e WHERE abs(d_heading) >= 1.5 WINDOW w AS (PARTITION BY device_id ORDER BY n)) SELECT e.device_id, t_ms, CASE WHEN big.n IS NULL THEN true ELSE coalesce(ok, false) END AS confirmed FROM e LEFT JOIN big ON big.device_id = e.device_id AND big.n = e.n",
+    "unverified_heading": f"WITH {_STEPS} SELECT device_id, t_ms, CASE WHEN NOT matched AND t_ms - coalesce(max(CASE WHEN matched THEN t_ms END) OVER w, min(t_ms) OVER w) >= 60000 THEN CASE WHEN sun_alt BETWEEN 3 AND 60 THEN 'sun' ELSE 'pan' END END AS hint FROM e WINDOW w AS (PARTITION BY device_id ORDER BY n)",
+}
 
 
 def _machine(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = getattr(machines, name)
-        out = machines.replay(_machine_events(spark, sf_dir), "device_id", m)
-        return out.select("device_id", "t_ms", *[c.split()[0] for c in machines.OUTPUTS[m].split(", ")])
+        e = spark.sql(_MACHINE, events=spark.read.parquet(f"{sf_dir}/events.parquet")).withColumnRenamed("offset_now", "offset")
+        outs = [c.split() for c in machines.OUTPUTS[m].split(", ")]
+        return machines.replay(e, "device_id", m).select("device_id", "t_ms", *[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in outs])
 
     run.__name__ = name
-    return query()(run)
+    return query(_MACHINE_SQL.get(name))(run)
 
 
 for _m in machines.OUTPUTS:
     _machine(_m.__name__)
 
 
-_CAMERA = ["0D AS roll", "34D AS hfov", "390 AS width", "844 AS height"]
-
-
-def _skyline(frames: DataFrame, horizon: DataFrame, turn: float, tilt: float) -> DataFrame:
-    """Points (frame_id, x, y) of the horizon as cameras see it that stand `turn` and `tilt` off the sensors of frames."""
-    true = frames.withColumns({"heading": F.col("heading") + turn, "pitch": F.col("pitch") + tilt})
-    bins = horizon.where("angle IS NOT NULL AND az_bin % 2 = 0").select("obs_id", (F.col("az_bin") * 0.1).alias("az"), "angle")
-    p = dealt(true).join(bins, "obs_id").where(F.abs(geo.delta_deg("az", "heading")) < 16)
-    p = p.withColumn("p", geo.project("az", "angle", "heading", "pitch", "roll", "hfov", "width", "height"))
-    return p.select("frame_id", "p.x", "p.y").where("x BETWEEN 0 AND 390 AND y BETWEEN 0 AND 844")
-
-
 def _ranges(spark, sf_dir) -> DataFrame:
     """Horizons of suppliers that look alike nowhere on the ring."""
     h = _horizon(spark, sf_dir).where("angle IS NOT NULL")
