@@ -440,16 +440,36 @@ def haze_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_id", F.col("band").cast("int").alias("band"), F.round("cost", 6).alias("cost"), "ok")
 
 
-@query()
+_SEEN = f"e AS (SELECT *, row_number() OVER w AS n, CASE WHEN kind = 'compass' AND t_ms - last_value(CASE WHEN kind = 'gyro' THEN t_ms END IGNORE NULLS) OVER w <= 200 THEN {g.delta('heading', 'gyro')} END AS seen FROM (SELECT *, last_value(CASE WHEN kind = 'gyro' THEN heading END IGNORE NULLS) OVER v AS gyro FROM (SELECT device_id, CAST(t_ms AS BIGINT) AS t_ms, CASE WHEN event_id % 3 = 0 THEN 'compass' ELSE 'gyro' END AS kind, alpha AS heading FROM {oracle('orient')}) WINDOW v AS (PARTITION BY device_id ORDER BY t_ms)) WINDOW w AS (PARTITION BY device_id ORDER BY t_ms))"
+
+
+@query(
+    f"WITH RECURSIVE {_SEEN}, r AS (SELECT device_id, t_ms AS now_ms, n, kind, heading, CAST(NULL AS DOUBLE) AS off, CAST(NULL AS BIGINT) AS off_t FROM e WHERE e.n = 1 UNION ALL SELECT e.device_id, e.t_ms, e.n, e.kind, e.heading, CASE WHEN e.seen IS NULL THEN r.off WHEN r.off IS NULL THEN e.seen ELSE r.off + {g.delta('e.seen', 'r.off')} * (1 - exp(-least(1, (e.t_ms - r.off_t) / 1000.0::DOUBLE) / 4)) END, CASE WHEN e.seen IS NULL THEN r.off_t ELSE e.t_ms END FROM r JOIN e ON e.device_id = r.device_id AND e.n = r.n + 1) SELECT device_id, now_ms AS t_ms, round({g.norm('heading + off')}, 6) AS fused FROM r WHERE kind = 'gyro'"
+)
 def heading_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = derived(spark, sf_dir, "orient")
     kind = F.when(F.col("event_id") % 3 == 0, "compass").otherwise("gyro")
-    return fusion.heading_fusion(o.select("device_id", F.col("t_ms").cast("long").alias("t_ms"), kind.alias("kind"), F.col("alpha").alias("heading")))
+    out = fusion.heading_fusion(o.select("device_id", F.col("t_ms").cast("long").alias("t_ms"), kind.alias("kind"), F.col("alpha").alias("heading")))
+    return out.withColumn("fused", F.round("fused", 6))
 
 
-@query()
+def _smoothed(seen: str, at: str, speed: str, cut: float) -> tuple[str, str]:
+    """SQL of the next speed and the next value of a smoothed one; e.dt is the time passed."""
+    share = lambda hz: f"(1 - exp(-2 * pi() * ({hz}) * e.dt))"
+    faster = f"({speed} + {share('0.3::DOUBLE')} * (({seen} - {at}) / e.dt - {speed}))"
+    return faster, f"{at} + {share(f'{cut}::DOUBLE + 0.01::DOUBLE * abs({faster})')} * ({seen} - {at})"
+
+
+_TURNED = f"(r.turned + {g.delta('e.heading', 'r.turned')})"
+_SMOOTH = {c: _smoothed(seen, f"r.{c}", f"r.v_{c}", cut) for c, seen, cut in (("h", _TURNED, 0.06), ("p", "e.pitch", 0.15), ("o", "e.roll", 0.1))}
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT device_id, CAST(t_ms AS BIGINT) AS t_ms, heading, pitch, roll, row_number() OVER w AS n, least(0.2::DOUBLE, greatest(0.001::DOUBLE, (t_ms - lag(t_ms) OVER w) / 1000.0::DOUBLE)) AS dt FROM {_ANGLES} WINDOW w AS (PARTITION BY device_id ORDER BY t_ms)), r AS (SELECT device_id, t_ms AS now_ms, n, heading AS turned, heading AS h, pitch AS p, roll AS o, 0::DOUBLE AS v_h, 0::DOUBLE AS v_p, 0::DOUBLE AS v_o FROM e WHERE e.n = 1 UNION ALL SELECT e.device_id, e.t_ms, e.n, {_TURNED}, {', '.join(v[1] for v in _SMOOTH.values())}, {', '.join(v[0] for v in _SMOOTH.values())} FROM r JOIN e ON e.device_id = r.device_id AND e.n = r.n + 1) SELECT device_id, now_ms AS t_ms, round({g.norm('h')}, 6) AS heading, round(p, 6) AS pitch, round(o, 6) AS roll FROM r"
+)
 def smooth_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.smooth_angles(_angles(spark, sf_dir).select("device_id", F.col("t_ms").cast("long").alias("t_ms"), "heading", "pitch", "roll"))
+    out = fusion.smooth_angles(_angles(spark, sf_dir).select("device_id", F.col("t_ms").cast("long").alias("t_ms"), "heading", "pitch", "roll"))
+    return _rounded(out, ["device_id", "t_ms"], "heading", "pitch", "roll")
 
 
 @query()
@@ -481,7 +501,13 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_all(peaks, objects, asked)
 
 
-@query()
+def _covering(zoom: int, radius: str) -> str:
+    n = 2**zoom
+    px = f"SELECT floor(({g.dest_lon('lat', 'lon', '270', 'rad')} + 180) / 360 * {n}) AS x0, floor(({g.dest_lon('lat', 'lon', '90', 'rad')} + 180) / 360 * {n}) AS x1, floor({g.merc_y('n')} * {n}) AS y0, floor({g.merc_y('s')} * {n}) AS y1 FROM (SELECT *, {g.dest_lat('lat', '0', 'rad')} AS n, {g.dest_lat('lat', '180', 'rad')} AS s FROM (SELECT *, {radius} AS rad FROM {oracle('observers')}))"
+    return f"SELECT 'dem' AS kind, concat('{zoom}/', x, '/', y) AS key FROM (SELECT x, unnest(generate_series(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS y FROM (SELECT *, unnest(generate_series(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS x FROM ({px})))"
+
+
+@query(f"{_covering(12, 'least(radius, 8000)')} UNION {_covering(10, 'radius')} UNION SELECT 'peaks', concat(ty, '_', tx) FROM {g.tiles(oracle('observers'))} WHERE concat(ty, '_', tx) IN (SELECT tile FROM {_TILE})")
 def prefetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = derived(spark, sf_dir, "peaks").select(geo.tile_key("lat", "lon").alias("tile")).distinct()
     return spatial.prefetch_plan(derived(spark, sf_dir, "observers"), peaks)
@@ -513,7 +539,16 @@ def summit_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.summit_snap(derived(spark, sf_dir, "observers"), derived(spark, sf_dir, "peaks")).select("obs_id", "peak_ele")
 
 
-@query()
+_HERE = g.terrain("lat", "lon")
+
+
+def _around(r: int) -> list[str]:
+    return [g.terrain(g.dest_lat("lat", str(az), str(r)), g.dest_lon("lat", "lon", str(az), str(r))) for az in range(0, 360, 45)]
+
+
+@query(
+    f"SELECT obs_id, round(CASE WHEN lower >= 6 THEN greatest(c, top) ELSE c END, 6) AS ground FROM (SELECT obs_id, {g.terrain('lat', 'lon')} AS c, {' + '.join(f'({t} < {_HERE} - 1)::INTEGER' for t in _around(60))} AS lower, greatest({', '.join(t for r in (10, 20, 30, 40) for t in _around(r))}) AS top FROM {oracle('observers')})"
+)
 def observer_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panorama.observer_ground(derived(spark, sf_dir, "observers"), terrain).select("obs_id", F.round("ground", 6).alias("ground"))
 
@@ -657,7 +692,9 @@ def latest_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return night.latest_cached(rows, "tile", F.lit(3_000_000_000)).select("tile", (F.col("t_ms") / 100000).cast("long").alias("t_ms"))
 
 
-@query()
+@query(
+    f"SELECT t.id, round(t.az, 6) AS az, round(t.alt, 6) AS alt FROM (SELECT *, id % (SELECT count(*) FROM supplier) + 1 AS obs_id FROM {nested(oracle('times'), sky.SUN_STEPS)}) t LEFT JOIN {_HORIZON} h ON h.obs_id = t.obs_id AND h.az_bin = CAST(floor(t.az / 0.1::DOUBLE + 0.5) AS BIGINT) % 3600 WHERE h.angle IS NULL OR t.alt > h.angle"
+)
 def above_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' sun positions over the horizons of suppliers."""
     from vistaframe.operators import night

@@ -16,9 +16,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the session's shared checkpoint folder; a local one only where none is set."""
+    """A fresh folder under the session's shared checkpoint folder. Where none is set, one of this machine for a
+    local session; an error on a cluster, whose executors couldn't read it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/vista-{uuid.uuid4().hex}"
