@@ -74,3 +74,14 @@ k AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS kept FROM (SELECT d.rid,
 SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(CASE WHEN c.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
 FROM d LEFT JOIN c ON c.rid = d.rid LEFT JOIN k ON k.rid = d.rid
 """
+
+_key = _LOWER.format("trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")
+
+ORACLES["op11_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, i, line, {_key} AS key FROM (SELECT rid, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+c AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
+k AS (SELECT rid, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM l WHERE key NOT IN (SELECT key FROM c) GROUP BY rid)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, len(lines) - coalesce(n, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.rid = d.rid
+"""

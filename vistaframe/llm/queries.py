@@ -9,6 +9,7 @@ from vistaframe.llm.anomaly import judged as judged_rules
 from vistaframe.llm.common import table
 from vistaframe.llm.decontaminate import contamination
 from vistaframe.llm.html_extract import main_texts
+from vistaframe.llm.line_dedup import without_common_lines
 from vistaframe.llm.mixing import mixed
 from vistaframe.llm.quality import held_out, quality_scores
 from vistaframe.llm.secret_scan import KINDS, as_text, secret_spans
@@ -77,6 +78,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,5 +96,6 @@ QUERIES = {
         op8_mixing,
         op9_html_extraction,
         op10_substring_dedup,
+        op11_line_dedup,
     )
 }
