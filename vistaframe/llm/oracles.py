@@ -85,3 +85,16 @@ k AS (SELECT rid, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FR
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, len(lines) - coalesce(n, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.rid = d.rid
 """
+
+ORACLES["op13_lexical_search"] = f"""
+WITH b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS words FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+a AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(words) AS term FROM b) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(words)) AS terms FROM d WHERE len(words) > 0),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term, docs),
+m AS (SELECT rid, doc_id, 25 + CAST((75 * len(words) * docs) // terms AS BIGINT) AS m FROM d, s WHERE len(words) > 0),
+x AS (SELECT q, m.rid, any_value(doc_id) AS doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM a JOIN f ON a.term = f.term JOIN t ON t.term = a.term JOIN m ON m.rid = t.rid GROUP BY q, m.rid),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN b ON b.q = k.q WHERE rank <= 10
+"""

@@ -9,6 +9,7 @@ from vistaframe.llm.anomaly import judged as judged_rules
 from vistaframe.llm.common import table
 from vistaframe.llm.decontaminate import contamination
 from vistaframe.llm.html_extract import main_texts
+from vistaframe.llm.lexical_search import top_documents
 from vistaframe.llm.line_dedup import without_common_lines
 from vistaframe.llm.mixing import mixed
 from vistaframe.llm.quality import held_out, quality_scores
@@ -83,6 +84,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,5 +102,6 @@ QUERIES = {
         op9_html_extraction,
         op10_substring_dedup,
         op11_line_dedup,
+        op13_lexical_search,
     )
 }
