@@ -42,11 +42,11 @@ def blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def added(df: DataFrame, takes: list[str], gives: str, make: Callable[[], Callable], drop: tuple = ()) -> DataFrame:
+def added(df: DataFrame, takes: list[str], gives: str, make: Callable[[], Callable], drop: tuple = (), most: int = BLOCK_BYTES) -> DataFrame:
     """df with the columns `gives` (DDL), computed by make()(list of values of each column of `takes`).
 
     All other columns but those in `drop` pass through as Arrow data, so no id or nullable number is converted. A
-    call gets rows of at most BLOCK_BYTES of the first taken column, or one row.
+    call gets rows of at most `most` bytes of the first taken column, or one row.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     new = StructType.fromDDL(gives).fields
@@ -56,7 +56,7 @@ def added(df: DataFrame, takes: list[str], gives: str, make: Callable[[], Callab
 
         f = make()
         for b in batches:
-            for at in blocks(byte_sizes(b.column(takes[0]))):
+            for at in blocks(byte_sizes(b.column(takes[0])), most):
                 s = b.slice(at.start, at.stop - at.start)
                 got = f(*(s.column(t).to_pylist() for t in takes))
                 cols = [s.column(c.name) for c in kept] + [pa.array(x, to_arrow_type(c.dataType)) for c, x in zip(new, got)]

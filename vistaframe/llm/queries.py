@@ -16,6 +16,7 @@ from vistaframe.llm.quality import held_out, quality_scores
 from vistaframe.llm.secret_scan import KINDS, as_text, secret_spans
 from vistaframe.llm.shingle_join import shingle_components
 from vistaframe.llm.substring_dedup import without_repeats
+from vistaframe.llm.token_alignment import aligned, with_link_counts
 from vistaframe.llm.url_filter import BLOCKED_HOSTS, RULES, filtered, listed_hosts
 from vistaframe.llm.warc import read_archives, write_archives
 
@@ -84,6 +85,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str, folder: str = "/opt/tokenizers") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = aligned(docs, f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = with_link_counts(found.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -102,6 +111,7 @@ QUERIES = {
         op9_html_extraction,
         op10_substring_dedup,
         op11_line_dedup,
+        op12_token_alignment,
         op13_lexical_search,
     )
 }
