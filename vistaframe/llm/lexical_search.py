@@ -1,8 +1,8 @@
 """Ranked lexical search: Block-Max MaxScore over the inverted lists of shards.
 
 A shard is a bounded run of documents within a task. For each term that a query has it holds a list of blocks: gaps
-between documents and term counts as variable-length bytes, with the block's last document and its largest score part
-outside the bytes. A query sorts its lists by their bounds; those that together can't lift a document into the best k
+between documents and term counts as variable-length bytes, with the block's first and last document and its largest
+score part outside the bytes. A query sorts its lists by their bounds; those that together can't lift a document into the best k
 are non-essential. Candidates come from essential lists only, and a block's maximum rejects a candidate before the
 block of a non-essential list is unpacked. A task keeps its best k from shard to shard; Spark merges those of all tasks.
 """
@@ -22,11 +22,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from vistaframe.llm.common import added, alnum_words, blocks, byte_sizes, written
 
 #: UTF-8 bytes of text in a shard, or one document.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 20
 #: Entries of a block.
 BLOCK = 128
 #: Documents of the first stretch of a shard that is searched; each further one is this many times as long.
-STRETCH, LONGER = 256, 4
+STRETCH, LONGER = 512, 8
 #: Bytes that the queries searched for at once may take in Python; more are searched in further passes.
 PART_BYTES = 64 << 20
 
@@ -48,6 +48,8 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked(data: np.ndarray) -> np.ndarray:
     last = data < 128
+    if last.all():
+        return data.astype(np.int64)
     start = np.flatnonzero(np.r_[True, last[:-1]])[: int(last.sum())]
     at = np.arange(len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * at, start) if len(start) else np.zeros(0, np.int64)
@@ -62,11 +64,12 @@ class Lists:
         begin = np.flatnonzero(fresh)
         rank = np.arange(len(term)) - np.repeat(begin, np.diff(np.r_[begin, len(term)]))
         head = rank % BLOCK == 0
-        gap = np.where(head, doc, np.r_[0, np.diff(doc)])
+        gap = np.where(head, 0, np.diff(doc, prepend=0))
         self.data, at = packed(np.stack([gap, tf], axis=1).reshape(-1))
         first = np.flatnonzero(head)
         self.at = np.r_[at[2 * first], len(self.data)]
         end = np.r_[first[1:], len(term)]
+        self.first = doc[first]
         self.last = doc[end - 1] if len(first) else np.zeros(0, np.int64)
         self.most = np.maximum.reduceat(part, first) if len(first) else np.zeros(0, np.int64)
         stop = np.r_[begin[1:], len(term)]
@@ -76,13 +79,13 @@ class Lists:
 
     def read(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents, score parts) of blocks `which` (ascending), unpacked."""
-        runs = np.split(which, np.flatnonzero(np.diff(which) > 1) + 1)
-        both = unpacked(np.concatenate([self.data[self.at[r[0]] : self.at[r[-1] + 1]] for r in runs])).reshape(-1, 2)
-        gap, tf = both[:, 0], both[:, 1]
+        runs = np.split(which, np.flatnonzero(np.diff(which) > 1) + 1) if which[-1] - which[0] >= len(which) else [which]
+        bytes_ = [self.data[self.at[r[0]] : self.at[r[-1] + 1]] for r in runs]
+        both = unpacked(np.concatenate(bytes_) if len(runs) > 1 else bytes_[0])
+        gap, tf = both[::2], both[1::2]
         # blocks of one list are full but for its last, so a block begins at each BLOCK-th entry
-        start = np.arange(0, len(gap), BLOCK)
-        total = np.cumsum(gap)
-        doc = total - np.repeat(total[start] - gap[start], np.diff(np.r_[start, len(gap)]))
+        doc = np.cumsum(gap)
+        doc += (self.first[which] - doc[::BLOCK])[np.arange(len(doc)) // BLOCK]
         return doc, parts(tf, self.m[doc])
 
 
