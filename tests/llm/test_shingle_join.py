@@ -80,3 +80,24 @@ def test_sites_with_a_common_template(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((tuple(x) for x in shingle_components(docs, 4, 85).collect()), key=str)
     assert got == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("n", [1000, 8000])
+def test_a_crowd_of_near_copies_takes_few_comparisons(n):
+    import numpy as np
+
+    from vistaframe.llm.shingle_join import Joined, Tree, bitmap, by_likeness, folded
+
+    r = np.random.default_rng(1)
+    base, sets = r.integers(0, 2**63, 300, np.uint64), []
+    for _ in range(n):
+        x = base.copy()
+        x[r.integers(0, 300, 8)] = r.integers(0, 2**63, 8, np.uint64)
+        sets.append(np.unique(x))
+    sizes, maps = np.array([*map(len, sets)]), folded([bitmap(s) for s in sets])
+    order, joined, met = by_likeness(sizes, maps), Joined(n), 0
+    for i, j in Tree(sizes[order], maps[order]).candidates(85, joined):
+        met += 1
+        joined.join(i, j)
+    assert len(set(joined.root.tolist())) == 1
+    assert met < 60 * n  # of n * n / 2 pairs

@@ -81,12 +81,24 @@ def folded(maps) -> np.ndarray:
     return np.stack([m if len(m) == least else np.bitwise_or.reduce(m.reshape(-1, least)) for m in maps])
 
 
+def by_likeness(sizes: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """An order of documents that puts near copies side by side: by the first bit set, the bits shuffled, then by size. So a
+    node's combined bitmap stays narrow."""
+    shuffled = [np.random.default_rng(seed).permutation(64 * maps.shape[1]) for seed in (1, 2)]
+    first = np.empty((2, len(maps)), np.int64)
+    for s in range(0, len(maps), 512):
+        bits = np.unpackbits(np.ascontiguousarray(maps[s : s + 512]).view(np.uint8), axis=1)
+        for f, p in zip(first, shuffled):
+            f[s : s + 512] = bits[:, p].argmax(1)
+    return np.lexsort((sizes, first[1], first[0]))
+
+
 def alike(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
 class Tree:
-    """Leaves are documents in order of size; each higher node covers FANOUT nodes below it."""
+    """Leaves are documents in a given order; each higher node covers FANOUT nodes below it."""
 
     def __init__(self, sizes: np.ndarray, maps: np.ndarray):
         spare = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)  # tokens hidden by shared bits
@@ -105,15 +117,20 @@ class Tree:
         return (top >= least) | (100 * top >= percent * (least - top))
 
     def candidates(self, percent: int, joined: Joined) -> Iterator[tuple[int, int]]:
-        """Leaf pairs left by a dual traversal from the root, but for those already joined."""
+        """Leaf pairs left by a dual traversal from the root. Pairs of nodes whose leaves are all joined already are not
+        expanded; a node is compared with itself first, so that copies join before nodes are compared with others."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         grid = np.arange(FANOUT)
         while stack:
             level, a, b = stack.pop()
-            if level == 0:
-                top = joined.tops()
-                apart = top[a] != top[b]
-                a, b = a[apart], b[apart]
+            root = joined.root
+            if level:
+                at = np.arange(0, len(root), FANOUT**level)
+                low, high = np.minimum.reduceat(root, at), np.maximum.reduceat(root, at)
+                apart = (low[a] != high[b]) | (low[b] != high[a])
+            else:
+                apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
             keep = self.possible(level, a, b, percent)
             a, b = a[keep], b[keep]
             if level == 0:
@@ -124,29 +141,29 @@ class Tree:
                 x, y = x.ravel(), y.ravel()
                 ok = (x < below) & (y < below) & (x < y if level == 1 else x <= y)
                 x, y = x[ok], y[ok]
+                order = np.argsort(x == y, kind="stable")  # taken from the end
                 for s in range(0, len(x), 1024):
-                    stack.append((level - 1, x[s : s + 1024], y[s : s + 1024]))
+                    stack.append((level - 1, x[order[s : s + 1024]], y[order[s : s + 1024]]))
 
 
 class Joined:
-    """Disjoint sets of 0 to n - 1."""
+    """Disjoint sets of 0 to n - 1: root[i] is the same number for all of a set."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def tops(self) -> np.ndarray:
-        return np.array([self.top(i) for i in range(len(self.parent))], np.int64)
+        self.root = np.arange(n)
+        self.members = {}
 
     def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        self.parent[i] = j
-        return i != j
+        i, j = int(self.root[i]), int(self.root[j])
+        if i == j:
+            return False
+        a, b = self.members.pop(i, [i]), self.members.pop(j, [j])
+        if len(a) > len(b):
+            i, j, a, b = j, i, b, a
+        self.root[a] = j
+        b.extend(a)
+        self.members[j] = b
+        return True
 
 
 def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -155,17 +172,19 @@ def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarr
     Only pairs with an `asked` document are compared. Documents with one label start out joined.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable").tolist()
+    maps = folded([bitmap(s) for s in sets])
+    order = by_likeness(sizes, maps)
+    tree = Tree(sizes[order], maps[order])
+    order = order.tolist()
     joined = Joined(len(ids))
     seen: dict = {}
     for at, i in enumerate(order):
         for x in (("label", labels[i]), ("id", ids[i])):
             joined.join(at, seen.setdefault(x, at))
     out = []
-    tree = Tree(sizes[order], folded([bitmap(sets[i]) for i in order]))
     for x, y in tree.candidates(percent, joined):
         i, j = order[x], order[y]
-        if (asked[i] or asked[j]) and joined.top(x) != joined.top(y):
+        if (asked[i] or asked[j]) and joined.root[x] != joined.root[y]:
             overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if alike(overlap, int(sizes[i]), int(sizes[j]), percent):
                 joined.join(x, y)
@@ -306,10 +325,11 @@ def _crowds(members: DataFrame, described: DataFrame, percent: int) -> DataFrame
         for _, g in pdf.groupby(["token", "band"], sort=False):
             if len(g) < 2:
                 continue
-            g = g.sort_values(["n", "doc_id"], kind="stable")
-            ids = g.doc_id.tolist()
+            sizes, maps = g.n.to_numpy(np.int64), folded(g.bits)
+            order = by_likeness(sizes, maps)
+            ids = g.doc_id.to_numpy()[order].tolist()
             joined = Joined(len(ids))
-            tree = Tree(g.n.to_numpy(np.int64), folded(g.bits))
+            tree = Tree(sizes[order], maps[order])
             for i, j in tree.candidates(percent, joined):
                 if joined.join(i, j):
                     out.append((ids[i], ids[j]))
