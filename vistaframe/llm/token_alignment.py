@@ -21,8 +21,8 @@ from vistaframe.llm.common import added, written
 
 #: UTF-8 bytes of text aligned at once.
 BLOCK_BYTES = 1 << 20
-#: Pieces that a task remembers, some 500 bytes each, and their greatest length in characters.
-REMEMBERED, PIECE_CHARS = 1 << 16, 48
+#: Pieces that a task remembers, some 400 bytes each, and their greatest length in characters.
+REMEMBERED, PIECE_CHARS = 1 << 17, 48
 #: Pairs looked up at once: 17 bytes each in the driver and in each Python worker. More are looked up in further passes.
 PASS_PAIRS = 2 << 20
 #: U+00A1 to U+052F and printable ASCII hold no white space, whatever a library's Unicode version.
@@ -32,6 +32,9 @@ _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(0x100 + i): b for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 
 
+NONE = np.zeros(0, np.int64)
+
+
 class Aligner:
     """Tokenizers A (byte-level BPE, JSON) and B (pieces with byte fallback, a model file), from their files' contents."""
 
@@ -51,6 +54,7 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
         # no piece that goes on from another character into a space: so none crosses the places where texts are cut
         self.cut = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.marked = [f"{i}{m}" for i in range(max(n, len(pieces))) for m in ",|;"]
         self.known: dict[str, tuple | None] = {}
 
     def texts(self, texts: list) -> list[tuple | None]:
@@ -73,7 +77,7 @@ class Aligner:
                 out.append(None)
             else:
                 a, b, groups, text, codes = zip(*parts)
-                out.append((sum(a), sum(b), sum(groups), ";".join(text), np.fromiter(chain.from_iterable(codes), np.int64)))
+                out.append((sum(a), sum(b), sum(groups), ";".join(text), np.frombuffer(b"".join(codes), np.int64)))
         return out
 
     def aligned(self, texts: list[str]) -> list[tuple | None]:
@@ -81,7 +85,10 @@ class Aligner:
         both = [" " + t for t in texts]
         of_a = [e.ids for e in self.a.encode_batch_fast(both, add_special_tokens=False)]
         of_b = self.b.encode(texts, num_threads=1)
-        good = [b"".join([self.a_bytes[i] for i in x]) == b"".join([self.b_bytes[i] for i in y]) == t.encode() for t, x, y in zip(both, of_a, of_b)]
+        good = [True] * len(texts)
+        for of, table in ((of_a, self.a_bytes), (of_b, self.b_bytes)):
+            if b"".join(map(table.__getitem__, chain.from_iterable(of))) != "".join(both).encode():
+                good = [g and b"".join([table[i] for i in x]) == t.encode() for g, t, x in zip(good, both, of)]
         found = self._coalesced([x for x, g in zip(of_a, good) if g], [y for y, g in zip(of_b, good) if g])
         return [next(found) if g else None for g in good]
 
@@ -105,15 +112,17 @@ class Aligner:
         if self.together:
             on = a_end[at_a] == b_end[at_b]
             at_a, at_b = at_a[on], at_b[on]
-        codes, links = (a[at_a] << 32 | b[at_b]).tolist(), np.searchsorted(at_a, n_a).tolist()
+        codes, links = (a[at_a] << 32 | b[at_b]).tobytes(), (8 * np.searchsorted(at_a, n_a)).tolist()
         # as text: each group's A ids, then its B ids
         order = np.lexsort((side, group))
         group, side = group[order], side[order]
-        marks = np.where(group[1:] > group[:-1], ";", np.where(side[1:] > side[:-1], "|", ",")).tolist() + [""]
-        words = [f"{i}{m}" for i, m in zip(np.r_[a, b][order].tolist(), marks)]
-        at = (n_a + n_b).tolist()
-        for i, (x, y) in enumerate(zip(at, at[1:])):
-            yield len(of_a[i]), len(of_b[i]), int(group[y - 1] - group[x] + 1), "".join(words[x:y]).rstrip(";"), codes[links[i] : links[i + 1]]
+        fresh = np.r_[group[1:] > group[:-1], True][: len(order)]
+        mark = np.where(fresh, 2, np.r_[side[1:] > side[:-1], False][: len(order)])
+        words = list(map(self.marked.__getitem__, (3 * np.r_[a, b][order] + mark).tolist()))
+        at = n_a + n_b
+        groups = np.diff(np.r_[0, np.cumsum(fresh)][at])
+        at = at.tolist()
+        return zip(np.diff(n_a).tolist(), np.diff(n_b).tolist(), groups.tolist(), ["".join(words[x:y])[:-1] for x, y in zip(at, at[1:])], [codes[x:y] for x, y in zip(links, links[1:])])
 
 
 def aligned(docs: DataFrame, a_file: str, b_file: str, together: bool = True) -> DataFrame:
@@ -135,7 +144,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, together: bool = True) ->
         def align(texts):
             out = []
             for found in aligner.texts(texts):
-                a, b, groups, text, codes = found or (0, 0, 0, "", np.zeros(0, np.int64))
+                a, b, groups, text, codes = found or (0, 0, 0, "", NONE)
                 pair, n = np.unique(codes, return_counts=True)
                 out.append((a, b, groups, text, (pair >> 32).astype(np.int32), pair.astype(np.int32), n.astype(np.int32)))
             return tuple(map(list, zip(*out)))
