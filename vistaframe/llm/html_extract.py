@@ -9,19 +9,24 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.common import added, listed, written
+from vistaframe.llm.common import U, WordHash, added, listed, mix, written
+from vistaframe.llm.shingle_join import rolled
 from vistaframe.llm.url_filter import url_parts
 
 #: Share of its host's votes (or pages) that a path needs to count for the host; so a host has at most 1 / SHARE
 #: winning paths.
 SHARE = 0.01
-#: Pages of a host on which a path is found before its texts are compared, and the share of them that must recur.
-LEAST_PAGES, RECURRING = 10, 0.5
+#: A container's text recurs if the rest of the page differs on at least this share of the pages that have the text;
+#: its path recurs if this share of the texts on it do. Near copies of a page agree in the rest, so theirs don't.
+RECURRING = 0.5
+#: Least hashes of runs of words by which articles are told apart: near copies agree in most of them.
+SIGNS = 4
 #: What a container counts of its inner containers' scores.
 INNER = 0.7
 #: A container within another that has more than this share of its text is the better of the two.
@@ -31,6 +36,8 @@ OWN = 0.001
 #: What text counts in a container that is named like a page's furniture, or whose text recurs; such a container
 #: within an article goes if it then scores less than LEAST of the rest.
 LOWERED, LEAST = 0.1, 0.25
+#: The share of links from which a container with an uncertain name is furniture.
+LINKS = 0.3
 VOTE = 1000
 
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>?)", re.S)
@@ -51,6 +58,9 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 BOUNDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "aside", "nav", "header", "footer", "form", "body", "html"}
 # tags that HTML itself defines as not being the article
 DROPPED_TAGS = {"head", "nav", "footer", "aside", "dialog", "menu"}
+# names that tell of furniture only where it also looks so: mostly links, or recurring text
+UNCERTAIN = {"disclaimer", "discussion", "header", "notice", "notices", "notification", "promo", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "widget", "widgets"}
+AUTHOR, TIME, REPLY = {"author", "avatar", "commenter", "nick", "nickname", "poster", "user", "username"}, {"date", "datetime", "posted", "published", "time", "timestamp"}, {"answer", "reply", "respond"}
 FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "discussion", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pagination", "pager", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar", "widget", "widgets"}
 NEUTRAL = {"area", "bar", "block", "bottom", "box", "container", "inner", "left", "list", "outer", "page", "post", "right", "section", "site", "top", "wrap", "wrapper"}
 ARTICLE_WORDS = {"article", "content", "entry", "main", "post", "story"}
@@ -60,7 +70,9 @@ class Page:
     """Elements in page order, each with its parent, its span of pieces of text and its path."""
 
     def __init__(self, source: str, paths: dict):
-        self.parent, self.path, self.tag, self.dropped, self.good, self.low, self.holder, self.start, self.stop = [-1], [""], [""], [False], [False], [False], [0], [0], [0]
+        self.parent, self.path, self.tag, self.dropped, self.good, self.low, self.holder, self.start, self.stop = [-1], [0], [""], [False], [False], [False], [0], [0], [0]
+        self.uncertain, self.link, self.marks = [False], [False], [0]
+        self._opened: Counter = Counter()
         self.text: list[str] = []
         self.owner: list[int] = []
         self._paths = paths
@@ -99,7 +111,10 @@ class Page:
         self.owner.append(self._stack[-1])
 
     def _pop(self):
-        self.stop[self._stack.pop()] = len(self.text)
+        e = self._stack.pop()
+        self.stop[e] = len(self.text)
+        self._opened[self.tag[e]] -= 1
+        self.marks[self.parent[e]] |= self.marks[e]
 
     def _break(self):
         self.text.append(" ")
@@ -108,6 +123,8 @@ class Page:
     def _close(self, tag: str):
         if tag not in INLINE:
             self._break()
+        if not self._opened[tag]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[k]] == tag:
                 del_to = k
@@ -132,20 +149,26 @@ class Page:
         key = (self.path[up], tag, attributes)
         known = self._paths.get(key)
         if known is None:
-            if len(self._paths) > 100_000:
+            known = _described(*key)
+            if len(self._paths) > 20_000:
                 self._paths.clear()
-            known = self._paths[key] = _described(*key)
-        path, article, furniture = known
+            if len(attributes) < 500:
+                self._paths[key] = known
+        path, article, furniture, uncertain, comments, marks = known
         good = tag in ("article", "main") or article
         inside = self.good[up]
         self._stack.append(len(self.path))
         self.parent.append(up)
         self.path.append(path)
         self.tag.append(tag)
-        self.dropped.append(self.dropped[up] or tag in DROPPED_TAGS or tag == "header" and not inside)
+        self.dropped.append(self.dropped[up] or tag in DROPPED_TAGS or tag == "header" and not inside or comments and tag not in ("html", "body", "main"))
         self.good.append(inside or good and tag not in ("html", "body"))
         container = tag not in INLINE and tag not in PARAGRAPH
         self.low.append(tag == "form" or furniture and container and tag not in ("html", "body"))
+        self.uncertain.append(uncertain and container and tag not in ("html", "body"))
+        self.link.append(self.link[up] or tag == "a")
+        self.marks.append(marks)
+        self._opened[tag] += 1
         self.holder.append(len(self.holder) if container else self.holder[up])
         self.start.append(len(self.text))
         self.stop.append(0)
@@ -168,12 +191,9 @@ class Page:
         scores. Text in furniture, or held on one of the recurring paths, counts LOWERED.
         """
         n = len(self.path)
-        link, low = [False] * n, [False] * n
-        holder = self.holder
+        link, low, holder = self.link, [False] * n, self.holder
         for e in range(1, n):
-            up = self.parent[e]
-            link[e] = link[up] or self.tag[e] == "a"
-            low[e] = low[up] or self.low[e]
+            low[e] = low[self.parent[e]] or self.low[e]
         score, links = [0.0] * n, [0.0] * n
         for text, e in zip(self.text, self.owner):
             if not self.dropped[e]:
@@ -204,7 +224,7 @@ class Page:
                 most, at = whole, e
         return at
 
-    def on(self, path: str) -> list[int]:
+    def on(self, path: int) -> list[int]:
         """The containers on a path, outermost ones."""
         return [e for e in range(1, len(self.path)) if self.path[e] == path and not self.dropped[e] and self.tag[e] not in INLINE]
 
@@ -216,84 +236,125 @@ class Page:
                 parts.setdefault(self.holder[e], []).append(text)
         return {e: t for e, x in parts.items() if (t := " ".join("".join(x).split()))}
 
+    def threads(self) -> set[int]:
+        """Reader comments by their structure: at least two neighbours on one path, each with an author and a time or a way
+        to reply."""
+        seen: dict[tuple[int, int], list[int]] = {}
+        for e in range(1, len(self.path)):
+            if self.holder[e] == e or self.tag[e] in ("li", "dd"):
+                if self.marks[e] & 1 and self.marks[e] & 6:
+                    seen.setdefault((self.parent[e], self.path[e]), []).append(e)
+        return {e for of in seen.values() if len(of) > 1 for e in of}
+
     def words(self, elements: list[int], recurring: frozenset = frozenset()) -> str:
-        """The text of these elements, in page order, without dropped parts and without furniture that scores
-        little beside the rest."""
-        done, pieces = 0, []
+        """The text of these elements, in page order, without dropped parts, without threads of comments beside other text,
+        and without furniture that scores little beside the rest."""
+        done, pieces, threads = 0, [], self.threads()
         group = [-1] * len(self.path)  # the outermost furniture within the chosen elements, or a recurring container
         for e in sorted(elements):
-            last = len(self.path)
-            for i in range(e + 1, last):
+            for i in range(e + 1, len(self.path)):
                 if self.start[i] >= self.stop[e] and self.parent[i] < e:
                     break
                 up = self.parent[i]
                 inside = group[up] if up > e else -1
-                if inside >= 0 and (self.low[inside] or self.holder[i] != i):
+                if inside >= 0 and (self.low[inside] or self.uncertain[inside] or inside in threads or self.holder[i] != i):
                     group[i] = inside
-                elif self.low[i] or self.holder[i] == i and self.path[i] in recurring:
+                elif self.low[i] or self.uncertain[i] or i in threads or self.holder[i] == i and self.path[i] in recurring:
                     group[i] = i
             pieces += [*range(max(done, self.start[e]), self.stop[e]), -1]
             done = max(done, self.stop[e])
-        size: dict[int, int] = {}
+        size, links = Counter(), Counter()
         for i in pieces:
-            if i >= 0 and not self.dropped[self.owner[i]]:
-                g = group[self.owner[i]]
-                size[g] = size.get(g, 0) + len(self.text[i].strip())
-        gone = {g for g, n in size.items() if g >= 0 and LOWERED * n < LEAST * size.get(-1, 0)}
+            if i >= 0 and not self.dropped[e := self.owner[i]]:
+                n = len(self.text[i].strip())
+                size[group[e]] += n
+                links[group[e]] += n * self.link[e]
+        rest = size[-1]
+
+        def goes(g: int, n: int) -> bool:
+            if g < 0:
+                return False
+            if g in threads:
+                return rest > 0
+            sure = self.low[g] or self.path[g] in recurring or links[g] >= LINKS * n
+            return sure and LOWERED * n < LEAST * rest
+
+        gone = {g for g, n in size.items() if goes(g, n)}
         keep = [" " if i < 0 else self.text[i] for i in pieces if i < 0 or not self.dropped[self.owner[i]] and group[self.owner[i]] not in gone]
         return " ".join("".join(keep).split())
 
 
-def _described(above: str, tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The element's path, with digits generalised; whether its class, id or role names an article; whether one of
-    these names is made up of words of FURNITURE and NEUTRAL only, with one of FURNITURE."""
+def _described(above: int, tag: str, attributes: str) -> tuple:
+    """The element's path (a digest of the one above and of its own tag and classes, with digits generalised); whether its
+    class, id or role names an article, furniture, furniture perhaps, comments; and what marks of a comment it has. A
+    name counts as furniture if it is made up of words of FURNITURE and NEUTRAL only, with one of FURNITURE."""
     named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)} if "=" in attributes else {}
     names = [{w.lower() for w in WORD.findall(x)} for v in named.values() for x in v.split()]
     article = any(n & ARTICLE_WORDS for n in names)
     comments = any(n & {"comment", "comments"} and n <= FURNITURE | NEUTRAL for n in names)
-    furniture = comments or not article and any(n & FURNITURE and n <= FURNITURE | NEUTRAL for n in names)
+    told = [n for n in names if n & FURNITURE and n <= FURNITURE | NEUTRAL] if not article else []
+    furniture = any(n & FURNITURE - UNCERTAIN for n in told)
+    every = set().union(*names)
+    marks = bool(every & AUTHOR) + 2 * (tag == "time" or bool(every & TIME)) + 4 * bool(every & REPLY)
     classes = ".".join(sorted(DIGITS.sub("#", named.get("class", "")).split()))
-    return (f"{above}/{tag}{'.' + classes if classes else ''}" if tag not in INLINE else above), article and not comments, furniture
+    path = above if tag in INLINE else digest(f"{above}/{tag}{'.' + classes if classes else ''}")
+    return path, article and not comments, furniture, bool(told) and not furniture, comments, marks
 
 
 def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def signs(texts: dict[int, str], hashes: WordHash) -> dict[int, list[int]]:
+    """For each container, SIGNS least hashes of the runs of three words of all others, -1 where there are none."""
+    least = []
+    for t in texts.values():
+        w = t.lower().encode("utf-8", "surrogatepass").split()
+        h = rolled(w, min(3, len(w)), hashes)
+        least.append([int(mix(h ^ U(k * 0x9E3779B97F4A7C15 % (1 << 64))).min() >> U(1)) for k in range(SIGNS)])
+    low = [[*sorted(x)[:2], -1] for x in zip(*least)]
+    return {e: [lo[1] if x == lo[0] else lo[0] for x, lo in zip(own, low)] for e, own in zip(texts, least)}
+
+
 def _seen(pages: DataFrame) -> DataFrame:
-    """(host, path, text, page, vote): a row for each container of each page; path, text and page are digests. A page
-    has VOTE votes, all for the path of its best container."""
+    """(host, path, text, k, sign, vote): SIGNS rows for each container of each page; path and text are digests, sign tells
+    the rest of the page apart. A page has VOTE votes, all for the path of its best container."""
 
     def make():
         paths: dict = {}
+        hashes = WordHash()
 
         def look(sources):
             out = []
             for source in sources:
                 page = Page(source, paths)
-                top = page.path[page.top(page.scored())]
-                rows = [{"path": digest(page.path[e]), "text": digest(t), "vote": 0} for e, t in page.own_texts().items() if e]
-                rows.append({"path": digest(top), "text": None, "vote": VOTE})
+                top = page.top(page.scored())
+                texts = page.own_texts()
+                rest = signs({e: t for e, t in texts.items() if e}, hashes)
+                rows = [{"path": page.path[e], "text": digest(t), "k": k, "sign": x, "vote": 0} for e, t in texts.items() if e for k, x in enumerate(rest[e])]
+                rows.append({"path": page.path[top], "text": None, "k": 0, "sign": 0, "vote": VOTE})
                 out.append(rows)
             return (out,)
 
         return look
 
-    looked = added(pages.select("html", "host"), ["html"], "seen array<struct<path: bigint, text: bigint, vote: bigint>>", make)
-    return looked.select("host", F.xxhash64("html").alias("page"), F.inline("seen"))
+    looked = added(pages.select("html", "host"), ["html"], "seen array<struct<path: bigint, text: bigint, k: int, sign: bigint, vote: bigint>>", make)
+    return looked.select("host", F.inline("seen"))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, ways, recurring) of pages (host, html): each host's winning paths with their share of its votes, and
-    the paths whose texts recur on pages that differ. A host has a bounded number of either; paths are digests."""
+    the paths whose texts recur on pages whose articles differ. A host has a bounded number of either; paths are digests."""
     # texts first: a host's rows are spread over its texts before they meet
-    one = _seen(pages).groupBy("host", "path", "text").agg(F.sum("vote").alias("vote"), F.count("text").alias("n"), (F.min("page") != F.max("page")).alias("again"))
-    two = one.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.sum("n").alias("n"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("again"))
+    one = _seen(pages).groupBy("host", "path", "text", "k", "sign").agg(F.sum("vote").alias("vote"), F.count("text").alias("n"))
+    one = one.groupBy("host", "path", "text").agg(F.sum("vote").alias("vote"), (F.sum("n") / SIGNS).alias("n"), (F.count("*") / SIGNS).alias("apart"))
+    again = (F.col("n") > 1) & (F.col("apart") - 1 >= RECURRING * (F.col("n") - 1))
+    two = one.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.sum("n").alias("n"), F.sum(F.when(again, F.col("n")).otherwise(0)).alias("again"))
     two = written(two)
     total = two.groupBy("host").agg(F.sum("vote").alias("votes"))
     x = two.join(total, "host")
     wins = (F.col("vote") > 0) & (F.col("vote") >= SHARE * F.col("votes"))
-    recurs = (F.col("n") >= LEAST_PAGES) & (F.col("n") * VOTE >= SHARE * F.col("votes")) & (F.col("again") >= RECURRING * F.col("n"))
+    recurs = (F.col("again") > 0) & (F.col("n") * VOTE >= SHARE * F.col("votes")) & (F.col("again") >= RECURRING * F.col("n"))
     # votes for what recurs are votes for furniture
     share = F.col("vote") / F.col("votes") * F.greatest(F.lit(1e-6), 1 - F.col("again") / F.greatest("n", F.lit(1)))
     x = x.where(wins | recurs).groupBy("host").agg(
@@ -318,22 +379,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     joined = pages.join(listed(found.withColumnsRenamed({"host": "_host", "ways": "_ways", "recurring": "_recurring"})), "_host", "left")
 
     def make():
-        paths, digests = {}, {}
-
-        def of(path):
-            if path not in digests:
-                if len(digests) > 100_000:
-                    digests.clear()
-                digests[path] = digest(path)
-            return digests[path]
+        paths: dict = {}
 
         def extract(sources, ways, recurring):
             texts = []
             for source, way, again in zip(sources, ways, recurring):
                 page = Page(source, paths)
                 share = {w["path"]: w["share"] for w in way or ()}
-                again = set(again or ())
-                lowered = frozenset(p for p in set(page.path) if of(p) in again) if again else frozenset()
+                lowered = frozenset(again or ())
                 best = page.scored(lowered)
                 own = page.top(best)
                 above = set()  # what lies around the page's own best container counts without it
@@ -344,8 +397,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 by_path: dict = {}
                 for whole, direct, e in best:
                     by_path[page.path[e]] = by_path.get(page.path[e], 0.0) + (direct if e in above else whole)
-                said = lambda p: max(share.get(of(p), 0.0), OWN if p == page.path[own] else 0.0)
-                chosen = max(by_path, key=lambda p: (by_path[p] * said(p), p), default="")
+                said = lambda p: max(share.get(p, 0.0), OWN if p == page.path[own] else 0.0)
+                chosen = max(by_path, key=lambda p: (by_path[p] * said(p), p), default=0)
                 texts.append(page.words(page.on(chosen) if chosen else [0], lowered - {chosen}))
             return (texts,)
 
