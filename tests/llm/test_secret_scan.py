@@ -77,14 +77,14 @@ def test_time_grows_in_proportion_to_the_matches_of_a_text(spark):
 
     took(2000)
     short, long = took(32_000), took(64_000)
-    assert long < 2.2 * short
+    assert long < 3 * short  # four times, if each match took time for all before it
 
 
 def battery(v):
     """p-value of a token, from the definitions of the tests."""
     import math
 
-    names = ((r"[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", str.lower), (r"[A-Z2-7]+=*", string.ascii_uppercase + "234567", str), (r"[0-9a-z]+|[0-9A-Z]+", string.digits + string.ascii_lowercase, str.lower), (r".*", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", str))
+    names = ((r"[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", str.lower), (r"[A-Z2-7]+=*", string.ascii_uppercase + "234567", str), (r"[0-9a-z]+|[0-9A-Z]+", string.digits + string.ascii_lowercase, str.lower), (r"[0-9A-Za-z]+", string.digits + string.ascii_uppercase + string.ascii_lowercase, str), (r".*", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", str))
     alphabet, fold = next((a, f) for p, a, f in names if re.fullmatch(p, v))
     x = [alphabet.index(c) for c in fold(v).translate(str.maketrans("-_", "+/")) if c in alphabet]
     n, k = len(x), len(alphabet)
@@ -103,7 +103,7 @@ def test_p_values_match_their_definitions(spark):
     from vistaframe.llm.secret_scan import _scanned
 
     r = random.Random(8)
-    pools = ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.ascii_letters + string.digits + "+/_-", "aB1"]
+    pools = ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.ascii_letters + string.digits + "+/_-", string.ascii_letters + string.digits, "aB1"]
     tokens = ["".join(r.choices(r.choice(pools), k=r.randrange(20, 90))) for _ in range(200)]
     got = _scanned(spark.createDataFrame([(t,) for t in tokens], "text string")).select("text", "base", "tested").collect()
     seen = 0

@@ -9,6 +9,8 @@ estimated share of tokens that aren't is within FALSE_SHARE. All of it is built-
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,20 @@ ENCODINGS = {
     "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base36": ("^([0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base64": (".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
 #: Only tokens with a letter and a digit, or with a small letter before a capital twice, are tested.
 MIXED = r"[0-9][^0-9]*[A-Za-z]|[A-Za-z][^A-Za-z]*[0-9]|[a-z][A-Z].*[a-z][A-Z]"
 #: Steps between p-values, least and largest threshold, accepted share of tokens that aren't random.
 STEPS, LEAST_P, MOST_P, FALSE_SHARE = 100, 0.01, 0.5, 0.05
+#: Standard errors that the estimated number of random tokens is raised by: a class of few tokens must show that it
+#: holds others before it loses random ones.
+ERRORS = 2
 KINDS = (*PATTERNS, "random")
 _OWN = ("_text", "_token", "_assign", "_access", "_hex", "_m", "_v", "_e", "_part", "_events", "_top", "_tops", "_cuts")
 
+FEW = 32
 _EMPTY = "CAST(array() AS array<struct<s:int,e:int,v:string>>)"
 
 
@@ -44,7 +51,7 @@ def _running(df: DataFrame, column: str, step: str) -> DataFrame:
     first 0) and the next item ({y}).
 
     An array grows by copies, so it is built in parts, each from the value at which the part before ends. With parts
-    of cbrt(2 n) items the copies are fewest.
+    of cbrt(2 n) items the copies are fewest. FEW items are built at once.
     """
     every = f"sequence(0, size({column}) - 1, _part)"
     # items are read by their places: to slice an array takes time for all of it
@@ -53,8 +60,9 @@ def _running(df: DataFrame, column: str, step: str) -> DataFrame:
     grown = f"aggregate({places}, array(v), (h, j) -> array_append(h, {step.format(a='element_at(h, -1)', y=f'{column}[j]')}))"
     df = df.withColumn("_part", F.expr(f"CAST(greatest(1, ceil(cbrt(2 * size({column})))) AS INT)"))
     # the parts' first values come as a lambda's argument, so that they are computed once
+    plain = f"slice(aggregate({column}, array(0), (h, y) -> array_append(h, {step.format(a='element_at(h, -1)', y='y')})), 2, size({column}))"
     parts = f"zip_with({every}, {ends}, (i, v) -> IF(i IS NULL, CAST(array() AS array<int>), slice({grown}, 2, _part)))"
-    return df.withColumn(column, F.expr(f"IF(size({column}) = 0, CAST(array() AS array<int>), flatten({parts}))")).drop("_part")
+    return df.withColumn(column, F.expr(f"CASE WHEN size({column}) = 0 THEN CAST(array() AS array<int>) WHEN size({column}) <= {FEW} THEN {plain} ELSE flatten({parts}) END")).drop("_part")
 
 
 def _located(df: DataFrame, name: str, pattern: str, value: int = 0) -> DataFrame:
@@ -131,14 +139,15 @@ def thresholds(tally: list[tuple[str, int, int, int]]) -> dict[tuple[str, int],
     """From (encoding, length class, step of p, distinct tokens): the least p of tokens taken for random.
 
     Random tokens spread evenly over p, so those above MOST_P tell how many there are in all. The threshold
-    is the least at which the share of other tokens above it is within FALSE_SHARE, by that estimate.
+    is the least at which the share of other tokens above it is within FALSE_SHARE, by the upper bound of that estimate.
     """
     groups: dict = {}
     for enc, length, step, n in tally:
         groups.setdefault((enc, length), {})[min(step, STEPS - 1)] = n
     out = {}
     for key, counts in groups.items():
-        random = sum(n for step, n in counts.items() if step >= MOST_P * STEPS) / (1 - MOST_P)
+        high = sum(n for step, n in counts.items() if step >= MOST_P * STEPS)
+        random = (high + ERRORS * math.sqrt(high + 1)) / (1 - MOST_P)
         for step in range(round(LEAST_P * STEPS), round(MOST_P * STEPS) + 1):
             above = sum(n for s, n in counts.items() if s >= step)
             if above and above - random * (1 - step / STEPS) <= FALSE_SHARE * above:
