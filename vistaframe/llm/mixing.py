@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from vistaframe.llm.common import listed, written
 
 MOST_COPIES = 3
-ROUNDS = 25
+#: Newton steps or bisections after which sources that aren't at their targets are an error: the latter alone need some 60.
+ROUNDS = 100
 #: Relative difference between a source's words and its target at which the iterations end.
 CLOSE = 1e-7
 #: Documents of one size that are put in order together.
 GROUP = 256
-REPAIRS = 4
 
 
 def _targets(sizes: DataFrame) -> DataFrame:
@@ -82,6 +82,9 @@ def _rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         if (dual.agg(F.max("off")).first()[0] or 0) <= CLOSE:
             break
         dual = dual.drop("off")
+    else:
+        far = sums.where(F.col("off") > CLOSE).select("source").limit(10).collect()
+        raise ArithmeticError(f"no rates found that meet the targets of sources {[r.source for r in far]}")
     found = rows.alias("a").join(listed(dual).alias("b"), _same("source"))
     return found.select("a.source", "size", "n", F.least(top, F.exp(F.col("lam") * F.col("c"))).alias("rate"))
 
@@ -114,14 +117,14 @@ def _copies(slim: DataFrame, rated: DataFrame) -> DataFrame:
 
 def _repairs(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, size, rank, change): for each source a few single documents that take one copy more or less,
-    each the one whose size comes closest to what is missing."""
+    each the one whose size comes closest to what is missing, until none brings a source closer."""
     taken = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
     lack = written(targets.alias("a").join(taken.alias("b"), _same("source")).select("a.source", (F.col("target") - F.col("taken")).alias("lack")))
     can = written(
         counted.groupBy("source", "size").agg(F.min(F.when(F.col("copies") < MOST_COPIES, F.col("rank"))).alias("more"), F.min(F.when(F.col("copies") > 0, F.col("rank"))).alias("less"))
     )
     changes = None
-    for _ in range(REPAIRS):
+    while True:
         open_ = can.alias("a").join(listed(lack).alias("b"), _same("source")).select("a.*", "lack")
         if changes is not None:
             open_ = open_.alias("a").join(listed(changes).alias("b"), _same("source", "size"), "left_anti")
@@ -130,9 +133,10 @@ def _repairs(counted: DataFrame, targets: DataFrame) -> DataFrame:
         best = open_.withColumns({"rank": rank, "rest": rest}).where("rank IS NOT NULL AND rest < abs(lack)")
         best = best.groupBy("source").agg(F.min(F.struct("rest", "size", "rank", F.signum("lack").cast("int").alias("change"))).alias("x")).select("source", "x.size", "x.rank", "x.change")
         best = written(best)
+        if changes is not None and best.isEmpty():
+            return changes
         changes = best if changes is None else written(changes.union(best))
         lack = written(lack.alias("a").join(best.alias("b"), _same("source"), "left").select("a.source", (F.col("lack") - F.coalesce(F.col("size") * F.col("change"), F.lit(0))).alias("lack")))
-    return changes
 
 
 def mixed(docs: DataFrame) -> DataFrame:
