@@ -1,0 +1,182 @@
+import math
+
+import numpy as np
+import pytest
+
+from vistaframe.functions.geo import EARTH_M, EQUATOR_M, REFRACTION
+from vistaframe.operators import panorama as pan
+from vistaframe.operators import raster_rays as rr
+from vistaframe.sources import dem
+
+
+def tile(z, lat, lon):
+    s = math.sin(math.radians(lat))
+    return z, int((lon + 180) / 360 * 2**z), int((0.5 - math.log((1 + s) / (1 - s)) / (4 * math.pi)) * 2**z)
+
+
+GONE = {tile(12, 46.70, 7.50), tile(12, 46.62, 7.30), tile(12, 46.9, 8.06), tile(10, 46.75, 7.75), tile(10, 47.2, 8.0)}
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    observers = spark.createDataFrame([(1, 46.70, 7.45, 22000.0), (2, 46.62, 7.30, 30000.0), (3, 46.9, 8.0, 45000.0)], "obs_id int, lat double, lon double, radius double")
+    keys = rr.tiles_for_rays(observers).toPandas()
+    keys = keys[[(z, x, y) not in GONE for z, x, y in zip(keys.z, keys.x, keys.y)]]
+    land = lambda lat, lon: 1000 + 800 * np.sin(lat * 40) * np.cos(lon * 35) + 90 * np.sin(lat * 900) * np.sin(lon * 700)
+    raster = dem.tiles_of(spark.createDataFrame(keys), land)
+    pixels = {(t.z, t.x, t.y): np.asarray(t.h, np.float32).reshape(256, 256) for t in raster.collect()}
+    return observers, dem.with_halo(raster).cache(), pixels
+
+
+def height(pixels, lat_lon_xy, d):
+    """Bilinear from single pixels; null if one is missing; zoom 12 below 8 km, else 10."""
+    mx, my = lat_lon_xy
+    for z in (12, 10) if d < 8000 else (10,):
+        px, py = mx * 256 * 2**z - 0.5, my * 256 * 2**z - 0.5
+        i, j = math.floor(py), math.floor(px)
+        four = []
+        for a, b in ((i, j), (i, j + 1), (i + 1, j), (i + 1, j + 1)):
+            t = pixels.get((z, b // 256, a // 256))
+            four.append(None if t is None else float(t[a % 256, b % 256]))
+        if None not in four:
+            u, v = px - j, py - i
+            return (four[0] * (1 - u) + four[1] * u) * (1 - v) + (four[2] * (1 - u) + four[3] * u) * v
+    return None
+
+
+def samples(pixels, lat, lon, h0, az, end):
+    out, d = [], 40.0
+    while d <= end:
+        x, y = pan.track(lat, lon, az, np.array([d]))
+        h = height(pixels, (float(x[0]), float(y[0])), d)
+        if h is not None:
+            out.append((d, (h - h0 - d * d / (2 * EARTH_M) * (1 - REFRACTION)) / d))
+        d += max(10.0, min(d * 0.01, EQUATOR_M * math.cos(math.radians(lat)) / (256 * 2 ** (12 if d < 8000 else 10))))
+    return out
+
+
+def judged(found):
+    """(angle, dist), both bands, ridges: by one walk along the samples."""
+    best, ridges, last, hidden = (-math.inf, None), [], None, False
+    for d, s in found:
+        if s >= best[0]:
+            if hidden and d - last[0] > max(300, 0.04 * last[0]):
+                ridges.append(last)
+            best, last, hidden = (s, d), (d, s), False
+        else:
+            hidden = True
+    if hidden:
+        ridges.append(last)
+    bands = [max(((s, d) for d, s in found if d <= m), default=(None, None)) for m in pan.HAZE_M]
+    return best, bands, ridges
+
+
+def deg(s):
+    return math.degrees(math.atan(s))
+
+
+def test_rays_over_tiles_equal_a_walk_along_each_ray(spark, world):
+    observers, haloed, pixels = world
+    rows = [(o.obs_id, k, o.lat, o.lon, 2100.0 + 100 * o.obs_id, k * 15.0 + 0.3, o.radius) for o in observers.collect() for k in range(24)]
+    rows += [(9, 0, 46.7, 7.4, 2000.0, 10.0, 30.0), (9, 1, 10.0, 10.0, 2000.0, 10.0, 9000.0)]  # too short; nowhere near a tile
+    rays = spark.createDataFrame(rows, "obs_id int, k int, lat double, lon double, h0 double, az double, radius double")
+    got = {(r.obs_id, r.k): r for r in rr.scanned_on(rays, ["obs_id", "k"], haloed).collect()}
+    missing = 0
+    for o, k, lat, lon, h0, az, end in rows:
+        found = samples(pixels, lat, lon, h0, az, end)
+        if not found:
+            assert (o, k) not in got
+            continue
+        (s, d), bands, ridges = judged(found)
+        g = got[o, k]
+        assert abs(g.angle - deg(s)) < 1e-7 and abs(g.dist - d) < 1e-6
+        for h, (s, d) in zip(g.haze, bands):
+            assert abs(h.angle - deg(s)) < 1e-7 and abs(h.dist - d) < 1e-6
+        assert [r.d for r in g.ridges] == pytest.approx([d for d, _ in ridges], abs=1e-6)
+        assert [r.angle for r in g.ridges] == pytest.approx([deg(s) for _, s in ridges], abs=1e-7)
+        missing += len(found) < len(pan.distance_ladder.func([lat], [end])[0])
+    assert missing > 3 and sum(len(r.ridges) for r in got.values()) > 40
+
+
+def test_a_crowded_tile_is_dealt_out(spark, world, monkeypatch):
+    observers, haloed, _ = world
+    eyes = rr.eyes_on(observers.where("obs_id < 3"), haloed)
+    want = sorted(rr.ring_on(eyes, haloed, 20.0).collect())
+    monkeypatch.setattr(rr, "POINTS_PER_TASK", 500)
+    assert sorted(rr.ring_on(eyes, haloed, 20.0).collect()) == want and len(want) == 36
+
+
+def test_close_to_the_landscape_itself(spark, world):
+    observers, haloed, _ = world
+    smooth = lambda lat, lon: 1000 + 800 * np.sin(lat * 40) * np.cos(lon * 35)
+    raster = dem.with_halo(dem.tiles_of(rr.tiles_for_rays(observers), smooth))
+    rays = observers.selectExpr("*", "2500D AS h0", "explode(sequence(0, 35)) AS k").selectExpr("*", "k * 10D AS az")
+    a = {(r.obs_id, r.k): r.angle for r in rr.scanned_on(rays, ["obs_id", "k"], raster).collect()}
+    b = {(r.obs_id, r.k): r.angle for r in pan.scanned_rays(rays, smooth).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 0.01
+
+
+def test_views_from_tiles(spark, world):
+    observers, haloed, pixels = world
+    eyes = rr.eyes_on(observers, haloed)
+    h0 = {r.obs_id: r.h0 for r in eyes.collect()}
+    r = np.random.default_rng(3)
+    places = [(i, float(r.uniform(46.45, 46.95)), float(r.uniform(7.1, 8.1))) for i in range(60)]
+    peaks = spark.createDataFrame([(*p, None if p[0] % 7 == 0 else float(r.uniform(300, 2600))) for p in places], "id int, lat double, lon double, ele double")
+    towers = spark.createDataFrame([(*p, "c", None if p[0] % 2 else 900) for p in places] + [(100 + i, 46.7 + 0.004 * math.cos(i), 7.45 + 0.005 * math.sin(i), "c", None) for i in range(12)], "id int, lat double, lon double, kind string, height int")
+    got = {(v.obs_id, v.p_id): v for v in rr.peak_views_on(eyes, peaks, haloed).collect()}
+    near = {(v.obs_id, v.p_id): v for v in rr.in_range(eyes, peaks).collect()}
+    seen = 0
+    for k, n in near.items():
+        at = ((n.p_lon + 180) / 360, 0.5 - math.log((1 + math.sin(math.radians(n.p_lat))) / (1 - math.sin(math.radians(n.p_lat)))) / (4 * math.pi))
+        ground = height(pixels, at, n.dist)
+        ele = n.p_ele if n.p_ele is not None and (ground is None or abs(n.p_ele - ground) < 400) else ground
+        if ele is None:
+            assert k not in got
+            continue
+        angle = math.degrees(math.atan2(ele - h0[k[0]] - n.dist**2 / (2 * EARTH_M) * (1 - REFRACTION), n.dist))
+        hill = max((s for _, s in samples(pixels, n.lat, n.lon, h0[k[0]], n.az, n.dist - max(300, 0.03 * n.dist) - 1e-6)), default=None)
+        assert abs(got[k].angle - angle) < 1e-6 and (hill is None) == (got[k].occlusion is None)
+        assert hill is None or abs(got[k].occlusion - deg(hill)) < 1e-7
+        assert got[k].visible == (hill is None or angle >= deg(hill) - 0.05)
+        seen += got[k].visible
+    assert 0 < seen < len(got)
+    got = {(x.obs_id, x.p_id): x for x in rr.landmark_views_on(eyes, towers, haloed).collect()}
+    want = set()
+    for n in rr.in_range(eyes, towers, 200, 35_000).collect():
+        at = ((n.p_lon + 180) / 360, 0.5 - math.log((1 + math.sin(math.radians(n.p_lat))) / (1 - math.sin(math.radians(n.p_lat)))) / (4 * math.pi))
+        ground, eye = height(pixels, at, n.dist), h0[n.obs_id]
+        if ground is not None:
+            top = math.degrees(math.atan2(ground + (n.p_height or 80) - eye - n.dist**2 / (2 * EARTH_M) * (1 - REFRACTION), n.dist))
+            most = lambda az, end: max((deg(s) for _, s in samples(pixels, n.lat, n.lon, eye, az, end)), default=-90)
+            if top >= most(math.floor(n.az / 0.1 + 0.5) % 3600 * 0.1, 35_000) + 0.1 and top >= most(n.az, n.dist - max(300, 0.03 * n.dist) - 1e-6) + 0.1:
+                want.add((n.obs_id, n.p_id))
+    assert got.keys() == want and {x.height_known for x in got.values()} == {True, False}
+
+
+def test_the_ground_of_observers(spark, world):
+    _, haloed, pixels = world
+    lat = math.radians(46.7)
+    rows = [(i, 46.60 + i * 0.01, 7.31 + (i * 7 % 30) * 0.01, 2000.0 if i == 3 else None) for i in range(30)] + [(99, 10.0, 10.0, None)]
+    df = spark.createDataFrame(rows, "obs_id int, lat double, lon double, ground_ele double")
+    got = {r.obs_id: r.ground for r in rr.observer_ground_on(df, haloed).collect()}
+
+    def at(lat, lon, az, r):
+        a, z, d = math.radians(lat), math.radians(az), r / EARTH_M
+        s = math.sin(a) * math.cos(d) + math.cos(a) * math.sin(d) * math.cos(z)
+        x = lon + math.degrees(math.atan2(math.sin(z) * math.sin(d) * math.cos(a), math.cos(d) - math.sin(a) * s))
+        return height(pixels, ((x + 180) / 360, 0.5 - math.log((1 + s) / (1 - s)) / (4 * math.pi)), 0)
+
+    tops = 0
+    for i, lat, lon, _ in rows:
+        center = at(lat, lon, 0, 0)
+        if center is None:
+            assert got[i] is None
+            continue
+        rim = [at(lat, lon, az, 60) for az in range(0, 360, 45)]
+        top = sum(h is not None and h < center - 1 for h in rim) >= 6
+        near = [h for r in (10, 20, 30, 40) for az in range(0, 360, 45) if (h := at(lat, lon, az, r)) is not None]
+        assert abs(got[i] - (max([center, *near]) if top else center)) < 1e-6
+        tops += top
+    eyes = {r.obs_id: r.h0 for r in rr.eyes_on(df, haloed).collect()}
+    assert eyes[3] == 2001.7 and 99 not in eyes and abs(eyes[5] - got[5] - 1.7) < 1e-9

@@ -111,22 +111,33 @@ class Ladders(dict):
         return rungs[: np.searchsorted(rungs, end, side="right")]
 
 
-def _slopes(heights: Heights, ladders: Ladders, lat: float, lon: float, h0: float, az: float, end: float) -> tuple[np.ndarray, np.ndarray]:
-    """(d, slope) of a ray's samples that have a height: the angle's tangent, over the bent earth."""
-    d = ladders.up_to(lat, end)
-    if not len(d):
-        return d, d
+def track(lat: float, lon: float, az: float, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mercator coordinates (unit square) of a ray at ascending distances d: great-circle knots each 1000 m, straight
+    in between."""
     k = (d // KNOT_M).astype(int)
-    step = np.arange(k[-1] + 2) * (KNOT_M / geo.EARTH_M)
+    step = np.arange(k[0], k[-1] + 2) * (KNOT_M / geo.EARTH_M)
     p, z = math.radians(lat), math.radians(az)
     up = math.sin(p) * np.cos(step) + math.cos(p) * np.sin(step) * math.cos(z)
     east = np.degrees(np.arctan2(math.sin(z) * math.cos(p) * np.sin(step), np.cos(step) - math.sin(p) * up))
     x = ((lon + east + 540) % 360) / 360
     y = 0.5 - np.log((1 + up) / (1 - up)) / (4 * math.pi)
     t = d / KNOT_M - k
-    x, y = x[k] + (x[k + 1] - x[k]) * t, y[k] + (y[k + 1] - y[k]) * t
-    h = heights(np.degrees(np.arctan(np.sinh(math.pi * (1 - 2 * y)))), x * 360 - 180)
-    slope = (h - h0 - d * d * ((1 - geo.REFRACTION) / (2 * geo.EARTH_M))) / d
+    k -= k[0]
+    return x[k] + (x[k + 1] - x[k]) * t, y[k] + (y[k + 1] - y[k]) * t
+
+
+def slopes(h: np.ndarray, h0: float, d: np.ndarray) -> np.ndarray:
+    """The tangent of the angle at which height h is seen from h0 at distance d, over the bent earth."""
+    return (h - h0 - d * d * ((1 - geo.REFRACTION) / (2 * geo.EARTH_M))) / d
+
+
+def _slopes(heights: Heights, ladders: Ladders, lat: float, lon: float, h0: float, az: float, end: float) -> tuple[np.ndarray, np.ndarray]:
+    """(d, slope) of a ray's samples that have a height."""
+    d = ladders.up_to(lat, end)
+    if not len(d):
+        return d, d
+    x, y = track(lat, lon, az, d)
+    slope = slopes(heights(np.degrees(np.arctan(np.sinh(math.pi * (1 - 2 * y)))), x * 360 - 180), h0, d)
     known = ~np.isnan(slope)
     return (d, slope) if known.all() else (d[known], slope[known])
 
@@ -140,10 +151,20 @@ def _highest(d: np.ndarray, slope: np.ndarray) -> tuple[float, float]:
 def _ridges(d: np.ndarray, slope: np.ndarray, least_gap: float = 300, share: float = 0.04) -> np.ndarray:
     """Places of ridges: the last visible sample before a hidden stretch, if what is seen next lies over
     max(least_gap, share of its distance) beyond, or nothing is."""
-    seen = np.flatnonzero(slope >= np.r_[-np.inf, np.maximum.accumulate(slope)[:-1]])
-    after = np.r_[seen[1:], len(d)]
-    beyond = np.r_[d[seen[1:]], np.inf] - d[seen] > np.maximum(least_gap, share * d[seen])
-    return seen[(after - seen > 1) & beyond]
+    seen = rising(slope)
+    return seen[_before_gaps(seen, d[seen], len(d), least_gap, share)]
+
+
+def rising(slope: np.ndarray) -> np.ndarray:
+    """Places of the samples that none before them hides."""
+    return np.flatnonzero(slope >= np.r_[-np.inf, np.maximum.accumulate(slope)[:-1]])
+
+
+def _before_gaps(seen: np.ndarray, d: np.ndarray, n: int, least_gap: float = 300, share: float = 0.04) -> np.ndarray:
+    """Which of the visible samples (their places among n, and distances) are ridges."""
+    after = np.r_[seen[1:], n]
+    beyond = np.r_[d[1:], np.inf] - d > np.maximum(least_gap, share * d)
+    return (after - seen > 1) & beyond
 
 
 SCAN = "angle double, dist double, haze_angle array<double>, haze_dist array<double>, ridge_d array<double>, ridge_angle array<double>"
@@ -195,8 +216,12 @@ def occlusion_angle(targets: DataFrame, heights: Heights) -> DataFrame:
             out.append(math.degrees(math.atan(slope.max())) if len(slope) else None)
         return pd.Series(out, index=lat.index, dtype=object)
 
-    end = F.col("dist") - F.greatest(F.lit(300.0), 0.03 * F.col("dist")) - 1e-6
-    return targets.withColumn("occlusion", highest.asNondeterministic()("lat", "lon", "h0", "az", end))
+    return targets.withColumn("occlusion", highest.asNondeterministic()("lat", "lon", "h0", "az", before_target()))
+
+
+def before_target() -> Column:
+    """How far a target's ray goes: max(300 m, 3 %) short of it."""
+    return F.col("dist") - F.greatest(F.lit(300.0), 0.03 * F.col("dist")) - 1e-6
 
 
 def peak_views(observers: DataFrame, peaks: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
@@ -205,13 +230,21 @@ def peak_views(observers: DataFrame, peaks: DataFrame, terrain: Terrain, heights
     return views_of(in_range(observers, peaks), terrain, heights)
 
 
+def judged_peaks(near: DataFrame) -> DataFrame:
+    """near (h0, dist, p_ele, ground) with ele and angle; pairs without any elevation are left out."""
+    mapped = F.col("p_ele").isNotNull() & (F.col("ground").isNull() | (F.abs(F.col("p_ele") - F.col("ground")) < 400))
+    t = near.withColumn("ele", F.when(mapped, F.col("p_ele")).otherwise(F.col("ground"))).where("ele IS NOT NULL")
+    return t.withColumn("angle", geo.elevation_angle("h0", "ele", "dist"))
+
+
+def seen_peaks(judged: DataFrame) -> DataFrame:
+    return judged.withColumn("visible", F.coalesce(F.col("angle") >= F.col("occlusion") - 0.05, F.lit(True)))
+
+
 def views_of(near: DataFrame, terrain: Terrain, heights: Heights) -> DataFrame:
     """The same for chosen pairs of observers and peaks, as in_range gives them."""
-    ground = terrain(F.col("p_lat"), F.col("p_lon"))
-    mapped = F.col("p_ele").isNotNull() & (ground.isNull() | (F.abs(F.col("p_ele") - ground) < 400))
-    t = near.withColumn("ele", F.when(mapped, F.col("p_ele")).otherwise(ground)).where("ele IS NOT NULL")
-    seen = occlusion_angle(t.withColumn("angle", geo.elevation_angle("h0", "ele", "dist")), heights)
-    return seen.withColumn("visible", F.coalesce(F.col("angle") >= F.col("occlusion") - 0.05, F.lit(True)))
+    judged = judged_peaks(near.withColumn("ground", terrain(F.col("p_lat"), F.col("p_lon")))).drop("ground")
+    return seen_peaks(occlusion_angle(judged, heights))
 
 
 def visible_count(views: DataFrame) -> DataFrame:
@@ -229,13 +262,25 @@ def landmark_views(observers: DataFrame, towers: DataFrame, terrain: Terrain, he
     """Towers (id, lat, lon, kind, height) whose top stands 0.1 degrees above the skyline up to 35 km and above
     the terrain before them: az, dist, base, top, height_known."""
     near = in_range(observers, towers, TOWER_LEAST_M, TOWER_MOST_M)
+    t = judged_towers(near.withColumn("ground", terrain(F.col("p_lat"), F.col("p_lon"))))
+    sky = scanned_rays(dealt(tower_rays(t)), heights).select("obs_id", F.col("az").alias("bin_az"), F.col("angle").alias("sky"))
+    return seen_towers(occlusion_angle(t.join(sky, ["obs_id", "bin_az"], "left"), heights))
+
+
+def judged_towers(near: DataFrame) -> DataFrame:
+    """near (h0, dist, az, p_kind, p_height, ground) with tall, base, top, height_known and the azimuth of the ring's ray."""
     usual = F.create_map(*[F.lit(x) for kv in TOWER_HEIGHT.items() for x in kv])
-    t = near.withColumns({"ground": terrain(F.col("p_lat"), F.col("p_lon")), "tall": F.coalesce("p_height", F.try_element_at(usual, F.col("p_kind")))}).where("ground IS NOT NULL")
-    t = t.withColumns({"base": geo.elevation_angle("h0", "ground", "dist"), "top": geo.elevation_angle("h0", F.col("ground") + F.col("tall"), "dist"), "height_known": F.col("p_height").isNotNull(), "bin_az": geo.nearest_bin("az") * AZ_STEP})
-    needed = t.select("obs_id", "lat", "lon", "h0", F.lit(float(HAZE_M[1])).alias("radius"), F.col("bin_az").alias("az")).distinct()
-    sky = scanned_rays(dealt(needed), heights).select("obs_id", F.col("az").alias("bin_az"), F.col("angle").alias("sky"))
-    seen = occlusion_angle(t.join(sky, ["obs_id", "bin_az"], "left"), heights)
-    return seen.where((F.col("top") >= F.coalesce("sky", F.lit(-90.0)) + 0.1) & (F.coalesce(F.col("top") >= F.col("occlusion") + 0.1, F.lit(True))))
+    t = near.withColumn("tall", F.coalesce("p_height", F.try_element_at(usual, F.col("p_kind")))).where("ground IS NOT NULL")
+    return t.withColumns({"base": geo.elevation_angle("h0", "ground", "dist"), "top": geo.elevation_angle("h0", F.col("ground") + F.col("tall"), "dist"), "height_known": F.col("p_height").isNotNull(), "bin_az": geo.nearest_bin("az") * AZ_STEP})
+
+
+def tower_rays(t: DataFrame) -> DataFrame:
+    """The rays to 35 km on which towers stand, each once."""
+    return t.select("obs_id", "lat", "lon", "h0", F.lit(float(HAZE_M[1])).alias("radius"), F.col("bin_az").alias("az")).distinct()
+
+
+def seen_towers(t: DataFrame) -> DataFrame:
+    return t.where((F.col("top") >= F.coalesce("sky", F.lit(-90.0)) + 0.1) & (F.coalesce(F.col("top") >= F.col("occlusion") + 0.1, F.lit(True))))
 
 
 def relief_table(horizon: DataFrame, width: float = 1.5, step: float = AZ_STEP) -> DataFrame:
