@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vistaframe.functions import geo, sky, text
 from vistaframe.functions.steps import nested
-from vistaframe.operators import align, dataset, evidence, panorama, search, spatial
+from vistaframe.operators import align, dataset, evidence, panorama, raster_rays, search, spatial
 from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
 from vistaframe.sources import dem
@@ -285,6 +285,81 @@ def link_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panorama.link_ridges(points)
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """The written result of make(spark, sf_dir): several queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _made:
+        _made[key] = written(make(spark, sf_dir))
+    return _made[key]
+
+
+def _raster(spark, sf_dir) -> DataFrame:
+    """Tiles of the landscape, with halos, for all that towers see within 40 km."""
+    return dem.with_halo(dem.tiles_of(dealt(raster_rays.tiles_for_rays(_viewpoints(spark, sf_dir))), heights))
+
+
+def _raster_eyes(spark, sf_dir) -> DataFrame:
+    return raster_rays.eyes_on(_viewpoints(spark, sf_dir).drop("h0"), _once(spark, sf_dir, _raster))
+
+
+def _raster_ring(spark, sf_dir) -> DataFrame:
+    return raster_rays.ring_on(_once(spark, sf_dir, _raster_eyes), _once(spark, sf_dir, _raster))
+
+
+def _raster_peaks(spark, sf_dir) -> DataFrame:
+    return raster_rays.peak_views_on(_once(spark, sf_dir, _raster_eyes), derived(spark, sf_dir, "peaks"), _once(spark, sf_dir, _raster))
+
+
+@query()
+def raster_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ring_horizon from raster tiles instead of the formula."""
+    r = _once(spark, sf_dir, _raster_ring)
+    return r.select("obs_id", "az_bin", F.round("angle", 6).alias("angle"), F.round("dist", 3).alias("dist"), *[F.round(F.col("haze")[i]["angle"], 6).alias(f"haze_{m // 1000}") for i, m in enumerate(panorama.HAZE_M)], F.size("ridges").cast("long").alias("n_ridges"))
+
+
+@query()
+def raster_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks in range of each tower, seen or not over raster tiles, with their prominence over the ring and label score."""
+    views = panorama.skyline_relief(_once(spark, sf_dir, _raster_peaks), _once(spark, sf_dir, _raster_ring))
+    score = spatial.label_score(F.col("p_id") % 80, F.col("relief"), F.col("ele"))
+    return views.select("obs_id", "p_id", F.round("angle", 6).alias("angle"), F.round("occlusion", 6).alias("occlusion"), "visible", F.round("relief", 6).alias("relief"), F.round(score, 6).alias("score"))
+
+
+@query()
+def raster_visible_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many peaks each tower has in range, and sees."""
+    return panorama.visible_count(_once(spark, sf_dir, _raster_peaks))
+
+
+@query()
+def raster_ridge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge lines round every tower: ridge points of the ring linked, short ones below the skyline left out."""
+    ring = _once(spark, sf_dir, _raster_ring)
+    points = ring.select("obs_id", "az_bin", F.inline("ridges")).withColumnRenamed("d", "dist")
+    kept = panorama.prune_lines(panorama.link_ridges(points), ring)
+    return kept.select("obs_id", "line_id", "n", F.round("span", 6).alias("span"), "touches")
+
+
+@query()
+def raster_sun_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the sun rises and sets over each tower's own skyline on a day of its year."""
+    steps = _once(spark, sf_dir, _raster_eyes).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(144))))
+    path = sky.sun_position(spark.sql(_DAY, steps=steps))
+    out = panorama.terrain_events(path, _once(spark, sf_dir, _raster_ring), ["obs_id"])
+    return out.select("obs_id", F.round("rise", 4).alias("rise"), F.round("set", 4).alias("set"))
+
+
+@query()
+def raster_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Towers that stand out of the terrain of the tiles, seen from every tower."""
+    towers = _towers(spark, sf_dir).where("kind IS NOT NULL").select("id", "lat", "lon", "kind", "height")
+    v = raster_rays.landmark_views_on(_once(spark, sf_dir, _raster_eyes), towers, _once(spark, sf_dir, _raster))
+    return v.select("obs_id", "p_id", F.round("az", 6).alias("az"), F.round("dist", 3).alias("dist"), F.round("base", 6).alias("base"), F.round("top", 6).alias("top"), "height_known")
+
+
 def _rounded(df: DataFrame, key: list[str], *columns: str) -> DataFrame:
     return df.select(*key, *[F.round(c, 6).alias(c) for c in columns])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructType
 
+from vistaframe.streaming.sensors import HALF_LIFE_MS, LEAST_WEIGHT
+
 Machine = Callable[[dict | None, dict], tuple[dict | None, dict]]
 
 # fixed values, in degrees, metres and milliseconds
@@ -27,6 +30,8 @@ SAMPLE_MS, SAMPLE_MOST_MS, SAMPLE_M, SAMPLE_DEG = 20_000, 120_000, 200, 8
 MOVE_M, MOVE_MS, ACCURACY_M = 120, 15_000, 100
 UNVERIFIED_MS = 60_000
 TILT_MS, TILT_KEPT = 180_000, 40
+LEARN_DEG, OFF_DEG, OFF_SHARE = 15, 8, 0.2
+SOURCE_WEIGHT = {"skyline": 1.0, "stars": 1.0, "tower": 0.8, "pano": 0.7, "sun": 0.6, "moon": 0.6, "pitch": 0.5}
 
 
 def turn(a: float, b: float) -> float:
@@ -98,10 +103,39 @@ def recompute_trigger(state, e):
 
 def unverified_heading(state, e):
     """hint where no heading has matched for 60 s: sun if it stands 3 to 60 degrees high, else pan."""
-    since = e["t_ms"] if state is None or e["matched"] else state["since"]
-    late = not e["matched"] and e["t_ms"] - since >= UNVERIFIED_MS
-    hint = ("sun" if e["sun_alt"] is not None and 3 <= e["sun_alt"] <= 60 else "pan") if late else None
-    return {"since": since}, {"hint": hint}
+    fresh = state is None or e["matched"]
+    now = {"since": e["t_ms"], "told": False} if fresh else dict(state)
+    now["sun_alt"] = e["sun_alt"]
+    late = not e["matched"] and e["t_ms"] - now["since"] >= UNVERIFIED_MS
+    return now | {"told": now["told"] or late}, {"hint": _way(now["sun_alt"]) if late else None}
+
+
+def _way(sun_alt: float | None) -> str:
+    return "sun" if sun_alt is not None and 3 <= sun_alt <= 60 else "pan"
+
+
+def sensor_profile_update(state, e):
+    """learned_heading, learned_pitch and n after each correction (source, heading, pitch; null: none): means whose weights
+    halve in 21 days, null below a weight of 3. Headings beyond 15 degrees don't count; one over 8 degrees off the
+    learned one makes its correction count a fifth."""
+    s = state or {"hs": 0.0, "hc": 0.0, "hw": 0.0, "ps": 0.0, "pw": 0.0, "t": e["t_ms"]}
+    left = 0.5 ** (max(0, e["t_ms"] - s["t"]) / HALF_LIFE_MS)
+    s = {k: v * left for k, v in s.items() if k != "t"} | {"t": e["t_ms"]}
+    h, p, w = e["heading"], e["pitch"], SOURCE_WEIGHT.get(e["source"], 0.0)
+    if h is not None and abs(h) > LEARN_DEG:
+        h = None
+    if h is not None and s["hw"] >= LEAST_WEIGHT and abs(turn(h, math.degrees(math.atan2(s["hs"], s["hc"])))) > OFF_DEG:
+        w *= OFF_SHARE
+    if h is not None:
+        s |= {"hs": s["hs"] + w * math.sin(math.radians(h)), "hc": s["hc"] + w * math.cos(math.radians(h)), "hw": s["hw"] + w}
+    if p is not None:
+        s |= {"ps": s["ps"] + w * p, "pw": s["pw"] + w}
+    known = {
+        "learned_heading": math.degrees(math.atan2(s["hs"], s["hc"])) if s["hw"] >= LEAST_WEIGHT else None,
+        "learned_pitch": s["ps"] / s["pw"] if s["pw"] >= LEAST_WEIGHT else None,
+        "n": max(s["hw"], s["pw"]),
+    }
+    return s, known
 
 
 def tilt_calibration(state, e):
@@ -109,7 +143,7 @@ def tilt_calibration(state, e):
     null where there is none. tan(fov / 2) grows with the line's slope."""
     s = state or {"samples": [], "fov": e["fov"], "n": 0}
     samples = [x for x in s["samples"] if e["t_ms"] - x[0] < TILT_MS and x[3] == s["fov"]][-TILT_KEPT:]
-    samples.append([e["t_ms"], e["axis"], e["pitch"], s["fov"]])
+    samples.append([float(e["t_ms"]), e["axis"], e["pitch"], s["fov"]])
     xs, ys = [x[1] for x in samples], [x[2] for x in samples]
     n = len(xs)
     if n >= 8 and max(xs) - min(xs) >= 8:
@@ -135,6 +169,33 @@ OUTPUTS = {
     recompute_trigger: "recompute boolean",
     unverified_heading: "hint string",
     tilt_calibration: "fov_fit double, tilt double",
+    sensor_profile_update: "learned_heading double, learned_pitch double, n double",
+}
+#: What each machine remembers.
+STATE = {
+    pitch_band: "band string",
+    compass_disturbed: "big array<long>, until long",
+    confirm_heading: "target double, t long",
+    apply_correction: "heading double, pitch double",
+    training_sampler: "t_ms long, lat double, lon double, heading double",
+    recompute_trigger: "t_ms long, lat double, lon double",
+    unverified_heading: "since long, told boolean, sun_alt double",
+    tilt_calibration: "samples array<array<double>>, fov double, n long",
+    sensor_profile_update: "hs double, hc double, hw double, ps double, pw double, t long",
+}
+
+
+class Timer(NamedTuple):
+    """What a state has due: at which time (None: nothing), and the state and outputs then."""
+
+    due: Callable[[dict], int | None]
+    fire: Callable[[dict], tuple[dict, dict]]
+
+
+#: Alerts that end, and hints that come, when no event does.
+TIMERS = {
+    compass_disturbed: Timer(lambda s: s["until"] + 1 if s["until"] else None, lambda s: ({**s, "until": 0}, {"disturbed": False})),
+    unverified_heading: Timer(lambda s: None if s["told"] else s["since"] + UNVERIFIED_MS, lambda s: ({**s, "told": True}, {"hint": _way(s["sun_alt"])})),
 }
 
 
