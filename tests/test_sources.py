@@ -100,12 +100,18 @@ def test_samples_of_a_plane(spark):
             assert abs(got[k] - (x - 0.5 - 137000 + 2 * (y - 0.5 - 91900))) < 0.02
 
 
-def test_merge_equals_the_whole_loop(spark):
+@pytest.mark.parametrize("cells,most,sort", [(64, 100_000, False), (4, 60, True)])
+def test_merge_equals_the_whole_loop(spark, monkeypatch, cells, most, sort):
+    monkeypatch.setattr(dataset, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(dataset, "BLOCK_ROWS", most)
     r = random.Random(7)
     rows = [(k, k, r.choice(["Alp", "Älp", "Horn", "Piz"]), {"de": r.choice(["", "x", "y"])}, 46 + r.random() * 0.2, 8 + r.random() * 0.2, r.choice([None, 1000.0, 1010.0, 1030.0]), r.choice(["peak", "volcano"]), r.choice([None, "Q1", "Q2", "Q3"])) for k in range(1, 160)]
+    if sort:  # so that meetings wait for one another from one end to the other
+        rows = [(k, k, *x[2:]) for k, x in enumerate(sorted(rows, key=lambda x: x[5]), 1)]
     schema = "ordinal long, id long, name string, names map<string,string>, lat double, lon double, ele double, kind string, qid string"
     fame = {"Q1": 30, "Q2": 5}
-    got = {x.id: (x.ele, x.qid, dict(x.names)) for x in dataset.merge_duplicates(spark.createDataFrame(rows, schema), spark.createDataFrame(list(fame.items()), "qid string, n int")).collect()}
+    left, merged = dataset.merge_duplicates(spark.createDataFrame(rows, schema), spark.createDataFrame(list(fame.items()), "qid string, n int"))
+    got = {x.id: (x.ele, x.qid, dict(x.names)) for x in left.collect()}
     recs = [dict(zip(schema.replace("map<string,string>", "m").replace(" long", "").replace(" string", "").replace(" double", "").replace(" m", "").split(", "), x)) for x in rows]
     fold = lambda s: s.lower().replace("ä", "a")
     rank = lambda v: (0 if v["qid"] is None else fame.get(v["qid"], 1)) * 10 + (v["kind"] == "peak")
@@ -126,7 +132,7 @@ def test_merge_equals_the_whole_loop(spark):
                         keep["names"] = {k: keep["names"].get(k) or drop["names"].get(k) for k in keep["names"]}
                     keep["qid"] = keep["qid"] or drop["qid"]
                     gone.add(drop["id"])
-    assert gone and got == {v["id"]: (v["ele"], v["qid"], v["names"]) for v in recs if v["id"] not in gone}
+    assert gone and merged == len(gone) and got == {v["id"]: (v["ele"], v["qid"], v["names"]) for v in recs if v["id"] not in gone}
 
 
 def test_tiles_are_written_and_only_changes_rewritten(spark, tmp_path):
@@ -153,3 +159,12 @@ def test_progress_of_tiles(spark):
     needed = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "obs_id long, tile string")
     got = spark.createDataFrame([("a", True), ("b", False)], "tile string, ok boolean")
     assert sorted(map(tuple, panorama.tile_progress(needed, got).collect())) == [(1, 3, 2, 1), (2, 1, 1, 0)]
+
+
+def test_a_long_chain_of_duplicates_is_merged(spark):
+    """Each row is a duplicate of the next only: one component over many blocks."""
+    n = 20_000
+    rows = spark.range(1, n + 1).selectExpr("id AS ordinal", "id", "'Alp' AS name", "map('de', 'x') AS names", "10D AS lat", "id * 0.01 AS lon", "1000D AS ele", "'peak' AS kind", "CAST(null AS STRING) AS qid")
+    left, merged = dataset.merge_duplicates(rows, spark.createDataFrame([], "qid string, n int"))
+    # 0.01 degrees are 1095 m: row 1 takes 2; 3 takes 4, and so on
+    assert merged == n // 2 and left.agg({"id": "sum"}).first()[0] == (n // 2) ** 2

@@ -146,14 +146,21 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.duplicate_candidates(derived(spark, sf_dir, "peaks"))
 
 
-def _merged(spark, sf_dir) -> DataFrame:
+def _merged(spark, sf_dir) -> tuple[DataFrame, int]:
     p = derived(spark, sf_dir, "peaks").withColumns({"ordinal": F.col("id"), "names": F.create_map(F.lit("de"), F.col("name"))})
     return dataset.merge_duplicates(p, derived(spark, sf_dir, "fame"))
 
 
 @query()
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select("id", "name", "lat", "lon", "ele", "kind", "qid", "fame")
+    return _merged(spark, sf_dir)[0].select("id", "name", "lat", "lon", "ele", "kind", "qid", "fame")
+
+
+@query()
+def merged_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many peaks are left, and how many were merged into others."""
+    rows, merged = _merged(spark, sf_dir)
+    return rows.agg(F.count("*").alias("peaks"), F.lit(merged).cast("long").alias("merged"))
 
 
 _TILE = f"(SELECT concat(CAST(CAST(floor(lat) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lon) AS BIGINT) AS VARCHAR)) AS tile, * FROM {oracle('peaks')})"
@@ -641,7 +648,7 @@ def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MACHINE = doubles(
     "SELECT user_id AS device_id, event_id * 1000 AS t_ms, value * 0.4 - 20 AS correction, value * 0.9 - 45 AS pitch, value * 0.1 - 5 AS d_heading, value * 0.02 - 1 AS d_pitch, 0.0 AS offset_now, "
-    "46.0 + event_id % 40 * 0.001 AS lat, 8.0 AS lon, value * 3.6 AS heading, event_id % 130 + 0.0 AS accuracy, event_id % 9 = 0 AS matched, event_id % 80 - 10.0 AS sun_alt, 60.0 AS fov, event_id % 300 / 10.0 - 15 AS axis FROM {events}"
+    "46.0 + event_id % 40 * 0.001 AS lat, 8.0 AS lon, value * 3.6 AS heading, event_id % 130 + 0.0 AS accuracy, event_id % 9 = 0 AS matched, event_id % 80 - 10.0 AS sun_alt, 60.0 AS fov, event_id % 300 / 10.0 - 15 AS axis, event_id FROM {events}"
 )
 _STEPS = f"e AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t_ms) AS n FROM ({_MACHINE.replace('{events}', 'events')}))"
 
@@ -695,7 +702,29 @@ def _machine(name: str):
 
 
 for _m in machines.OUTPUTS:
-    _machine(_m.__name__)
+    if _m is not machines.sensor_profile_update:
+        _machine(_m.__name__)
+
+
+_SOURCE = "CASE event_id % 4 WHEN 0 THEN 'skyline' WHEN 1 THEN 'tower' WHEN 2 THEN 'sun' ELSE 'pitch' END"
+_FRESH = f"(CASE e.event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.5 END)"
+_LEFT = "power(0.5, (e.t_ms - r.s_t) / 1814400000.0)"
+_LEARNED = "degrees(atan2(r.hs, r.hc))"
+_WEIGHT = f"({_FRESH} * CASE WHEN abs(e.correction) <= 15 AND r.hw * {_LEFT} >= 3 AND abs({g.delta('e.correction', _LEARNED)}) > 8 THEN 0.2 ELSE 1.0 END)"
+_ADDED = {"hs": "sin(radians(e.correction))", "hc": "cos(radians(e.correction))", "hw": "1.0"}
+_LEARN = {k: tuple(doubles(x) for x in (f"CASE WHEN abs(e.correction) <= 15 THEN {_FRESH} * {v} ELSE 0.0 END", f"r.{k} * {_LEFT} + CASE WHEN abs(e.correction) <= 15 THEN {_WEIGHT} * {v} ELSE 0.0 END")) for k, v in _ADDED.items()}
+_LEARN |= {k: tuple(doubles(x) for x in (f"{_FRESH} * {v}", f"r.{k} * {_LEFT} + {_WEIGHT} * {v}")) for k, v in {"ps": "e.d_pitch", "pw": "1.0"}.items()}
+
+
+@query(
+    _folded({"s_t": ("t_ms", "e.t_ms"), **_LEARN}, "round(CASE WHEN hw >= 3 THEN degrees(atan2(hs, hc)) END, 6) AS learned_heading, round(CASE WHEN pw >= 3 THEN ps / pw END, 6) AS learned_pitch, round(greatest(hw, pw), 6) AS n")
+)
+def sensor_profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each device has learned after each correction."""
+    e = spark.sql(_MACHINE, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    e = e.select("device_id", "t_ms", F.expr(_SOURCE).alias("source"), F.col("correction").alias("heading"), F.col("d_pitch").alias("pitch"))
+    out = machines.replay(e, "device_id", machines.sensor_profile_update)
+    return out.select("device_id", "t_ms", *[F.round(c, 6).alias(c) for c in ("learned_heading", "learned_pitch", "n")])
 
 
 _CAMERA = ["0D AS roll", "34D AS hfov", "390 AS width", "844 AS height"]
