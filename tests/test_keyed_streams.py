@@ -141,3 +141,58 @@ def test_a_profile_on_a_stream_is_that_of_the_table(spark, tmp_path):
     for x in sorted(found, key=lambda x: (x.as_of_ms, x.el is not None)):
         last[x.device_id, x.bin] = x.el
     assert all(v is None for (d, _), v in last.items() if d < 3) and last[3, 2] == 1.0
+
+
+def test_routes_of_a_table_and_of_a_stream_that_restarts_agree(spark, tmp_path):
+    from vistaframe.streaming import fusion
+
+    r = random.Random(12)
+    schema = "device_id long, t_ms long, kind string, alpha double, heading double, pitch double, roll double, compass_heading double, accuracy double, held boolean"
+    rows, t = [], 10**6
+    for i in range(240):
+        t += r.choice([20, 90, 250, 900]) if i % 40 else 3000
+        absolute = r.random() < 0.25
+        compass = None if absolute or r.random() < 0.8 else r.uniform(0, 360)
+        rows.append((1 + i % 2, t, "absolute" if absolute else "relative", r.uniform(0, 360), r.choice([None, r.uniform(0, 360)]) if i % 9 == 0 else r.uniform(0, 360), 1.0, 2.0, compass, r.choice([None, -1.0, 5.0]), r.random() < 0.2))
+    names = [c.split()[0] for c in schema.split(", ")]
+    events = [dict(zip(names, x)) for x in rows]
+    outs = ("route", "out_heading", "out_pitch", "out_roll")
+    want = {}
+    for d in (1, 2):
+        state = None
+        for e in (x for x in events if x["device_id"] == d):
+            state, given = fusion.routed(state, e)
+            want[d, e["t_ms"]] = tuple(given.values())
+    assert {x[0] for x in want.values()} == {None, "absolute", "compass", "relative", "fused"}
+
+    def same(found):
+        for x in found:
+            a, b = tuple(x[o] for o in outs), want[x.device_id, x.t_ms]
+            assert a[0] == b[0] and a[2:] == b[2:] and (a[1] is None) == (b[1] is None)
+            assert a[1] is None or abs((a[1] - b[1] + 180) % 360 - 180) < 1e-9
+
+    table = fusion.orientation_route(spark.createDataFrame(events, schema)).collect()
+    assert len(table) == len(events)
+    same(table)
+    feed = Feed(spark, tmp_path, schema)
+    make = lambda s: fusion.orientation_route(s, streaming=True)
+    one, two, three = shuffled(r, events, 8_000)
+    feed.run(make, "routes", one, two)
+    tick = lambda ms: [dict(events[0], device_id=3, t_ms=t + ms)]
+    found = [x for x in feed.run(make, "routes", three, tick(50_000), tick(51_000)) if x.device_id < 3]
+    assert len(found) == len(events)
+    same(found)
+
+
+def test_headings_fused_on_a_stream(spark, tmp_path):
+    from vistaframe.streaming import fusion
+
+    r = random.Random(1)
+    schema = "device_id long, t_ms long, kind string, heading double"
+    events = [{"device_id": 1, "t_ms": 10**6 + i * 70 + r.randrange(60), "kind": r.choice(["compass", "gyro"]), "heading": r.uniform(0, 360)} for i in range(150)]
+    want = {x.t_ms: x.fused for x in fusion.heading_fusion(spark.createDataFrame(events, schema)).collect()}
+    feed = Feed(spark, tmp_path, schema)
+    ticks = [[{"device_id": 2, "t_ms": 2 * 10**6 + i, "kind": "compass", "heading": 1.0}] for i in (0, 10)]
+    found = {x.t_ms: x.fused for x in feed.run(lambda s: fusion.heading_fusion(s, streaming=True), "fused", *shuffled(r, events, 5_000), *ticks)}
+    assert found.keys() == want.keys() and all((v is None) == (found[t] is None) and (v is None or abs((v - found[t] + 180) % 360 - 180) < 1e-9) for t, v in want.items())
+    assert sum(v is not None for v in want.values()) > 20

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaframe.functions.geo import delta_deg
+from vistaframe.streaming import keyed
 from vistaframe.streaming.machines import Machine, replay, stream, turn
 
 # fixed values: time constants of the compass offset (s; the slower one while held), oldest gyro value for a compass
@@ -20,62 +21,80 @@ SMOOTHING, SPEED_CUT = {"compass": ((0.06, 0.15, 0.1), 0.01), "fused": ((1.2, 1.
 MATCH_HOLDS_MS, LEARNED_HEADING, LEARNED_PITCH = 30_000, 15, 20
 
 
-def moved_offset(state: dict | None, seen: float, t: float, held: bool = False) -> dict:
-    """The offset of gyro to compass, drawn to a newly seen one by the share of time that has passed."""
-    if state is None:
-        return {"offset": seen, "t": t}
-    passed = min(1.0, max(0.0, (t - state["t"]) / 1000))
-    return {"offset": state["offset"] - turn(seen, state["offset"]) * math.expm1(-passed / (HELD_TAU_S if held else TAU_S)), "t": t}
+def drawn(offset: float | None, at: float | None, seen: float, t: float, held: bool) -> float:
+    """The offset of gyro to compass at time t: the one seen first, later drawn to what is seen by the share of time that
+    has passed."""
+    if offset is None:
+        return seen
+    passed = min(1.0, max(0.0, (t - at) / 1000))
+    return offset - turn(seen, offset) * math.expm1(-passed / (HELD_TAU_S if held else TAU_S))
 
 
-def _offsets(state, e):
-    """offset after each event; only events with a fresh pair of compass and gyro move it."""
+DRIFT_STATE, DRIFT = "offset double, offset_t long, cos double, sin double", "offset double, north double"
+
+
+def drift(state, e):
+    """offset (gyro to compass) and north (the turn of a relative heading) after each event: seen moves the one, and
+    north_seen, in degrees, is a new vector in the slow mean of the other."""
+    s = dict.fromkeys(("offset", "offset_t", "cos", "sin")) | (state or {})
     if e["seen"] is not None:
-        state = moved_offset(state, e["seen"], e["t_ms"], bool(e["held"]))
-    return state, {"offset": state and state["offset"]}
+        s |= {"offset": drawn(s["offset"], s["offset_t"], e["seen"], e["t_ms"], bool(e["held"])), "offset_t": e["t_ms"]}
+    if e["north_seen"] is not None:
+        for name, f in (("cos", math.cos), ("sin", math.sin)):
+            new = f(math.radians(e["north_seen"]))
+            s[name] = new if s[name] is None else s[name] + (new - s[name]) * NORTH_SHARE
+    return s, {"offset": s["offset"], "north": None if s["cos"] is None else math.degrees(math.atan2(s["sin"], s["cos"]))}
+
 
+def _before(what, when) -> Column:
+    """The last value of `what` in a device's earlier rows where `when` holds."""
+    w = Window.partitionBy("device_id").orderBy("t_ms", "_order").rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(when, what), ignorenulls=True).over(w)
 
-def heading_fusion(events: DataFrame) -> DataFrame:
+
+def heading_fusion(events: DataFrame, streaming: bool = False) -> DataFrame:
     """(device_id, t_ms, fused) for gyro events of (device_id, t_ms, kind, heading, if known held): kind compass or gyro;
     null until a compass value has come within 200 ms after a gyro one. Compass events count before gyro ones of
-    the same time; a null heading is no event.
+    the same time; a null heading is no event. On a stream, rows come once the watermark has passed them.
 
-    A window finds the gyro value before each compass value; only the offset is state."""
-    w = Window.partitionBy("device_id").orderBy("t_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    Over a table, a window finds the gyro value before each compass value; only the offset is state."""
     held = F.col("held") if "held" in events.columns else F.lit(False)
-    x = events.where("heading IS NOT NULL").withColumns({"held": held, "gyro": F.last(F.when(F.col("kind") == "gyro", F.struct("t_ms", "heading")), ignorenulls=True).over(w)})
-    fresh = (F.col("kind") == "compass") & (F.col("t_ms") - F.col("gyro.t_ms") <= GYRO_STALE_MS)
-    x = x.select("device_id", "t_ms", "kind", "heading", F.when(fresh, delta_deg("heading", "gyro.heading")).alias("seen"), "held")
-    out = replay(x, "device_id", _offsets, "offset double")
+    x = events.where("heading IS NOT NULL").select("device_id", "t_ms", "kind", "heading", held.alias("held"))
+    if streaming:
+        out = keyed.ordered(x, "device_id", fused, "offset double", FUSED_STATE)
+    else:
+        x = x.withColumn("_order", F.struct("kind", "heading"))
+        gyro = _before(F.struct("t_ms", "heading"), F.col("kind") == "gyro")
+        x = x.withColumn("gyro", gyro)
+        fresh = (F.col("kind") == "compass") & (F.col("t_ms") - F.col("gyro.t_ms") <= GYRO_STALE_MS)
+        x = x.select("device_id", "t_ms", "kind", "heading", F.when(fresh, delta_deg("heading", "gyro.heading")).alias("seen"), "held", F.lit(None).cast("double").alias("north_seen"))
+        out = replay(x, "device_id", drift, DRIFT)
     return out.where("kind = 'gyro'").select("device_id", "t_ms", F.pmod(F.col("heading") + F.col("offset"), F.lit(360.0)).alias("fused"))
 
 
-def _route(state, e):
-    """What an orientation event shows, see orientation_route."""
-    s = dict(state or {"offset": None, "absolute": None, "relative": None, "gyro": None, "north": None})
-    t, show = e["t_ms"], lambda route, heading: {"route": route, "out_heading": heading % 360, "out_pitch": e["pitch"], "out_roll": e["roll"]}
-    quiet = {"route": None, "out_heading": None, "out_pitch": None, "out_roll": None}
-    if e["heading"] is None:
-        return state, quiet
-    if e["kind"] == "absolute":
-        s["absolute"] = t
-        if s["gyro"] and t - s["gyro"]["t"] <= GYRO_STALE_MS:
-            s["offset"] = moved_offset(s["offset"], turn(e["heading"], s["gyro"]["heading"]), t, bool(e["held"]))
-        led = s["relative"] is not None and t - s["relative"] < GYRO_SILENT_MS and s["offset"]
-        return s, quiet if led else show("absolute", e["heading"])
-    if e["compass_heading"] is not None and (e["accuracy"] or 0) >= 0:
-        off = math.radians(-e["compass_heading"] - e["alpha"])
-        seen, was = (math.cos(off), math.sin(off)), s["north"]
-        s["north"] = [a + (b - a) * NORTH_SHARE for a, b in zip(was, seen)] if was else list(seen)
-        return s, show("compass", e["heading"] - math.degrees(math.atan2(s["north"][1], s["north"][0])))
-    s["relative"] = t
-    if s["absolute"] is None or t - s["absolute"] >= NORTH_STALE_MS:
-        return s, show("relative", e["heading"])
-    s["gyro"] = {"heading": e["heading"], "t": t}
-    return s, show("fused", e["heading"] + s["offset"]["offset"]) if s["offset"] else quiet
+FUSED_STATE = "gyro_t long, gyro double, offset double, offset_t long"
+
+
+def fused(state, e):
+    """heading_fusion's offset, event by event."""
+    s = dict.fromkeys(("gyro_t", "gyro", "offset", "offset_t")) | (state or {})
+    if e["kind"] == "gyro":
+        s |= {"gyro_t": e["t_ms"], "gyro": e["heading"]}
+    elif s["gyro_t"] is not None and e["t_ms"] - s["gyro_t"] <= GYRO_STALE_MS:
+        s |= {"offset": drawn(s["offset"], s["offset_t"], turn(e["heading"], s["gyro"]), e["t_ms"], bool(e["held"])), "offset_t": e["t_ms"]}
+    return s, {"offset": s["offset"]}
 
 
 ROUTE = "route string, out_heading double, out_pitch double, out_roll double"
+ROUTE_STATE = f"absolute long, plain long, gyro_t long, gyro double, {DRIFT_STATE}"
+_NAMES = [c.split()[0] for c in ROUTE_STATE.split(", ")]
+
+
+def _kinds() -> tuple[Column, Column, Column]:
+    """Absolute events; relative ones with a compass heading that is valid; other relative ones."""
+    absolute = F.col("kind") == "absolute"
+    compass = ~absolute & F.col("compass_heading").isNotNull() & (F.coalesce("accuracy", F.lit(0)) >= 0)
+    return absolute, compass, ~absolute & ~compass
 
 
 def orientation_route(events: DataFrame, streaming: bool = False) -> DataFrame:
@@ -84,8 +103,51 @@ def orientation_route(events: DataFrame, streaming: bool = False) -> DataFrame:
 
     Absolute events teach the offset and are shown unless gyro events less than 300 ms old lead; relative ones with
     a valid compass heading are shown turned north by a slow mean; other ones are fused while the last absolute
-    one is less than 2 s old, else shown raw. Events without a heading are passed over."""
-    return (stream if streaming else replay)(events, "device_id", _route, ROUTE)
+    one is less than 2 s old, else shown raw. Events without a heading are passed over. On a stream, rows come once the
+    watermark has passed them.
+
+    Over a table, windows find what came last of each kind; only the offset and the mean turn are state."""
+    if streaming:
+        return keyed.ordered(events, "device_id", routed, ROUTE, ROUTE_STATE).drop("timer")
+    names = events.columns
+    rest = [c for c in names if c not in ("device_id", "t_ms")]
+    x = events.withColumn("_order", F.struct(*rest))
+    absolute, compass, plain = (F.col("heading").isNotNull() & k for k in _kinds())
+    x = x.withColumns({"_absolute": _before(F.col("t_ms"), absolute), "_plain": _before(F.col("t_ms"), plain)})
+    north = F.coalesce(F.col("t_ms") - F.col("_absolute") < NORTH_STALE_MS, F.lit(False))
+    x = x.withColumn("_gyro", _before(F.struct("t_ms", "heading"), plain & north))
+    fresh = absolute & (F.col("t_ms") - F.col("_gyro.t_ms") <= GYRO_STALE_MS)
+    x = x.withColumns({"seen": F.when(fresh, delta_deg("heading", "_gyro.heading")), "north_seen": F.when(compass, -F.col("compass_heading") - F.col("alpha"))})
+    x = replay(x.drop("_order"), "device_id", drift, DRIFT)
+    led = F.coalesce(F.col("t_ms") - F.col("_plain") < GYRO_SILENT_MS, F.lit(False)) & F.col("offset").isNotNull()
+    route = F.when(absolute & ~led, "absolute").when(compass, "compass").when(plain & ~north, "relative").when(plain & F.col("offset").isNotNull(), "fused")
+    turned = F.col("heading") + F.when(route == "fused", F.col("offset")).when(route == "compass", -F.col("north")).otherwise(0.0)
+    shown = route.isNotNull()
+    return x.select(*names, route.alias("route"), F.when(shown, F.pmod(turned, F.lit(360.0))).alias("out_heading"), *[F.when(shown, F.col(c)).alias(f"out_{c}") for c in ("pitch", "roll")])
+
+
+def routed(state, e):
+    """orientation_route, event by event."""
+    was = dict.fromkeys(_NAMES) | (state or {})
+    if e["heading"] is None:
+        return state, dict.fromkeys(("route", "out_heading", "out_pitch", "out_roll"))
+    t, absolute = e["t_ms"], e["kind"] == "absolute"
+    compass = not absolute and e["compass_heading"] is not None and (e["accuracy"] or 0) >= 0
+    since = {k: math.inf if was[k] is None else t - was[k] for k in ("absolute", "plain", "gyro_t")}
+    north = since["absolute"] < NORTH_STALE_MS
+    seen = turn(e["heading"], was["gyro"]) if absolute and since["gyro_t"] <= GYRO_STALE_MS else None
+    moved, now = drift({k: was[k] for k in ("offset", "offset_t", "cos", "sin")}, {"t_ms": t, "held": e["held"], "seen": seen, "north_seen": -e["compass_heading"] - e["alpha"] if compass else None})
+    if absolute:
+        route = None if since["plain"] < GYRO_SILENT_MS and now["offset"] is not None else "absolute"
+        last = {"absolute": t}
+    elif compass:
+        route, last = "compass", {}
+    else:
+        route = "relative" if not north else "fused" if now["offset"] is not None else None
+        last = {"plain": t} | ({"gyro_t": t, "gyro": e["heading"]} if north else {})
+    by = {"fused": now["offset"], "compass": now["north"] and -now["north"]}.get(route) or 0.0
+    shown = {"route": route, "out_heading": (e["heading"] + by) % 360, "out_pitch": e["pitch"], "out_roll": e["roll"]}
+    return was | moved | last, shown if route else dict.fromkeys(shown)
 
 
 def smoothing(source: str = "compass") -> Machine:
