@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from vistaframe.functions import geo, sky, text
 from vistaframe.functions.steps import nested
-from vistaframe.operators import align, dataset, evidence, panorama, raster_rays, search, spatial
+from vistaframe.operators import align, dataset, evidence, panorama, publishing, raster_rays, search, spatial
 from vistaframe.plans import sqlgeo as g
 from vistaframe.plans.derived import derived, doubles, oracle
-from vistaframe.sources import dem
-from vistaframe.shared import dealt, written
+from vistaframe.shared import dealt, shared_dir, written
+from vistaframe.sources import dem, readers
 from vistaframe.streaming import fusion, machines, sensors
 
 QUERIES: dict = {}
@@ -166,6 +166,17 @@ def merged_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TILE = f"(SELECT concat(CAST(CAST(floor(lat) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(lon) AS BIGINT) AS VARCHAR)) AS tile, * FROM {oracle('peaks')})"
 
 
+@query(
+    f"SELECT p.id, p.name, round(lat, 5) AS lat, round(lon, 5) AS lon, ele, CASE WHEN p.qid IS NULL THEN 0 ELSE coalesce(f.n, 1) END AS fame, p.qid FROM {oracle('peaks')} p LEFT JOIN {oracle('fame')} f ON f.qid = p.qid"
+)
+def tile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks published as tiles and read back."""
+    root = shared_dir(spark)
+    peaks = dataset.fame_join(derived(spark, sf_dir, "peaks"), derived(spark, sf_dir, "fame")).withColumn("names", F.create_map(F.lit("de"), F.col("name")))
+    publishing.publish(spark, root, dataset.tile_rows(peaks), "first")
+    return readers.peaks_of_rows(publishing.published(spark, root), "rows").select("id", "name", "lat", "lon", "ele", "fame", "qid")
+
+
 @query(f"SELECT tile, count(*) AS n, CAST(min(id) AS BIGINT) AS first_id, CAST(max(id) AS BIGINT) AS last_id FROM {_TILE} GROUP BY tile")
 def tile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = dataset.fame_join(derived(spark, sf_dir, "peaks"), derived(spark, sf_dir, "fame")).withColumn("names", F.create_map(F.lit("de"), F.col("name")))

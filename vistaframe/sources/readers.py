@@ -68,15 +68,23 @@ def read_overpass_json(spark: SparkSession, path: str, lat: int, lon: int) -> Da
     return t.where((F.col("lat") < lat + 1) & (F.col("lon") < lon + 1) & F.col("kind").isNotNull())
 
 
+def _rows_of(tiles: DataFrame, column: str) -> DataFrame:
+    return tiles.select(F.explode(F.from_json(column, "array<array<string>>")).alias("r"))
+
+
 def _tile_rows(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.text(path, wholetext=True)
-    return t.select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
+    return _rows_of(spark.read.text(path, wholetext=True), "value")
 
 
 def read_peak_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Peaks of tiles of positional rows; empty translations are left out, fame defaults to 0."""
+    return peaks_of_rows(spark.read.text(path, wholetext=True), "value")
+
+
+def peaks_of_rows(tiles: DataFrame, column: str) -> DataFrame:
+    """The same of tiles whose text is a column."""
     at = lambda i: F.try_element_at("r", F.lit(i))
-    return _tile_rows(spark, path).select(
+    return _rows_of(tiles, column).select(
         at(1).cast("long").alias("id"), at(5).alias("name"), _names({k: at(6 + i) for i, k in enumerate(LANGS)}).alias("names"), at(2).cast("double").alias("lat"), at(3).cast("double").alias("lon"), at(4).cast("double").alias("ele"), F.coalesce(at(10).cast("long"), F.lit(0)).alias("fame"), at(11).alias("qid")
     )
 
