@@ -43,3 +43,13 @@ def test_stages_take_effect(spark, tmp_path):
     assert len(seen[3]) == len(seen[2]) == len(seen[4])
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, run)) == sorted(map(str, seen[4])) and docs
+
+
+def test_the_row_kept_of_an_id_is_defined(spark, tmp_path):
+    from vistaframe.llm import stages
+
+    rows = [(7, "beta one two", "de"), (7, "alpha one two", "fr"), (7, "alpha one two", "en"), (8, None, "x"), (8, "something", "a"), (None, None, "n"), (None, None, "n")]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string, component_id string").repartition(3)
+        got = sorted(map(tuple, stages.one_of_each_group(spark, d, str(tmp_path)).collect()), key=str)
+        assert got == sorted([(7, "alpha one two", "en"), (8, None, "x"), (None, None, "n"), (None, None, "n")], key=str)
