@@ -119,8 +119,8 @@ def build_sky_catalogue(stars: DataFrame, names: DataFrame, cons: DataFrame, lin
     def named(prefix=""):
         return F.coalesce(_some(F.try_element_at("names", F.lit(lang))), "name")
 
-    s = stars.where(F.col("mag") <= FAINTEST).join(F.broadcast(names), "id", "left")
+    s = stars.where(F.col("mag") <= FAINTEST).join(names, "id", "left")
     s = s.select("id", F.round(F.pmod("lon", F.lit(360.0)), 3).alias("ra"), F.round("lat", 3).alias("dec"), "mag", "bv", F.when(F.col("mag") <= NAMED_MAG, named()).alias("name")).orderBy("mag", "id")
-    c = cons.join(F.broadcast(lines), "id", "left")
+    c = cons.join(lines, "id", "left")
     place = F.coalesce("display", F.array("lon", "lat"))
     return s, c.select("id", named().alias("name"), F.pmod(place[0], F.lit(360.0)).alias("label_ra"), place[1].alias("label_dec"), "lines")
