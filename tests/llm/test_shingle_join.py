@@ -5,6 +5,7 @@ import pytest
 
 from vistaframe.llm import shingle_join
 from vistaframe.llm.shingle_join import shingle_components
+from vistaframe.operators import graph
 
 
 def brute(rows, k, percent):
@@ -101,3 +102,21 @@ def test_a_crowd_of_near_copies_takes_few_comparisons(n):
         joined.join(i, j)
     assert len(set(joined.root.tolist())) == 1
     assert met < 60 * n  # of n * n / 2 pairs
+
+
+def test_a_large_cluster_takes_few_steps(spark, monkeypatch):
+    """Trees hold each document once, so their labels need no search for components: a table with a large group of near
+    copies took hundreds of stages for those."""
+    found, tables = [0], [0]
+
+    def counted(f, n):
+        return lambda *x: n.__setitem__(0, n[0] + 1) or f(*x)
+
+    monkeypatch.setattr(shingle_join, "NODE", 16)
+    monkeypatch.setattr(shingle_join, "components", counted(shingle_join.components, found))
+    for module in (graph, shingle_join):
+        monkeypatch.setattr(module, "written", counted(module.written, tables))
+    rows = fixture(7, 150)
+    got = sorted((tuple(x) for x in shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85)
+    assert found[0] <= 2 and tables[0] <= 28, (found, tables)

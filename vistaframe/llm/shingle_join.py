@@ -167,9 +167,10 @@ class Joined:
 
 
 def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the documents into their components: pairs already joined are passed over.
+    """(label, least) for each label but the least of those that links join.
 
-    Only pairs with an `asked` document are compared. Documents with one label start out joined.
+    Only pairs with an `asked` document are compared, those joined already are passed over. Documents with one label start
+    out joined.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     maps = folded([bitmap(s) for s in sets])
@@ -181,15 +182,16 @@ def linked(ids: list[int], labels: list, sets: list[np.ndarray], asked: np.ndarr
     for at, i in enumerate(order):
         for x in (("label", labels[i]), ("id", ids[i])):
             joined.join(at, seen.setdefault(x, at))
-    out = []
     for x, y in tree.candidates(percent, joined):
         i, j = order[x], order[y]
         if (asked[i] or asked[j]) and joined.root[x] != joined.root[y]:
             overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if alike(overlap, int(sizes[i]), int(sizes[j]), percent):
                 joined.join(x, y)
-                out.append((ids[i], ids[j]))
-    return out
+    least: dict = {}
+    for r, i in zip(joined.root.tolist(), order):
+        least[r] = min(least.get(r, labels[i]), labels[i])
+    return sorted({(labels[i], least[r]) for r, i in zip(joined.root.tolist(), order) if labels[i] != least[r]})
 
 
 def _frequent(docs: DataFrame, k: int) -> pd.DataFrame:
@@ -356,9 +358,10 @@ def _pruned(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
 
 
 def _solved(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) within each group by `keys`; small groups are handed out together."""
-    total = rows.count()
-    packs = max(1, total // 512, (rows.agg(F.sum(F.length("tokens"))).first()[0] or 0) // PACK_BYTES)
+    """(label, least) for each label but the least of those that links join within a group by `keys`; small groups are
+    handed out together."""
+    total, size = rows.agg(F.count("*"), F.sum(F.length("tokens"))).first()
+    packs = max(1, total // 512, (size or 0) // PACK_BYTES)
     rows = rows.withColumn("pack", F.pmod(F.xxhash64(*keys), F.lit(packs))).select("pack", *keys, "doc_id", "label", "asked", "tokens")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -367,9 +370,9 @@ def _solved(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
             if len(g) > 1:
                 sets = [np.frombuffer(t, U) for t in g.tokens]
                 out += linked(g.doc_id.tolist(), g.label.tolist(), sets, g.asked.to_numpy(), percent)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(out, columns=["label", "least"]).astype("int64")
 
-    return rows.groupBy("pack").applyInPandas(solve, "a long, b long")
+    return rows.groupBy("pack").applyInPandas(solve, "label long, least long")
 
 
 def _in_nodes(rows: DataFrame, seed: int) -> DataFrame:
@@ -378,44 +381,45 @@ def _in_nodes(rows: DataFrame, seed: int) -> DataFrame:
     return rows.join(sizes, "cluster").withColumn("node", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "nodes"))
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links).withColumnsRenamed({"node": "doc_id", "label": "found"})
-    return rows.drop("label").join(labels, "doc_id", "left").withColumn("label", F.coalesce("found", "doc_id")).drop("found")
+def _relabelled(labels: DataFrame, ties: DataFrame) -> DataFrame:
+    """The labels (doc_id, label) with each label that `ties` (label, least) hold replaced, and the ties themselves."""
+    new = labels.join(ties, "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
+    return new.union(ties.select("label", "least"))
 
 
-def _links(clustered: DataFrame, percent: int) -> DataFrame:
-    """Links that join each cluster's documents into their components.
+def _labels(clustered: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, label) of documents linked with a smaller one, and ties (label, least) still to be followed, if any.
 
     Clusters over NODE documents: trees of NODE documents first, then one document of each component
-    found is compared across trees until one tree holds them. Last, each document outside a cluster's
-    largest component is compared with all others, so no link between components is missed.
+    found is compared across trees until one tree holds them. Each document is in one tree at a time, so that its tree gives
+    its label. Last, each document outside a cluster's largest component is compared with all others, so no link between
+    components is missed.
     """
     start = _in_nodes(clustered, 0).withColumns({"label": F.col("doc_id"), "asked": F.lit(True)})
     start = written(start)
-    links = written(_solved(start, ["cluster", "node"], percent))
-    big = start.where("nodes > 1").drop("node", "nodes")
+    labels = written(_solved(start, ["cluster", "node"], percent).toDF("doc_id", "label"))
+    big = start.where("nodes > 1").select("cluster", "doc_id", "tokens")
     if big.limit(1).count() == 0:
-        return links
+        return labels, None
     big = written(big)
     left = big.count()
     while True:
-        labelled = written(_labelled(big, links))
-        heads = labelled.where("doc_id = label")
+        heads = big.join(labels, "doc_id", "left_anti").withColumns({"label": F.col("doc_id"), "asked": F.lit(True)})
         heads = written(_in_nodes(heads, 1))
         n, most = heads.agg(F.count("*"), F.max("nodes")).first()
         if n > left // 2:
             break
-        links = written(links.union(_solved(heads, ["cluster", "node"], percent)))
+        labels = written(_relabelled(labels, written(_solved(heads, ["cluster", "node"], percent))))
         if most == 1:
-            labelled = written(_labelled(big, links))
             break
         left = n
+    labelled = written(big.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
     main = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     parts = labelled.join(main, "cluster")
     out = _in_nodes(parts.where("label <> main"), 2).withColumnsRenamed({"node": "o", "nodes": "os"})
     out = written(out)
     if out.limit(1).count() == 0:
-        return links
+        return labels, None
     counts = out.select("cluster", "os").distinct()
     every = written(_in_nodes(parts.join(counts, "cluster"), 3))
     trees = every.select("cluster", "nodes").distinct()
@@ -423,7 +427,20 @@ def _links(clustered: DataFrame, percent: int) -> DataFrame:
     two = every.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1))).withColumn("asked", F.lit(False))
     cols = ["cluster", "o", "node", "doc_id", "label", "asked", "tokens"]
     met = one.select(cols).union(two.select(cols))
-    return links.union(_solved(met, ["cluster", "o", "node"], percent))
+    return labels, written(_solved(met, ["cluster", "o", "node"], percent))
+
+
+def _followed(labels: DataFrame, ties: DataFrame | None, again: DataFrame) -> DataFrame:
+    """The labels with ties between them and the pairs `again` (a, b) of documents followed to the least document."""
+    again = written(again)
+    if again.limit(1).count():
+        for end in ("a", "b"):
+            again = again.join(labels.toDF(end, "found"), end, "left").withColumn(end, F.coalesce("found", end)).drop("found")
+        ties = again.select("a", "b").union(ties) if ties else again
+    if ties is None or ties.limit(1).count() == 0:
+        return labels
+    least = written(components(ties.toDF("a", "b")).toDF("label", "least").where("label <> least"))
+    return written(_relabelled(labels, least))
 
 
 def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -464,7 +481,7 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     members = docs.join(listed(clusters), "doc_id").select("cluster", "doc_id", "text")
     clustered = written(members.mapInPandas(sets, "cluster long, doc_id long, tokens binary").where("length(tokens) > 0"))
-    labels = written(components(_links(clustered, percent).union(again)).toDF("first", "label"))
+    labels = _followed(*_labels(clustered, percent), again).toDF("first", "label")
     by_set = same.join(labels, "first", "left").select(*sig, F.coalesce("label", "first").alias("of_set"))
     rows = described.select("doc_id", *sig).join(by_set, sig, "left").join(labels.withColumnsRenamed({"first": "doc_id", "label": "of_doc"}), "doc_id", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "of_set", "doc_id")).alias("component_id"))
