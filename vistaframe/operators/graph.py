@@ -56,8 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
     most, so no neighbourhood is ever held in one place. The rounds end when nothing changes: then nodes are tied to their
     least only. Nodes are those that occur in an edge between two different nodes.
     """
-    e = contracted(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")))
-    e = written(contracted(e.repartition("a")))
+    # written first, so that no task holds the Python workers of what makes the edges beside those of the contraction
+    e = written(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")))
+    e = written(contracted(contracted(e).repartition("a")))
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
