@@ -9,7 +9,7 @@ from vistaframe.operators import panorama
 from vistaframe.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
-OVER_HORIZONS = ["above_terrain", "label_strip"]
+OVER_HORIZONS = ["above_terrain", "label_strip", "match_pitch"]
 
 
 def broadcast_bins(plan: str) -> list[str]:
