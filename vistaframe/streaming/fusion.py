@@ -27,7 +27,7 @@ def drawn(offset: float | None, at: float | None, seen: float, t: float, held: b
     if offset is None:
         return seen
     passed = min(1.0, max(0.0, (t - at) / 1000))
-    return offset - turn(seen, offset) * math.expm1(-passed / (HELD_TAU_S if held else TAU_S))
+    return offset + turn(seen, offset) * (1 - math.exp(-passed / (HELD_TAU_S if held else TAU_S)))
 
 
 DRIFT_STATE, DRIFT = "offset double, offset_t long, cos double, sin double", "offset double, north double"
@@ -69,7 +69,9 @@ def heading_fusion(events: DataFrame, streaming: bool = False) -> DataFrame:
         fresh = (F.col("kind") == "compass") & (F.col("t_ms") - F.col("gyro.t_ms") <= GYRO_STALE_MS)
         x = x.select("device_id", "t_ms", "kind", "heading", F.when(fresh, delta_deg("heading", "gyro.heading")).alias("seen"), "held", F.lit(None).cast("double").alias("north_seen"))
         out = replay(x, "device_id", drift, DRIFT)
-    return out.where("kind = 'gyro'").select("device_id", "t_ms", F.pmod(F.col("heading") + F.col("offset"), F.lit(360.0)).alias("fused"))
+    shown = F.col("heading") + F.col("offset")
+    # not pmod: it turns what lies a rounding error below 0 into 0, the SQL into 360
+    return out.where("kind = 'gyro'").select("device_id", "t_ms", (shown - 360 * F.floor(shown / 360)).alias("fused"))
 
 
 FUSED_STATE = "gyro_t long, gyro double, offset double, offset_t long"
@@ -164,7 +166,7 @@ def smoothing(source: str = "compass") -> Machine:
         else:
             passed = min(0.2, max(1e-3, (e["t_ms"] - state["t"]) / 1000))
             seen[0] = state["turned"] + turn(seen[0], state["turned"])
-            share = lambda cut: -math.expm1(-2 * math.pi * cut * passed)
+            share = lambda cut: 1 - math.exp(-2 * math.pi * cut * passed)
             off = [a - b for a, b in zip(seen, state["at"])]
             speed = [v + share(SPEED_CUT) * (d / passed - v) for v, d in zip(state["speed"], off)]
             at = [x + share(cut + rise * abs(v)) * d for x, cut, v, d in zip(state["at"], least, speed, off)]
