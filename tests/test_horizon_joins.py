@@ -9,7 +9,7 @@ from vistaframe.operators import panorama
 from vistaframe.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
-OVER_HORIZONS = ["above_terrain", "label_strip", "match_pitch", "prune_lines", "skyline_relief", "terrain_events", "match_landmarks", "match_skyline", "match_profile"]
+OVER_HORIZONS = ["above_terrain", "label_strip", "match_pitch", "prune_lines", "skyline_relief", "terrain_events", "match_landmarks", "match_skyline", "match_profile", "search_windows"]
 
 
 def broadcast_bins(plan: str) -> list[str]:
